@@ -1,0 +1,11 @@
+"""Queries by name, each with its SQL where there is one."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
