@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
         if not n:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes), 0
         while start < n:
             base = ends[start - 1] if start else 0
