@@ -66,32 +66,41 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sketch", sketch(F.col("text"), k))
 
 
-def with_next(prints: DataFrame, parts: int = 256) -> DataFrame:
-    """Adds next_text and next_sketch: those of the next document by id (after the last, the first).
+def with_next(prints: DataFrame, coarse: int = 256, fine_rows: int = 1000) -> DataFrame:
+    """Adds `next`, the text and sketch of the next document by id (after the last, the first).
 
-    The order is made in range buckets, whose bounds are `parts` quantiles of the ids, so one shuffle
-    places the texts and no task orders them all. Only the last row of a bucket looks beyond it, and
-    takes the first row of the next filled bucket, one row a bucket.
+    The order is made in range buckets: `coarse` quantiles of the ids, each cut evenly into as many
+    parts as leave about `fine_rows` rows in one, so one shuffle places the texts and no task orders
+    them all. Only the last row of a bucket looks beyond it, and takes the first row of the next
+    filled bucket (one row a bucket; across quantiles, `coarse` rows at most on the driver's list).
     """
     ids = prints.select("doc_id").where("doc_id is not null")
-    bounds = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
-    # widths below the span of two neighbouring bounds: a binary search over sorted longs
-    cuts = sorted(set(bounds))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_bucket_of(F.col("doc_id"), cuts))
-    order = Window.partitionBy("bucket").orderBy("doc_id", F.xxhash64("text"))
-    placed = prints.withColumn("bucket", bucket).withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
-    firsts = prints.withColumn("bucket", bucket).groupBy("bucket").agg(F.min_by(F.struct("text", "sketch"), F.struct("doc_id", F.xxhash64("text"))).alias("first"))
-    # one row a bucket, `parts` + 1 at most
-    filled = [r["bucket"] for r in prints.select(bucket.alias("bucket")).distinct().collect()]
-    filled.sort()
-    follows = {b: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
-    before = F.create_map(*[F.lit(x) for b, n in follows.items() for x in (n, b)]) if follows else F.create_map(F.lit(0), F.lit(0))
-    heads = firsts.select(before[F.col("bucket")].alias("bucket"), "first")
-    return placed.join(heads, "bucket", "left").withColumn("next", F.coalesce("next", "first")).drop("first", "bucket")
+    asked = [i / coarse for i in range(coarse + 1)]
+    told = ids.agg(F.percentile_approx("doc_id", asked, 10_000).alias("q"), F.count("*").alias("n")).first()
+    cuts = sorted(set(told["q"] or [0]))
+    parts = max(1, told["n"] // (coarse * fine_rows) + 1)
+    part = _bucket_of(F.col("doc_id"), cuts)
+    bounds = F.array(*(F.lit(c).cast("double") for c in [cuts[0] - 1, *cuts, cuts[-1] + 1]))
+    inside = (F.col("doc_id") - F.get(bounds, F.col("part"))) / (F.get(bounds, F.col("part") + 1) - F.get(bounds, F.col("part")))
+    fine = F.floor(F.least(F.greatest(inside, F.lit(0.0)), F.lit(1.0)) * parts).cast("int")
+    nulls = F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")  # rows without id come first, in any order
+    placed = prints.withColumn("part", F.coalesce(part, F.lit(-1))).withColumn("bucket", F.when(F.col("part") < 0, nulls).otherwise(fine))
+    order = Window.partitionBy("part", "bucket").orderBy("doc_id", F.xxhash64("text"))
+    led = placed.withColumn("next", F.lead(F.struct("text", "sketch")).over(order))
+
+    texts = prints.drop("sketch").withColumn("part", F.coalesce(part, F.lit(-1))).withColumn("bucket", F.when(F.col("part") < 0, nulls).otherwise(fine))
+    heads = texts.groupBy("part", "bucket").agg(F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text"))
+    filled = sorted(r["part"] for r in texts.select("part").distinct().collect())  # `coarse` + 2 at most
+    after = F.create_map(*[F.lit(x) for i, p in enumerate(filled or [0]) for x in (p, (filled or [0])[(i + 1) % max(1, len(filled))])])
+    beyond = heads.groupBy("part").agg(F.min_by("text", "bucket").alias("beyond")).withColumnRenamed("part", "after")
+    followed = heads.select("part", "bucket", F.lead("text").over(Window.partitionBy("part").orderBy("bucket")).alias("follows"), after[F.col("part")].alias("after"))
+    tails = followed.join(beyond, "after", "left").select("part", "bucket", F.coalesce("follows", "beyond").alias("text"))
+    tails = tails.select("part", "bucket", F.struct("text", sketch(F.col("text"), K).alias("sketch")).alias("tail"))
+    return led.join(tails, ["part", "bucket"], "left").withColumn("next", F.coalesce("next", "tail")).drop("tail", "bucket", "part")
 
 
 def _bucket_of(value: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below value, as a balanced tree of comparisons."""
+    """The number of cuts at or below value, as a balanced tree of comparisons; null for null."""
 
     def tree(low: int, high: int) -> Column:
         if low == high:
@@ -99,7 +108,7 @@ def _bucket_of(value: Column, cuts: list[int]) -> Column:
         mid = (low + high) // 2
         return F.when(value < F.lit(cuts[mid]), tree(low, mid)).otherwise(tree(mid + 1, high))
 
-    return tree(0, len(cuts))
+    return F.when(value.isNotNull(), tree(0, len(cuts)))
 
 
 def fingerprint_query(docs: DataFrame, k: int = K) -> DataFrame:
