@@ -7,7 +7,8 @@ to 81 bytes). Pieces meet in the bucket of their minimizer. A piece that is alon
 needs no index. The others form a collection of short documents for which the transform is built
 column-wise: each round inserts one symbol of every piece (from its end), at the row that the counts
 of symbols before its last row give, and updates the common prefixes of the new row and the one after
-it from range minima of the old ones. Rows of 50 bytes in common then tell, for each start, the
+it from range minima of the old ones. Where pieces hold their minimizer once, columns are counted from
+it and a finished column's rows are let go, as none of its suffixes can equal one of another column. Rows of 50 bytes in common then tell, for each start, the
 smallest document with that string.
 
 The rounds are bounded by the piece length (81), not by the longest document, and a bucket's state is
@@ -39,29 +40,30 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def minimizers(data: np.ndarray, length: int = LENGTH, part: int = PART) -> np.ndarray:
-    """For each start of a `length`-byte string in data (uint8), the smallest hash of its parts."""
+def minimizers(data: np.ndarray, length: int = LENGTH, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the part at each byte, for each start of a `length`-byte string its smallest part hash), data uint8."""
     n = len(data)
     up = np.cumprod(np.full(n + 1, _BASE, np.uint64)) * _INVERSE
     sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n])))
     down = np.cumprod(np.full(n + 1 - part, _INVERSE, np.uint64)) * _BASE
-    low = mix64((sums[part:] - sums[:-part]) * down)
+    low = each = mix64((sums[part:] - sums[:-part]) * down)
     window, width = length - part + 1, 1
     while 2 * width <= window:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     rest = window - width
-    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+    return each, np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
 def pieces(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(data, doc, start, starts, minimizer): maximal runs of up to STARTS neighbouring starts with
-    one minimizer, `start` counted in data, all texts after one another."""
+    """(data, doc, start, starts, minimizer, anchor): maximal runs of up to STARTS neighbouring starts with
+    one minimizer, `start` counted in data, all texts after one another;
+    anchor is where in the piece the minimizer begins, 255 if at several places."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     if len(data) < length:
-        return data, *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64)
-    low = minimizers(data, length)
+        return data, *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    each, low = minimizers(data, length)
     doc = np.repeat(np.arange(len(texts)), size)[: len(low)]
     ends = np.cumsum(size)
     inside = np.arange(len(low)) + length <= ends[doc]
@@ -73,7 +75,32 @@ def pieces(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     parts = -(-run // STARTS)  # a long run (of one repeated byte, say) is cut
     start = np.repeat(at[head], parts) + STARTS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     count = np.minimum(STARTS, np.repeat(at[head] + run, parts) - start)
-    return data, doc[start], start, count, low[start]
+    own, anchor, times = low[start], np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    reach = count + length - PART
+    for k in range(int(reach.max(initial=0))):
+        hit = np.flatnonzero(reach > k)
+        hit = hit[each[start[hit] + k] == own[hit]]
+        anchor[hit] = k
+        times[hit] += 1
+    return data, doc[start], start, count, own, np.where(times == 1, anchor, 255).astype(np.uint8)
+
+
+class RangeMinima:
+    """Minima over 1, 2, 4, ... neighbouring values; called with bounds it gives those of values[a:b], a < b."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while 2 << (len(self.levels) - 1) <= len(values):
+            last, w = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[:-w], last[w:]))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        k = np.frexp((b - a).astype(np.float64))[1] - 1
+        out = np.empty(len(a), self.levels[0].dtype)
+        for level in np.flatnonzero(np.bincount(k)):
+            i = np.flatnonzero(k == level)
+            out[i] = np.minimum(self.levels[level][a[i]], self.levels[level][b[i] - (1 << int(level))])
+        return out
 
 
 def insert_columns(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,40 +117,25 @@ def insert_columns(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarra
         live = np.flatnonzero(size >= step)
         c = flat[ends[live] - step]
         symbol[row[live]] = c
-        levels = [common]  # minima over 1, 2, 4, ... rows
-        while 2 << (len(levels) - 1) <= len(common):
-            last, w = levels[-1], 1 << (len(levels) - 1)
-            levels.append(np.minimum(last[:-w], last[w:]))
-
-        def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            """Minimum of common[a:b], a < b."""
-            k = np.frexp((b - a).astype(np.float64))[1] - 1
-            out = np.empty(len(a), np.uint8)
-            for level in np.unique(k):
-                i = k == level
-                out[i] = np.minimum(levels[level][a[i]], levels[level][b[i] - (1 << int(level))])
-            return out
-
+        least = RangeMinima(common)
         born, place, before, after = [], [], [], []
-        base = m  # rows of the empty suffixes come first
-        for s in range(256):
-            rows = np.flatnonzero(symbol == s)
-            if not len(rows):
-                continue
+        order = np.argsort(symbol, kind="stable")  # rows by symbol; the empty suffixes' rows come first
+        starts = np.searchsorted(symbol[order], np.arange(257))
+        for s in np.unique(c):
+            rows, base = order[starts[s] : starts[s + 1]], m + starts[s] - starts[0]
+            mine = live[c == s]
             mine = live[c == s]
-            if len(mine):
-                mine = mine[np.argsort(row[mine], kind="stable")]
-                rank = np.searchsorted(rows, row[mine])
-                prev, nxt = np.zeros(len(mine), np.uint8), np.zeros(len(mine), np.uint8)
-                i = rank > 0
-                prev[i] = np.minimum(depth, 1 + least(rows[rank[i] - 1] + 1, rows[rank[i]] + 1).astype(np.int64))
-                i = rank + 1 < len(rows)
-                nxt[i] = np.minimum(depth, 1 + least(rows[rank[i]] + 1, rows[rank[i] + 1] + 1).astype(np.int64))
-                born.append(mine)
-                place.append(base + rank)
-                before.append(prev)
-                after.append(nxt)
-            base += len(rows)
+            mine = mine[np.argsort(row[mine], kind="stable")]
+            rank = np.searchsorted(rows, row[mine])
+            prev, nxt = np.zeros(len(mine), np.uint8), np.zeros(len(mine), np.uint8)
+            i = rank > 0
+            prev[i] = np.minimum(depth, 1 + least(rows[rank[i] - 1] + 1, rows[rank[i]] + 1).astype(np.int64))
+            i = rank + 1 < len(rows)
+            nxt[i] = np.minimum(depth, 1 + least(rows[rank[i]] + 1, rows[rank[i] + 1] + 1).astype(np.int64))
+            born.append(mine)
+            place.append(base + rank)
+            before.append(prev)
+            after.append(nxt)
         born, place = np.concatenate(born), np.concatenate(place)
         old = np.ones(len(owner) + len(born), bool)
         old[place] = False
@@ -142,6 +154,52 @@ def insert_columns(strings: list[bytes], depth: int = LENGTH) -> tuple[np.ndarra
     return owner, length, common
 
 
+def _inserted(order: np.ndarray, common: np.ndarray, symbol: np.ndarray, grown: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order and common prefixes of a column's suffixes after one symbol (negative: none) was put
+    before each: rows of one symbol keep their order, and share `grown` more than all between them did."""
+    move = np.argsort(symbol, kind="stable")
+    c, out = symbol[move], np.zeros(len(order), np.uint8)
+    same = np.flatnonzero((c[1:] == c[:-1]) & (c[1:] >= 0)) + 1
+    if len(same):
+        out[same] = grown + RangeMinima(common)(move[same - 1] + 1, move[same] + 1)
+    return order[move], out
+
+
+def aligned_first_documents(strings: list[bytes], docs: np.ndarray, low: np.ndarray, anchor: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """first_documents() of pieces that hold their minimizer once, at `anchor`.
+
+    Equal strings then have their minimizer at the same place, so suffixes can be inserted in
+    columns counted from it: only suffixes of one column can be equal, and the rows of a finished
+    column need not be kept. The minimizer is inserted as one symbol."""
+    n, side = len(strings), length - PART
+    size = np.array([len(s) for s in strings], np.int64)
+    flat, begin = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16), np.cumsum(size) - size
+    offsets, found = np.cumsum(size - length + 1) - (size - length + 1), np.repeat(docs, size - length + 1)
+    anchor = anchor.astype(np.int64)
+    order, common = np.arange(n), np.zeros(n, np.uint8)
+    for column in range(side - 1, -1, -1):  # from the far end towards the minimizer
+        at = anchor[order] + PART + column
+        there = at < size[order]
+        order, common = _inserted(order, common, np.where(there, flat[np.minimum(begin[order] + at, len(flat) - 1)], np.int16(-1)), 1)
+    group = np.unique(low, return_inverse=True)[1]
+    order, common = _inserted(order, common, group[order], PART)
+    for column in range(side + 1):  # starts at the minimizer, then at one byte more before it each time
+        starts = np.flatnonzero(anchor[order] - column <= size[order] - length)
+        if len(starts):
+            run = np.cumsum(common < length)[starts]
+            heads = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            mine = order[starts]
+            found[offsets[mine] + anchor[mine] - column] = np.repeat(np.minimum.reduceat(docs[mine], heads), np.diff(np.append(heads, len(mine))))
+        left = np.flatnonzero(anchor[order] > column)
+        if not len(left):
+            break
+        if len(left) < len(order):  # pieces that begin here leave; what they parted stays apart
+            before = np.append(-1, left[:-1])
+            order, common = order[left], RangeMinima(common)(before + 1, left + 1)
+        order, common = _inserted(order, common, flat[begin[order] + anchor[order] - column - 1], 1)
+    return np.split(found, offsets[1:])
+
+
 def first_documents(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each start of each string, the smallest docs value of a string with the same `length` bytes."""
     owner, size, common = insert_columns(strings, length)
@@ -177,7 +235,7 @@ def _seen(length: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            _, doc, _, _, low = pieces([t.encode() for t in batch.column("text").to_pylist()], length)
+            _, doc, _, _, low, _ = pieces([t.encode() for t in batch.column("text").to_pylist()], length)
             order = np.lexsort((doc, low))
             low, doc = low[order], doc[order]
             new = np.append(True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))[: len(low)]
@@ -216,9 +274,9 @@ def _sent(length: int, buckets: int, filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             texts, ids = [t.encode() for t in batch.column("text").to_pylist()], batch.column("doc_id").to_numpy()
-            data, doc, start, count, low = pieces(texts, length)
+            data, doc, start, count, low, anchor = pieces(texts, length)
             keep = filter_.might_hold(low) if len(low) else np.zeros(0, bool)
-            doc, start, count, low = doc[keep], start[keep], count[keep], low[keep]
+            doc, start, count, low, anchor = doc[keep], start[keep], count[keep], low[keep], anchor[keep]
             raw, begins = data.tobytes(), np.cumsum([0] + [len(t) for t in texts])
             bucket = (low % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -233,8 +291,10 @@ def _sent(length: int, buckets: int, filter_):
                 np.minimum.at(first, which, ids[doc[at]])
                 own = np.empty(len(known), np.uint64)
                 own[which] = low[at]
+                spot = np.empty(len(known), np.uint8)
+                spot[which] = anchor[at]
                 size = np.array([len(k) for k in known], np.uint8)
-                out.append((int(b), 0, tag, _packed(size, first, own, np.frombuffer(b"".join(known), np.uint8))))
+                out.append((int(b), 0, tag, _packed(size, first, own, spot, np.frombuffer(b"".join(known), np.uint8))))
                 out.append((int(b), 1, tag, _packed(which.astype(np.uint32), ids[doc[at]], (start[at] - begins[doc[at]]).astype(np.uint32))))
             columns = zip(*out, strict=True) if out else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "kind", "tag", "blob"])
@@ -242,22 +302,42 @@ def _sent(length: int, buckets: int, filter_):
     return run
 
 
-def _indexed(strings: list[bytes], first: np.ndarray, low: np.ndarray, length: int) -> list[np.ndarray]:
-    """first_documents() of a bucket's pieces, the transform built for those that share a minimizer,
-    some thousand pieces (whole groups) at a time."""
-    order = np.argsort(low, kind="stable")
-    heads = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
-    sizes = np.diff(np.append(heads, len(order)))
-    out: list[np.ndarray] = [np.zeros(0)] * len(strings)
-    for i in order[heads[sizes == 1]].tolist():
-        out[i] = np.full(len(strings[i]) - length + 1, first[i])
-    batch: list[int] = []
-    for head, n in [*zip(heads[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True), (0, 0)]:
-        if batch and (not n or len(batch) + n > BATCH):
-            for i, found in zip(batch, first_documents([strings[i] for i in batch], first[batch], length), strict=True):
-                out[i] = found
-            batch = []
-        batch += order[head : head + n].tolist()
+def partnered(strings: list[bytes], low: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """Which pieces may share a string with another one of their minimizer.
+
+    Of a shared string either the bytes before the minimizer or those behind it reach half of what
+    is left of the length, so such pieces agree in one of the two flanks. In a group where a piece
+    holds its minimizer twice (anchor 255) all may."""
+    half = (length - PART) // 2
+    digest = xxhash.xxh3_64_intdigest
+    left = np.array([digest(s[a - half : a], w) if half <= a < 255 else 0 for s, a, w in zip(strings, anchor.tolist(), low.tolist(), strict=True)], np.uint64)
+    right = np.array([digest(s[a + PART : a + PART + half], w) if a + PART + half <= len(s) else 0 for s, a, w in zip(strings, anchor.tolist(), low.tolist(), strict=True)], np.uint64)
+    out = np.isin(low, low[anchor == 255])
+    for key in (left, right):
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        out |= (n[at] > 1) & (key > 0)
+    return out
+
+
+def _indexed(strings: list[bytes], first: np.ndarray, low: np.ndarray, anchor: np.ndarray, length: int) -> list[np.ndarray]:
+    """first_documents() of a bucket's pieces, the transform built for those that may share a string
+    with another, some thousand pieces (whole groups) at a time."""
+    starts = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
+    out = np.split(np.repeat(first, starts), np.cumsum(starts)[:-1])
+    there = np.flatnonzero(partnered(strings, low, anchor, length))
+    mixed = np.isin(low[there], low[anchor == 255])
+    for some, batch, index in ((there[~mixed], 8 * BATCH, True), (there[mixed], BATCH, False)):
+        order = some[np.argsort(low[some], kind="stable")]
+        heads = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1])[: len(order)])
+        taken: list[int] = []
+        for part in [*np.split(order, heads[1:]), None] if len(order) else ():
+            if taken and (part is None or len(taken) + len(part) > batch):
+                own = [strings[i] for i in taken]
+                got = aligned_first_documents(own, first[taken], low[taken], anchor[taken], length) if index else first_documents(own, first[taken], length)
+                for i, x in zip(taken, got, strict=True):
+                    out[i] = x
+                taken = []
+            taken += [] if part is None else part.tolist()
     return out
 
 
@@ -269,24 +349,26 @@ def _marked(length: int):
             known: dict[bytes, int] = {}
             first: list[int] = []
             lows: list[int] = []
+            anchors: list[int] = []
             place: dict[int, np.ndarray] = {}
             flat = offset = sizes = None
             for r in rows:
                 if r["kind"] == 0:
-                    size, docs, low, text = _unpacked(r["blob"], np.uint8, np.int64, np.uint64, np.uint8)
+                    size, docs, low, anchor, text = _unpacked(r["blob"], np.uint8, np.int64, np.uint64, np.uint8, np.uint8)
                     text, ends = text.tobytes(), np.cumsum(size, dtype=np.int64)
                     ids = np.empty(len(size), np.int64)
-                    for k, (e, n, d, w) in enumerate(zip(ends.tolist(), size.tolist(), docs.tolist(), low.tolist(), strict=True)):
+                    for k, (e, n, d, w, x) in enumerate(zip(ends.tolist(), size.tolist(), docs.tolist(), low.tolist(), anchor.tolist(), strict=True)):
                         ids[k] = i = known.setdefault(text[e - n : e], len(known))
                         if i == len(first):
                             first.append(d)
                             lows.append(w)
+                            anchors.append(x)
                         elif d < first[i]:
                             first[i] = d
                     place[r["tag"]] = ids
                     continue
                 if flat is None:
-                    found = _indexed(list(known), np.array(first), np.array(lows, np.uint64), length)
+                    found = _indexed(list(known), np.array(first), np.array(lows, np.uint64), np.array(anchors, np.uint8), length)
                     sizes = np.array([len(x) for x in found])
                     flat, offset = np.concatenate(found), np.cumsum(sizes) - sizes
                     known = {}
