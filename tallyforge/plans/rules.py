@@ -1,0 +1,29 @@
+"""Data-quality rules: each gives (label, n); all are united."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _count(label: str, rows: DataFrame) -> DataFrame:
+    return rows.agg(F.lit(label).alias("label"), F.count("*").alias("n"))
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+RULES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "latest-parse-status": lambda s, d: _read(s, d, "documents").groupBy(F.concat(F.lit("latest-parse-status: "), F.when(F.col("n_chars") < 100, "failed").otherwise("ok")).alias("label")).agg(F.count("*").alias("n")),
+    "blank-name": lambda s, d: _count("blank-name", _read(s, d, "documents").where(F.trim(F.substring("text", 1, 2)) == "")),
+    "package-without-version": lambda s, d: _count("package-without-version", _read(s, d, "customer").join(_read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")),
+    "source-path-shape": lambda s, d: _count("source-path-shape", _read(s, d, "pages").where(~F.col("url").startswith("https://"))),
+}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, (rule(spark, sf_dir) for rule in RULES.values()))

@@ -1,0 +1,84 @@
+"""Every query against its SQL on DuckDB, over the smallest tables; and operators on rows chosen by hand."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tallyforge.functions import text as T
+from tallyforge.operators import listing, search, state
+from tallyforge.plans import registry
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def plain(v):
+    return round(v, 5) if isinstance(v, float) else v if v is None or isinstance(v, (int, bool)) else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_query(spark, sf_dir, duck, name):
+    df = registry.queries()[name](spark, sf_dir)
+    got = sorted(([plain(r[c]) for c in sorted(df.columns)] for r in df.collect()), key=str)
+    if name in registry.oracle_sql():
+        want = duck.sql(registry.oracle_sql()[name])
+        at = [want.columns.index(c) for c in sorted(want.columns)]
+        assert sorted(want.columns) == sorted(df.columns)
+        assert got == sorted(([plain(r[i]) for i in at] for r in want.fetchall()), key=str)
+    else:
+        assert got
+
+
+def test_duplicates_and_variants(spark):
+    columns = "id long, repository_id long, type string, name string, parent_path string, language string, source_path string, stars int, is_fork boolean, parse_status string, content_hash string, delisted_at timestamp, shape_only boolean"
+    base = {"repository_id": 1, "type": "skill", "name": "n", "parent_path": None, "language": None, "source_path": "a/x", "stars": 5, "is_fork": False, "parse_status": "ok", "content_hash": "h", "delisted_at": None, "shape_only": False}
+    rows = [
+        base | {"id": 1, "repository_id": 1},
+        base | {"id": 2, "repository_id": 2},  # same stars: the smaller id wins
+        base | {"id": 3, "repository_id": 3, "stars": 9, "is_fork": True},  # a fork doesn't win
+        base | {"id": 4, "repository_id": 4, "stars": 9, "parse_status": "failed"},  # nor does a failed copy
+        base | {"id": 5, "repository_id": 5, "type": "plugin", "shape_only": True},  # nor is a shape-only row a copy
+        base | {"id": 6, "repository_id": 6, "content_hash": None},
+        base | {"id": 7, "repository_id": 6, "content_hash": None, "source_path": ".c/x", "name": "N"},  # dotted folder: variant of 6
+        base | {"id": 8, "repository_id": 1, "content_hash": "g", "source_path": "a/b/x", "stars": 50},  # variant of 1, so it can't hide a copy
+        base | {"id": 9, "repository_id": 9, "content_hash": "g"},
+    ]
+    got = {r["id"]: r["reason"] for r in listing.not_listed_because(spark.createDataFrame([tuple(r[c.split()[0]] for c in columns.split(", ")) for r in rows], columns)).collect()}
+    assert got == {1: None, 2: "duplicate", 3: "fork", 4: "unparsed", 5: None, 6: None, 7: "variant", 8: "variant", 9: None}
+
+
+def test_queue(spark):
+    at = F.lit("2024-01-02").cast("timestamp")
+    jobs = spark.createDataFrame([(1, "a", "running", 3, "2024-01-01 00:00:00"), (2, "b", "running", 1, "2024-01-01 00:00:00"), (3, "c", "running", 1, "2024-01-01 23:59:00"), (4, "d", "queued", 0, None)], "id long, target string, status string, attempts int, started_at string").withColumn("started_at", F.col("started_at").cast("timestamp"))
+    assert {r["id"]: r["status"] for r in state.reap(jobs, at).collect()} == {1: "failed", 2: "queued", 3: "running", 4: "queued"}
+    wanted = spark.createDataFrame([("d", 1), ("e", 2), ("f", 3), ("g", 4)], "target string, created_at int")
+    denied = spark.createDataFrame([("f",)], "target string")
+    assert [r["target"] for r in state.enqueue(jobs, wanted, denied, most=2).collect()] == ["e"]
+    old = spark.createDataFrame([("k", "x", 5)], "key string, value string, updated_at int")
+    for time, value in ((5, "x"), (6, "y")):
+        new = spark.createDataFrame([("k", "y", time)], "key string, value string, updated_at int")
+        assert state.publish_newer(old, new, "key").first()["value"] == value
+    assert state.insert_new(old, old.unionByName(old.withColumn("key", F.lit("z"))), ["key"]).count() == 2
+
+
+def test_text(spark):
+    one = lambda f, t: spark.createDataFrame([(t,)], "t string").select(f(F.col("t")).alias("x")).first()["x"]
+    assert one(T.split_front_matter, "---\r\nname: a\r\n---\r\nbody") == "name: a" and one(T.split_front_matter, "x\n---\na\n---") is None
+    assert one(T.redact_assignments, 'api_key = "abc123" token: $VAR') == 'api_key = "[redacted]" token: $VAR'
+    assert one(T.links, "see https://a.b/c). and https://d.e!") == ["https://a.b/c", "https://d.e"]
+    assert one(T.content_hash, "a\r\nb") == one(T.content_hash, "a\nb")
+
+
+def test_search(spark):
+    assert search.plain_words('a "b"') is None and search.plain_words("Node.js Review") == ["node", "js", "review"]
+    assert search.normalize_query(["  a   b "]) == "a b" and len(search.normalize_query("😀" * 300)) == 100
+    rows = spark.createDataFrame([(1, "o/pdf", "skill", "pdf", "reads files", "a"), (2, "o/x", "skill", "pdf-tools", "tools", "b"), (3, "o/y", "skill", "other", "makes a pdf", "c"), (4, "o/z", "skill", "none", "nothing", "d")], "id long, repository string, type string, name string, summary string, path string")
+    assert [r["id"] for r in search.search(rows, "pdf").collect()] == [1, 2, 3]
+    assert [r["id"] for r in search.search(rows, "nothing tools").collect()] == [2, 4] or {r["id"] for r in search.search(rows, "nothing tools").collect()} == {2, 4}
