@@ -143,7 +143,7 @@ def features(tokens: Tokens) -> np.ndarray:
         check = np.zeros(len(i))
         if length == 7:
             for j in np.flatnonzero((groups == 4) & (dot == 3)):
-                ip[j] = all(len(words[t]) <= 3 and int(words[t]) <= 255 for t in range(s[j], e[j], 2))
+                ip[j] = all(0 < digits[t] <= 3 and int(words[t]) <= 255 for t in range(s[j], e[j], 2))
         for j in np.flatnonzero((d >= 13) & (d <= 19) & (let == 0) & (pl == 0)):
             check[j] = luhn("".join(words[t] for t in range(s[j], e[j]) if digits[t]))
         columns = (

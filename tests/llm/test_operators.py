@@ -386,6 +386,14 @@ def test_pii(docs, rows, empty):
     assert pii.emails("x" * 200000 + " a@b.co") == [(200001, 200007)]
 
 
+def test_field_on_any_characters():
+    r = np.random.default_rng(6)
+    for _ in range(3000):
+        text = "".join(r.choice(list("1234567890..+-() @ax\n"), 40))
+        for k, s, e in pii.field_spans(text, pii.trained()):
+            assert 0 <= k < 4 and 0 <= s < e <= len(text)
+
+
 def test_field_on_unseen_sentences():
     model, hit, found, there = pii.trained(), 0, 0, 0
     for text, spans in pii.generated_sentences(200, seed=101):
