@@ -9,8 +9,8 @@ formed, and a common line is one row a task), and the pair of a line and its ear
 verified by its words. Of a group the earliest line, by document and line number, stays.
 
 To emit fewer keys, lines first meet on halves: of two lines within the bound either the first or
-the last half of the shorter one's words is equal. Only lines that share a half emit variants; a
-filter of fixed size carries those lines' hashes to the tasks that read the texts again.
+the last half of the shorter one's words is equal. Only lines that share a half emit variants, and
+only with gaps where the words beside the shared half stand; a filter of fixed size carries those lines' hashes to the tasks that read the texts again.
 
 Exact copies of lines of at least `min_words` words go, near copies of lines of at least `near_words`
 words. Shorter lines stay. Null text stays null, documents without id stay whole, rows that repeat a
@@ -48,7 +48,7 @@ def words_of(line: str) -> list[bytes]:
 
 
 def half_keys(words: list[bytes]) -> list[int]:
-    """Hashes of the first and the last q words, q half the words of this line or of one shorter by a word."""
+    """Hashes of the first and the last q words in turn, q half the words of this line or of one shorter by a word."""
     n = len(words)
     return [_hash(b" ".join(part), 2 * q + end) for q in sorted({n // 2, (n - 1) // 2}) for end, part in enumerate((words[:q], words[-q:]))]
 
@@ -111,13 +111,20 @@ def _texts_of(wanted: SetFilter, near_words: int):
     return run, "h long, words string"
 
 
+def gaps(n: int, first: bool, last: bool) -> slice:
+    """Where two lines may differ, one of n words, that share the first half, the last, or either."""
+    half = (n - 1) // 2
+    return slice(0 if last else half, n if first else n - half)
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, role, h, doc_id, line): role 0 a line as it is, 1 a variant without its gap, 2 with it."""
     for batch in slices(batches, "words", 1 << 19):
         keys, roles, rows = [], [], []
-        for i, text in enumerate(batch.column("words").to_pylist()):
+        for i, (text, first, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "shares_first", "shares_last")), strict=True)):
             own, plain, tagged = variant_keys(text.encode().split(b" "))
-            plain = np.unique(plain)
+            own_gaps = gaps(len(plain), first, last)
+            plain, tagged = np.unique(plain[own_gaps]), tagged[own_gaps]
             keys += [[own], plain, tagged]
             roles += [[0], np.ones(len(plain)), np.full(len(tagged), 2)]
             rows.append(np.full(1 + len(plain) + len(tagged), i))
@@ -141,13 +148,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     place = F.struct("doc_id", "line")
     firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     firsts = materialize(firsts, "firsts")
-    halves = firsts.select("h", F.explode("halves").alias("half"))
+    halves = firsts.select("h", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    hopeful = materialize(halves.join(shared, "half", "left_semi").select("h").distinct(), "hopeful")
+    sides = halves.join(shared, "half", "left_semi").groupBy("h").agg(F.bool_or(F.col("at") % 2 == 0).alias("shares_first"), F.bool_or(F.col("at") % 2 == 1).alias("shares_last"))
+    hopeful = materialize(sides, "hopeful")
 
-    texts = read.select("text").mapInArrow(*_texts_of(set_filter(hopeful), near_words))
-    told = texts.join(hopeful, "h", "left_semi").groupBy("h").agg(F.min("words").alias("words"))
-    told = materialize(told.join(firsts.select("h", "first.doc_id", "first.line"), "h"), "told")
+    texts = read.select("text").mapInArrow(*_texts_of(set_filter(hopeful.select("h")), near_words))
+    told = texts.join(hopeful.select("h"), "h", "left_semi").groupBy("h").agg(F.min("words").alias("words"))
+    told = materialize(told.join(hopeful, "h").join(firsts.select("h", "first.doc_id", "first.line"), "h"), "told")
 
     variants = told.mapInArrow(_variants, "key long, role int, h long, doc_id long, line int")
     ranked = variants.withColumn("me", F.struct("doc_id", "line", "h"))
