@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import public_tokenizers
@@ -35,6 +36,7 @@ class ByteBpe:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {i: b for b, i in self.ranks.items()}
         self.id_text = {i: str(i) for i in self.token}
+        self.size_of = [len(self.token.get(i, b"")) for i in range(max(self.token) + 1)]
         self.pieces = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for b, i in self.ranks.items():
@@ -54,13 +56,13 @@ class ByteBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def compatible(self, a: int | None, b: int) -> bool:
-        """Whether merging leaves a and b side by side; with no a, whether it makes b at all."""
-        key = (-1 if a is None else a, b)
-        if (known := self.pairs.get(key)) is None:
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether merging leaves a and b side by side; with a = -1 (none), whether it makes b at all."""
+        if (known := self.pairs.get((a, b))) is None:
             if len(self.pairs) > _CACHED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merged((b"" if a is None else self.token[a]) + self.token[b]) == [x for x in (a, b) if x is not None]
+            both = [b] if a < 0 else [a, b]
+            known = self.pairs[a, b] = self.merged(b"".join(self.token[x] for x in both)) == both
         return known
 
     def shorter(self, t: int) -> int | None:
@@ -73,27 +75,25 @@ class ByteBpe:
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        longest = [0] * len(data)
-        size = [0] * len(data)
-        for end, t in self.automaton.iter(data.decode("latin-1")):
-            n = len(self.token[t])
-            if n > size[end + 1 - n]:
-                size[end + 1 - n], longest[end + 1 - n] = n, t
+        longest, size_of, pairs = [0] * len(data), self.size_of, self.pairs
+        for end, t in self.automaton.iter(data.decode("latin-1")):  # by end, so a later one is longer
+            longest[end + 1 - size_of[t]] = t
         out: list[int] = []
-        dead, at, t = set(), 0, longest[0]
+        dead, at, last, t = set(), 0, -1, longest[0]
         while True:
-            end = at + len(self.token[t])
-            if end not in dead and self.compatible(out[-1] if out else None, t):
+            end = at + size_of[t]
+            if end not in dead and ((known := pairs.get((last, t))) or known is None and self.compatible(last, t)):
                 out.append(t)
                 if end == len(data):
                     return out
-                at, t = end, longest[end]
+                at, last, t = end, t, longest[end]
             elif (less := self.shorter(t)) is not None:
                 t = less
             else:
                 dead.add(at)
                 t = out.pop()
-                at -= len(self.token[t])
+                at -= size_of[t]
+                last = out[-1] if out else -1
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         ids = self.known.get(chunk)
@@ -128,6 +128,12 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, ids))
 
 
+@lru_cache(2)
+def loaded(vocabulary: str) -> ByteBpe:
+    """One encoder a worker process: what it has memoised serves the next task too."""
+    return ByteBpe(vocabulary)
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>)."""
     return _mapped(docs, vocabulary, lambda names, ids, bpe: [names, pa.array(ids, pa.list_(pa.int32()))], "doc_id long, ids array<int>")
@@ -138,7 +144,7 @@ def decode(coded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path)
+        bpe = loaded(path)
         for batch in batches:
             texts = [None if ids is None else bpe.decode(ids).decode(errors="replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -166,7 +172,7 @@ def _mapped(docs: DataFrame, vocabulary: str | None, columns, schema: str) -> Da
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path)
+        bpe = loaded(path)
         for batch in slices(batches, "text"):
             ids = bpe.encode(batch.column("text").fill_null(""))
             yield pa.RecordBatch.from_arrays(columns(batch.column("doc_id").cast(pa.int64()), ids, bpe), names=names)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,12 @@ class ChunkedTokenizer:
         return np.split(out, doc_ends[:-1])
 
 
+@lru_cache(2)
+def loaded(vocabulary: str) -> ChunkedTokenizer:
+    """One tokenizer a worker process, so that known chunks serve the next task too."""
+    return ChunkedTokenizer(vocabulary)
+
+
 def cuts(n: int, most: int = MOST) -> list[int]:
     """Lengths of the pieces of n ids, longest first."""
     rest = n % most
@@ -76,7 +83,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MOST, end_i
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ChunkedTokenizer(path)
+        tokenizer = loaded(path)
         for batch in slices(batches, "text"):
             names, rows, pieces = batch.column("doc_id").to_pylist(), [], []
             for doc, ids in zip(names, tokenizer.encode(batch.column("text").fill_null("")), strict=True):
