@@ -47,13 +47,18 @@ class ByteBpe:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
-        """Plain merging by rank, for the few bytes of one token or two."""
+        """Plain merging by rank, leftmost first, for the few bytes of one token or two."""
+        get, never = self.ranks.get, 1 << 60
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [get(data[i : i + 2], never) for i in range(len(data) - 1)]  # of each part and the next
+        while pairs and (rank := min(pairs)) != never:
+            at = pairs.index(rank)
+            parts[at : at + 2] = [both := parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(both + parts[at + 1], never)
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + both, never)
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
@@ -96,13 +101,15 @@ class ByteBpe:
                 last = out[-1] if out else -1
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = self.known.get(chunk)
-        if ids is None:
-            ids = tuple(i for p in self.pieces(chunk) for i in self.encode_piece(p.encode()))
-            if len(chunk) <= _CACHED_CHARS:
-                if len(self.known) > _CACHED_CHUNKS:
-                    self.known.clear()
-                self.known[chunk] = ids
+        pieces = self.pieces(chunk)
+        if len(pieces) == 1:
+            ids = tuple(self.encode_piece(chunk.encode()))
+        else:  # a word before a mark is mostly known without it
+            ids = tuple(i for p in pieces for i in self.known.get(p) or self.encode_chunk(p))
+        if len(chunk) <= _CACHED_CHARS:
+            if len(self.known) > _CACHED_CHUNKS:
+                self.known.clear()
+            self.known[chunk] = ids
         return ids
 
     def encode(self, texts: pa.Array) -> list[list[int]]:
@@ -117,8 +124,8 @@ class ByteBpe:
                     ids += self.encode_piece(piece.encode())
             elif text:
                 first, *rest = text.split(" ")
-                ids += self.encode_chunk(first)
                 known, slow = self.known.get, self.encode_chunk
+                ids += known(first) or slow(first)
                 for part in rest:
                     ids += known(chunk := " " + part) or slow(chunk)
             out.append(ids)
