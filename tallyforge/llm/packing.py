@@ -10,9 +10,11 @@ Null or empty text: one piece holding end_id. Repeated rows are packed as often
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,9 @@ class ChunkedTokenizer:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         parts = pc.ascii_split_whitespace(texts)
@@ -46,13 +49,13 @@ class ChunkedTokenizer:
         chunks = parts.flatten().dictionary_encode()
         names, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
         new = [n for n in names if n not in self.known]
-        found = dict(zip(new, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True)) if new else {}
+        found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}
         ids = [found[n] if n in found else self.known[n] for n in names]
         if len(self.known) > _CACHED_CHUNKS:
             self.known.clear()
         self.known.update((n, v) for n, v in found.items() if len(n) <= _CACHED_CHARS)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat, begins = (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.cumsum(lengths) - lengths
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, begins = np.fromiter(chain.from_iterable(ids), np.uint32, lengths.sum()), np.cumsum(lengths) - lengths
         counts = lengths[at]
         ends = np.cumsum(counts)
         out = flat[np.repeat(begins[at] - (ends - counts), counts) + np.arange(counts.sum())]
