@@ -1,5 +1,6 @@
 """Every operator against brute force, on the smallest tables and on rows chosen to be awkward."""
 
+import random
 import base64
 import hashlib
 import re
@@ -9,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -352,6 +354,15 @@ def test_fingerprints(spark, docs, rows, empty):
     assert r["m"] == sorted({*parts[0], *parts[1]})[: fingerprints.K] and r["n"] == len(parts[0]) and r["c"] == 1.0
 
 
+def test_packing_chunks_encode_like_whole_texts():
+    letters = [*"aAbTsSİßéÉJ'.,!<=\"`{ \n\t1²ª漢ǅ", "\u0301", "\u0338", "\u030c", "\u0307", "'s", "'LL", "\u212a", "\u00a0"]
+    draw = random.Random(1)
+    texts = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(5000)]
+    chunked = packing.ChunkedTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    for text, ids in zip(texts, chunked.encode(pa.array(texts)), strict=True):
+        assert chunked.tokenizer.encode(text, add_special_tokens=False).ids == list(ids), repr(text)
+
+
 def test_byte_bpe(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
