@@ -11,6 +11,7 @@ Null or empty text: one piece holding end_id. Repeated rows are packed as often
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +37,8 @@ class ChunkedTokenizer:
     Equal to encoding the whole text: the vocabulary's pre-tokenizer drops white space and no token
     or normalisation reaches across it. It also cuts between a letter and an ASCII mark other than
     the apostrophe, so a blank is put there, and lower-cases, so chunks all in ASCII are lower-cased
-    first: both leave fewer different chunks. (Only letters that stay one letter in lower case.)
+    first: both leave fewer different chunks. (Only letters that stay one letter in lower case;
+    texts that spell an added token, in any case, are neither cut nor lower-cased.)
     """
 
     def __init__(self, vocabulary: str):
@@ -44,13 +46,16 @@ class ChunkedTokenizer:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.added = "(?i)" + "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.known: dict[str, list[int]] = {}
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _BEFORE_MARK, r"\1 \2"))
+        added = pc.match_substring_regex(texts, self.added)
+        parts = pc.ascii_split_whitespace(pc.if_else(added, texts, pc.replace_substring_regex(texts, _BEFORE_MARK, r"\1 \2")))
         sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
         flat_parts = parts.flatten()
-        chunks = pc.if_else(pc.string_is_ascii(flat_parts), pc.ascii_lower(flat_parts), flat_parts).dictionary_encode()
+        lowered = pc.and_not(pc.string_is_ascii(flat_parts), pa.array(np.repeat(added.to_numpy(zero_copy_only=False), sizes)))
+        chunks = pc.if_else(lowered, pc.ascii_lower(flat_parts), flat_parts).dictionary_encode()
         names, at = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
         new = [n for n in names if n not in self.known]
         found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)) if new else {}

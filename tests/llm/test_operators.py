@@ -355,7 +355,7 @@ def test_fingerprints(spark, docs, rows, empty):
 
 
 def test_packing_chunks_encode_like_whole_texts():
-    letters = [*"aAbTsSİßéÉJ'.,!<=\"`{ \n\t1²ª漢ǅ", "\u0301", "\u0338", "\u030c", "\u0307", "'s", "'LL", "\u212a", "\u00a0"]
+    letters = [*"aAbTsSİßéÉJ'.,!<=\"`{ \n\t1²ª漢ǅ", "\u0301", "\u0338", "\u030c", "\u0307", "'s", "'LL", "\u212a", "\u00a0", "<|endoftext|>", "<|ENDOFTEXT|>", "endoftext|>"]
     draw = random.Random(1)
     texts = ["".join(draw.choices(letters, k=draw.randint(0, 30))) for _ in range(5000)]
     chunked = packing.ChunkedTokenizer(public_tokenizers.path("word_bpe_49k.json"))
