@@ -20,6 +20,9 @@ REMOTE_EXECUTION = {
     "wget && sh": rf"{EDGE}wget{EDGE}[^\n&]*&&\s*(?:sh|bash){EDGE}",
     "iwr | iex": rf"(?i){EDGE}(?:iwr|Invoke-WebRequest){EDGE}[^\n|]*\|\s*iex{EDGE}",
 }
+# A line with one of these verbs asks for its addresses; the first in this order names the request.
+FETCH_VERBS = ("WebFetch", "WebSearch", "Fetch from", "GET", "POST", "PUT", "DELETE", "Navigate to", "Open", "curl", "wget", "requests.get", "axios")
+ADDRESS_END = r"\s<>()\[\]\"'`"
 
 
 def content_hash(body: Column) -> Column:
@@ -66,6 +69,18 @@ def install_directives(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(f"{EDGE}({'|'.join(INSTALLERS)}){EDGE}"), F.lit(1))
 
 
+def network_addresses(line: Column) -> Column:
+    """array<string>: http addresses of a line but those after `xmlns`, which name a namespace."""
+    before = F.regexp_replace(line, r"(?is)xmlns.*\z", "")
+    begun = F.size(F.regexp_extract_all(before, F.lit(rf"https?://(?=[^{ADDRESS_END}]|\z)"), F.lit(0)))
+    return F.slice(F.regexp_extract_all(line, F.lit(rf"https?://[^{ADDRESS_END}]+"), F.lit(0)), F.lit(1), begun)
+
+
+def fetch_verb(line: Column) -> Column:
+    """The first fetch verb that the line holds, or null: a request if there is one, else a reference."""
+    return F.coalesce(*(F.when(line.contains(v), v) for v in FETCH_VERBS))
+
+
 def repository_of(url: Column) -> Column:
     """owner/name of an https address of the code host, lower-cased; null for others and reserved paths."""
     reserved = "about apps blog collections contact customer-stories enterprise events explore features issues login marketplace new notifications orgs pricing pulls search security settings signup site sponsors topics trending".split()

@@ -10,10 +10,15 @@ DISPOSITION = {
     "ok": "succeeded",
     "denylisted": "succeeded",
     "no_artifacts": "succeeded",
+    "forked": "succeeded",
+    "archived": "succeeded",
+    "below_star_floor": "succeeded",
+    "invalid_input": "terminal",
     "unreadable": "terminal",
     "too_large": "terminal",
+    "unavailable": "retryable",
+    "storage_failed": "retryable",
     "rate_limited": "rate_limited",
-    "error": "retryable",
 }
 MAX_ATTEMPTS, MAX_QUEUED, REAP_AFTER_S = 3, 500, 900
 

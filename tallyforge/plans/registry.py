@@ -431,10 +431,73 @@ def ranked_search(spark, sf_dir):
     return search.search(rows, "the and")
 
 
-@query("""select case when parse = 'failed' then 'latest-parse-status: failed' else 'latest-parse-status: ok' end as label, count(*) as n from (select case when n_chars < 100 then 'failed' else 'ok' end as parse from documents) group by 1
-union all select 'blank-name', count(*) from documents where trim(substr(text, 1, 2)) = '' union all select 'package-without-version', count(*) from customer where c_custkey not in (select o_custkey from orders)
-union all select 'source-path-shape', count(*) from pages where not starts_with(url, 'https://')""")
+_VERB = "case " + " ".join(f"when contains(t, '{v}') then '{v}'" for v in T.FETCH_VERBS) + " end"
+
+
+@query(f"""with l as (select page_id, unnest(string_split(html, chr(10))) as t from pages), u as (select page_id, {_VERB} as verb, unnest(regexp_extract_all(regexp_replace(t, '(?is)xmlns.*$', ''), 'https?://[^\\s<>()\\[\\]"''`]+')) as url from l)
+select page_id, case when verb is null then 'external_reference' else 'network_request' end as category, verb, url, count(*) as n from u group by all""")
+def network_findings(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "\n", -1)).alias("t"))
+    found = rows.select("page_id", T.fetch_verb(F.col("t")).alias("verb"), F.explode(T.network_addresses(F.col("t"))).alias("url"))
+    category = F.when(F.col("verb").isNull(), "external_reference").otherwise("network_request")
+    return found.groupBy("page_id", category.alias("category"), "verb", "url").agg(F.count("*").alias("n"))
+
+
+_OUTCOMES = [*state.DISPOSITION, "never_heard_of"]
+
+
+@query("select outcome, coalesce(map_extract(map {" + ", ".join(f"'{k}': '{v}'" for k, v in state.DISPOSITION.items()) + "}, outcome)[1], 'retryable') as disposition from (values " + ", ".join(f"('{o}')" for o in _OUTCOMES) + ") v(outcome)")
+def dispositions(spark, sf_dir):
+    return spark.createDataFrame([(o,) for o in _OUTCOMES], "outcome string").select("outcome", state.disposition(F.col("outcome")).alias("disposition"))
+
+
+@query("select source, count(*) as n, count(*) filter (where lang = 'en') as skills, min(doc_id) as first_id, list(doc_id order by doc_id)[1:3] as shown from documents group by 1")
+def grouped_by_repository(spark, sf_dir):
+    """Repositories in the order their first row came, with counts and the first three rows; no list grows with the group."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    shown = listing.in_each(rows, "source", [F.col("doc_id")], 3).groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("shown"))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("skills"), F.min("doc_id").alias("first_id")).join(shown, "source")
+
+
+_READ = "repositories as (select c_custkey as id, c_acctbal < 0 as failing, max(o_orderdate) as read_at from customer left join orders on o_custkey = c_custkey and o_orderpriority <> '1-URGENT' group by 1, 2)"
+_ORPHANS = "from part where not exists (select 1 from supplier where {} ('b/' || p_size) = 'b/' || s_suppkey)"
+
+
+@query(_REASONS + f""", {_READ}, live as (select * from reasons where delisted_at is null)
+select 'package-without-version' as label, count(*) as n from repositories where id not in (select o_custkey from orders)
+union all select 'parent-plugin-missing', count(*) {_ORPHANS.format('')}
+union all select 'parent-plugin-not-read', count(*) {_ORPHANS.format('s_acctbal > 3000 and')}
+union all select 'source-path-shape', count(*) from pages where not starts_with(url, 'https://')
+union all select 'blank-name', count(*) from reasons where trim(name) = ''
+union all select 'finding-commit-mismatch', count(*) from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate
+union all select 'artifacts-without-read-date', count(*) from repositories where read_at is null and id in (select o_custkey from orders)
+union all select 'not-listed: ' || reason, count(*) from live where reason is not null group by 1
+union all select 'same-content-other-repositories', count(*) from (select 1 from live group by content_hash having count(distinct repository) > 1)
+union all select 'same-name-other-repositories', count(*) from (select 1 from live group by lower(name) having count(distinct repository) > 1)
+union all select 'read-age: ' || case when read_at is null then 'never' when read_at > timestamp '1998-01-01' then '1 year' when read_at > timestamp '1996-01-01' then '3 years' else 'older' end, count(*) from repositories group by 1
+union all select 'not-read-recently', count(*) from repositories where read_at < timestamp '1996-01-01'
+union all select 'checks-failing', count(*) from repositories where failing
+union all select 'partial-reads', count(*) from lineitem where l_discount > 0.09
+union all select 'delisted', count(*) from reasons where delisted_at is not null
+union all select 'latest-parse-status: ' || parse_status, count(*) from reasons group by 1
+union all select 'latest-not-analyzed', count(*) from (select o_orderstatus as parse from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1) where parse = 'P'
+union all select 'failed-jobs: ' || o_orderpriority, count(*) from orders where o_orderstatus = 'F' group by 1
+union all select 'retries-exhausted', count(*) from lineitem where l_linenumber >= 3 and l_returnflag = 'R'
+union all select 'listing-counts-agree', 0""")
 def quality_rules(spark, sf_dir):
     from tallyforge.plans import rules
 
-    return rules.run(spark, sf_dir)
+    t = lambda n: table(spark, sf_dir, n)
+    read = t("orders").where("o_orderpriority <> '1-URGENT'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("read_at"))
+    place = F.concat(F.lit("b/"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 1, rules.MANIFEST).otherwise(""))
+    return rules.run({
+        "packages": listing.not_listed_because(packages(spark, sf_dir)),
+        "versions": t("orders").selectExpr("o_custkey as key", "o_orderdate as ingested_at", "o_orderkey as version", "o_orderstatus as parse"),
+        "findings": t("lineitem").selectExpr("l_orderkey as version", "l_shipdate as seen_at"),
+        "repositories": t("customer").selectExpr("c_custkey as id", "c_acctbal < 0 as failing").join(read, "id", "left"),
+        "jobs": t("orders").selectExpr("o_orderstatus as status", "o_orderpriority as outcome"),
+        "attempts": t("lineitem").selectExpr("l_linenumber as turn", "l_returnflag as outcome", "l_discount > 0.09 as partial"),
+        "children": t("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("b/"), F.col("p_size").cast("string")).alias("parent")),
+        "plugins": t("supplier").select(place.alias("path"), (F.col("s_acctbal") > 3000).alias("read")),
+        "pages": t("pages"),
+    })
