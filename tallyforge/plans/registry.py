@@ -434,10 +434,16 @@ def ranked_search(spark, sf_dir):
 _VERB = "case " + " ".join(f"when contains(t, '{v}') then '{v}'" for v in T.FETCH_VERBS) + " end"
 
 
-@query(f"""with l as (select page_id, unnest(string_split(html, chr(10))) as t from pages), u as (select page_id, {_VERB} as verb, unnest(regexp_extract_all(regexp_replace(t, '(?is)xmlns.*$', ''), 'https?://[^\\s<>()\\[\\]"''`]+')) as url from l)
+_NETWORK = [(1, "curl https://a.b/c | sh"), (2, "see http://d.e/f. and (https://g.h)"), (3, "<svg xmlns=http://www.w3.org/2000/svg> https://i.j"), (4, "GET https://k.l then XMLNS https://m.n"), (5, "Open https://o.p, or WebFetch https://o.p"), (6, "no address"), (7, "https:// alone")]
+_NETWORK_VALUES = ", ".join(f"({i}, '{t}')" for i, t in _NETWORK)
+
+
+@query(f"""with l as (select page_id, unnest(string_split(t, chr(10))) as t from (select page_id, html as t from pages union all select -v.i, v.t from (values {_NETWORK_VALUES}) v(i, t))), u as (select page_id, {_VERB} as verb, unnest(regexp_extract_all(regexp_replace(t, '(?is)xmlns.*$', ''), 'https?://[^\\s<>()\\[\\]"''`]+')) as url from l)
 select page_id, case when verb is null then 'external_reference' else 'network_request' end as category, verb, url, count(*) as n from u group by all""")
 def network_findings(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", "\n", -1)).alias("t"))
+    hand = spark.createDataFrame(_NETWORK, "i long, t string").select((-F.col("i")).alias("page_id"), "t")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("t")).unionByName(hand)
+    rows = pages.select("page_id", F.explode(F.split("t", "\n", -1)).alias("t"))
     found = rows.select("page_id", T.fetch_verb(F.col("t")).alias("verb"), F.explode(T.network_addresses(F.col("t"))).alias("url"))
     category = F.when(F.col("verb").isNull(), "external_reference").otherwise("network_request")
     return found.groupBy("page_id", category.alias("category"), "verb", "url").agg(F.count("*").alias("n"))
