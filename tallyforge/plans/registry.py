@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import listing, search, state, trees
+from tallyforge.operators import fuzzy, listing, manifests, search, state, trees
+from tallyforge.streaming import attempts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -507,3 +508,80 @@ def quality_rules(spark, sf_dir):
         "plugins": t("supplier").select(place.alias("path"), (F.col("s_acctbal") > 3000).alias("read")),
         "pages": t("pages"),
     })
+
+
+_SKILLS = [
+    (1, "---\nname: pdf\ndescription: reads\nallowed-tools: Read, Bash(git *), Grep\n---\nbody"), (2, "no fence"), (3, "---\nname: a\nname: b\n---\n"), (4, "---\n- a\n---\n"), (5, "---\nname: [x\n---\n"),
+    (6, "---\r\nname: d\r\ndescription: 2024-01-02\r\nallowed-tools:\r\n  - Read\r\n  - Bash(*)\r\n---\r\n"), (7, None), (8, "---\ndescription: no name\n---"), (9, "---\na: &a [x, x, x, x, x, x, x, x]\n" + "".join(f"{y}: &{y} [{', '.join([f'*{x}'] * 8)}]\n" for x, y in zip("abcdef", "bcdefg")) + "---\n"),
+]
+_MANIFESTS = [
+    (1, '{"mcpServers": {"db": {"command": "npx", "args": ["-y", "srv"], "env": {"TOKEN": "s", "A": "b"}}, "web": {"url": "https://x.y"}}}'),
+    (2, '{"hooks": {"PreToolUse": [{"matcher": "Bash", "hooks": [{"type": "command", "command": "check.sh"}, {"type": "command", "command": "log.sh"}]}], "Stop": [{"hooks": [{"type": "command", "command": "end.sh"}]}]}}'),
+    (3, "[1]"), (4, '{"a":'), (5, ""), (6, '{"plugins": [{"name": "p", "source": "./p"}, {"name": "q", "source": {"source": "github", "repo": "O/R"}}, {"name": "r", "source": "https://github.com/a/b"}]}'),
+    (7, '{"a": ' + "[" * 40 + "]" * 40 + "}"), (8, None), (9, '{"mcpServers": "./servers.json", "hooks": 3, "plugins": {}}'),
+]
+
+
+def _skills(spark):
+    return manifests.front_matter(spark.createDataFrame(_SKILLS, "id int, body string"))
+
+
+def _manifests(spark):
+    return manifests.json_manifest(spark.createDataFrame(_MANIFESTS, "id int, body string"))
+
+
+@query("""select * from (values (1, 'ok', 'ok', 'pdf', 'reads', 'Read|Bash(git *)|Grep'), (2, 'absent', 'failed', null, null, ''), (3, 'unreadable', 'failed', null, null, ''), (4, 'not a mapping', 'failed', null, null, ''), (5, 'unreadable', 'failed', null, null, ''),
+(6, 'ok', 'ok', 'd', '2024-01-02', 'Read|Bash(*)'), (7, 'absent', 'failed', null, null, ''), (8, 'ok', 'failed', null, 'no name', ''), (9, 'too large when written out', 'failed', null, null, '')) v(id, status, parse_status, name, description, tools)""")
+def skill_front_matter(spark, sf_dir):
+    return manifests.skill_status(_skills(spark)).select("id", "status", "parse_status", "name", "description", F.array_join("tools", "|").alias("tools"))
+
+
+@query("select * from (values (1, 'ok'), (2, 'ok'), (3, 'not an object'), (4, 'unreadable'), (5, 'absent'), (6, 'ok'), (7, 'too deep or too long'), (8, 'absent'), (9, 'ok')) v(id, status)")
+def manifest_status(spark, sf_dir):
+    return _manifests(spark).select("id", "status")
+
+
+@query("select * from (values (1, 'db', 'npx', null, 'A,TOKEN'), (1, 'web', null, 'https://x.y', '')) v(id, name, command, url, env)")
+def declared_servers(spark, sf_dir):
+    return manifests.servers(_manifests(spark)).select("id", "name", "command", "url", F.array_join("env", ",").alias("env"))
+
+
+@query("select * from (values (2, 'PreToolUse', 'Bash', 'check.sh', 0), (2, 'PreToolUse', 'Bash', 'log.sh', 1), (2, 'Stop', null, 'end.sh', 2)) v(id, event, matcher, command, position)")
+def hook_handlers(spark, sf_dir):
+    return manifests.hook_handlers(_manifests(spark)).select("id", "event", "matcher", "command", "position")
+
+
+@query("select * from (values (6, 'p', null, null), (6, 'q', 'o/r', null), (6, 'r', null, 'https://github.com/a/b')) v(id, name, repo, url)")
+def catalog_sources(spark, sf_dir):
+    return manifests.catalog_sources(_manifests(spark)).select("id", "name", "repo", "url")
+
+
+@query("select * from (values (1, 'tool', 'Read'), (1, 'tool', 'Bash(git *)'), (1, 'tool', 'Grep'), (6, 'tool', 'Read'), (6, 'tool', 'Bash(*)'), (1, 'server', 'npx -y srv'), (1, 'server', 'https://x.y'), (2, 'hook', 'check.sh'), (2, 'hook', 'log.sh'), (2, 'hook', 'end.sh')) v(id, kind, signal)")
+def declared_capabilities(spark, sf_dir):
+    return manifests.declared(_skills(spark), _manifests(spark), "id")
+
+
+_LIKE = [(1, "playwrit", "playwright"), (2, "brainstroming", "brainstorming"), (3, "pdf", "reads a PDF file"), (4, "pdf", None), (5, "review", "xyz")]
+
+
+@query("select * from (values (1, 0.777778::double), (2, 0.555556), (3, 1.0), (4, 0.0), (5, 0.0)) v(id, likeness)")
+def word_likeness(spark, sf_dir):
+    rows = spark.createDataFrame(_LIKE, "id int, q string, t string")
+    parts = [rows.where(F.col("id") == i).select("id", F.round(fuzzy.word_similarity(q, F.col("t"), 0.3), 6).alias("likeness")) for i, q, _ in _LIKE]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query()
+def fuzzy_packages(spark, sf_dir):
+    rows = packages(spark, sf_dir).select("id", "repository", "type", "name", "summary")
+    return fuzzy.fuzzy_search(rows, "the and", least=0.5)
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2")
+def streamed_outcomes(spark, sf_dir):
+    """The events read as a stream of attempts, counted by day and outcome."""
+    log = attempts.read_log(spark, f"{sf_dir}/events.parquet")
+    return attempts.run_to_end(attempts.outcomes_by_window(log), ["start", "event_type"]).withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import listing, search, state
+from tallyforge.operators import fuzzy, listing, manifests, search, state
 from tallyforge.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -82,3 +82,23 @@ def test_search(spark):
     rows = spark.createDataFrame([(1, "o/pdf", "skill", "pdf", "reads files", "a"), (2, "o/x", "skill", "pdf-tools", "tools", "b"), (3, "o/y", "skill", "other", "makes a pdf", "c"), (4, "o/z", "skill", "none", "nothing", "d")], "id long, repository string, type string, name string, summary string, path string")
     assert [r["id"] for r in search.search(rows, "pdf").collect()] == [1, 2, 3]
     assert [r["id"] for r in search.search(rows, "nothing tools").collect()] == [2, 4] or {r["id"] for r in search.search(rows, "nothing tools").collect()} == {2, 4}
+
+
+def test_manifests():
+    assert manifests._yaml("a: 1\nb: yes\nc: 010\nd: 1:30\ne: true\nf: null\ng: 2024-01-02") == ("ok", '{"a": 1, "b": "yes", "c": "010", "d": "1:30", "e": true, "f": null, "g": "2024-01-02"}')
+    assert manifests._yaml('a: "x\\0y"') == ("ok", '{"a": "x\ufffdy"}') and manifests._json(r'{"a": "\\u0000"}') == ("ok", r'{"a": "\\u0000"}')
+    assert manifests._yaml("a: &a [*a]")[0] != "ok" and manifests._json('{"a": ' + str([0] * 1001) + "}")[0] == "too deep or too long"
+    assert manifests.tokens_of("a) b(c, (d e)) ,f") == ["a)", "b(c, (d e))", "f"]
+
+
+def test_likeness_is_the_best_extent():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        query, text = (fuzzy.trigrams_of("".join(r.choice("ab c") for _ in range(n))) for n in (r.randint(1, 8), r.randint(0, 14)))
+        wanted = set(query)
+        every = [text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)]
+        best = max((len(wanted & set(x)) / len(wanted | set(x)) for x in every), default=0.0) if wanted else 0.0
+        got = fuzzy.likeness(query, text, 0.3)
+        assert abs(got - best) < 1e-12 if best >= 0.3 else got <= best
