@@ -168,6 +168,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     near = both.select("h", "words", "other").mapInArrow(_verified, "h long")
 
     judged = firsts.select("h", "first", "n").join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # written first, so that the join below has two inputs and Spark can split the rows of a very common line
+    judged = materialize(judged, "judged")
     gone = lines.select("doc_id", "line", "h").join(judged, "h").where("near or struct(doc_id, line) <> first")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
