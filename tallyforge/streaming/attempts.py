@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyforge.operators import state
 
@@ -43,5 +44,5 @@ def run_to_end(stream: DataFrame, keys: list[str], mode: str = "update") -> Data
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    kept = spark.read.schema(f"{stream.schema.simpleString()[7:-1]}, batch int").option("basePath", f"{at}/out").parquet(f"{at}/out")
+    kept = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).option("basePath", f"{at}/out").parquet(f"{at}/out")
     return state.last_wins(kept, keys, "batch").select(stream.columns)
