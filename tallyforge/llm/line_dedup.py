@@ -12,14 +12,17 @@ To emit fewer keys, lines first meet on halves: of two lines within the bound ei
 the last half of the shorter one's words is equal. Only lines that share a half emit variants, and
 only with gaps where the words beside the shared half stand; a filter of fixed size carries those lines' hashes to the tasks that read the texts again.
 
-Exact copies of lines of at least `min_words` words go, near copies of lines of at least `near_words`
-words. Shorter lines stay. Null text stays null, documents without id stay whole, rows that repeat a
+Exact copies of all lines with a word go. The edit bound follows the length: one word in lines of at
+least `near_words` = 5 words, none in shorter ones, where one word is over a fifth of the line. In
+scripts without blanks each character counts as a word (and blanks beside it don't count). Blank lines
+stay. Null text stays null, documents without id stay whole, rows that repeat a
 doc_id are one document. Line ends are \\n; the order of lines is kept. Keys have 64 bits: where two
 unlike keys meet (once in some 10^19 pairs), the words decide, so no line goes wrongly.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .shared import SetFilter, materialize, set_filter, slices
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 5
+#: Thai to Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e01-\u0edf\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -44,6 +49,8 @@ def _hash(text: bytes, seed: int = 0) -> int:
 
 
 def words_of(line: str) -> list[bytes]:
+    if not line.isascii() and _UNSPACED.search(line):
+        line = _UNSPACED.sub(r" \g<0> ", line)
     return line.encode().lower().split()
 
 
