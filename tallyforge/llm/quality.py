@@ -6,8 +6,8 @@ expectation-maximisation estimates each labeller's accuracies and the share of g
 those counts. The patterns' posteriors are the labels of a linear scorer over hashed words and
 hashed word shapes, which then scores every document.
 
-The scorer alone is fitted on a bounded sample: `sample` documents, those with the smallest hash of
-their text. Null and empty texts get no votes and the class prior from the label model; they are
+The scorer alone is fitted on a bounded sample: `sample` different texts, those with the smallest
+hashes; a text counts once in it, however many copies it has. Null and empty texts get no votes and the class prior from the label model; they are
 kept, as nothing speaks against them. Repeated rows are judged alike.
 """
 
@@ -164,13 +164,20 @@ def fit_scorer(rows: list[np.ndarray], labels: np.ndarray, width: int = WIDTH, r
     return np.append(w, bias)
 
 
+def training_texts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text): `sample` different texts, those with the smallest hashes. Hashes are made distinct first, so that only the texts under the last one travel."""
+    hashed = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null and length(text) > 0")
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    return hashed.where(F.col("h") <= F.lit(last)).distinct().orderBy("h", "text").limit(sample).select("text")
+
+
 def classify(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
     """(doc_id, quality double, label_quality double, keep boolean), one row a document."""
     counted = vote_patterns(docs).groupBy("pattern").count().collect()  # 3 ** labellers rows at most
     pattern, count = np.array([r["pattern"] for r in counted], np.int64), np.array([r["count"] for r in counted], float)
     posterior, prior, _ = label_model(pattern, count)
     labels = dict(zip(pattern.tolist(), posterior.tolist(), strict=True))
-    chosen = docs.select("text").where("text is not null and length(text) > 0").orderBy(F.xxhash64("text"), "text").limit(sample)
+    chosen = training_texts(docs, sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(width)
