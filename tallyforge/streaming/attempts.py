@@ -28,9 +28,13 @@ def read_log(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFr
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(pattern)
 
 
-def outcomes_by_window(attempts: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(start, event_type, n, total): attempts by outcome and window; rows later than `late` are left out."""
-    windowed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+def outcomes_by_window(attempts: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """(start, event_type, n, total): attempts by outcome and window.
+
+    All rows count, whatever their order; the state is one row a window and type. On a log without
+    end `late` bounds it, and rows later than that are left out."""
+    timed = attempts.withColumn("ts", F.col("ts").cast("timestamp"))
+    windowed = (timed.withWatermark("ts", late) if late else timed).groupBy(F.window("ts", width).alias("w"), "event_type")
     return windowed.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
