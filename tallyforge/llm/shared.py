@@ -3,6 +3,8 @@ sliced Arrow batches, a fixed-size set filter and connected components."""
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,14 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
+#: 128 MB, good for some 10 ** 8 keys.
+MOST_BITS = 1 << 30
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one if the master is local, else an error."""
     global _own_folder
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-tallyforge-")
     return _own_folder
@@ -39,13 +46,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables made by materialize() that nothing reads any more."""
     for df in tables:
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_folder(df.sparkSession, parent)
+
+
+def own_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df can't have, one a stem."""
+    tag = uuid.uuid4().hex[:12]
+    return [f"{stem}_{tag}" for stem in stems]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -72,10 +88,10 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 class SetFilter:
-    """A Bloom filter of fixed size over 64-bit keys: never says no to a member.
+    """A Bloom filter over 64-bit keys: never says no to a member.
 
     It only spares a shuffle the rows that certainly have no partner; an exact join or grouping
-    always follows. Its size is a constant (bits / 8 bytes), so it can be sent to every task
+    always follows. Its size is bounded (MOST_BITS / 8 bytes), so it can be sent to every task
     whatever the input; when overfull it lets more rows through, and drops none.
     """
 
@@ -99,13 +115,16 @@ class SetFilter:
         return out
 
 
-def set_filter(keys: DataFrame, bits: int = 1 << 27, segments: int = 64) -> SetFilter:
+def set_filter(keys: DataFrame, bits: int | None = None, segments: int = 64) -> SetFilter:
     """The SetFilter of a one-column table of longs, built in `segments` parts on the executors.
 
-    Rows go to the segment of the bit array that their place falls in, so each task makes
-    bits / 8 / segments bytes and the driver receives bits / 8 bytes in all, whatever the input.
+    Sixteen to 32 bits a key (one in 70 strangers is let through), at most MOST_BITS in all. Rows go to
+    the segment of the bit array that their place falls in, so each task makes bits / 8 / segments
+    bytes and the driver receives bits / 8 bytes in all, whatever the input.
     """
     name = keys.columns[0]
+    if bits is None:
+        bits = min(MOST_BITS, 1 << max(20, math.ceil(math.log2(16 * max(1, keys.count())))))
     span = bits // segments
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +177,13 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        # the least of each node is a written table, so that the joins have two plain inputs and Spark can split a hub's rows
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         old, now = now, materialize(small, "edges")
-        discard(old)
+        discard(old, low, large, least)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

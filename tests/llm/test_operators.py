@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyforge.llm import byte_bpe, embedding_dedup, fingerprints, line_dedup, packing, pii, quality, repeats, secret_scan, simhash_dedup
+from tallyforge.llm import byte_bpe, embedding_dedup, fingerprints, line_dedup, packing, pii, quality, secret_scan, simhash_dedup
 from tallyforge.llm.shared import SetFilter, components, set_filter
 
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit " * 3000
@@ -231,58 +231,6 @@ def test_quality(spark, docs, empty, sf_dir):
     assert abs(prior - 0.7) < 0.02 and np.abs(table[:, 1, 2] - right).max() < 0.03
 
 
-def plain_repeats(rows):
-    first = {}
-    for i, t in rows:
-        raw = t.encode()
-        if i is not None:
-            for p in range(len(raw) - 49):
-                first[raw[p : p + 50]] = min(first.get(raw[p : p + 50], i), i)
-    out = []
-    for i, t in rows:
-        raw = t.encode()
-        gone = bytearray(len(raw))
-        if i is not None:
-            for p in range(len(raw) - 49):
-                if first[raw[p : p + 50]] < i:
-                    gone[p : p + 50] = b"\1" * 50
-        spans = len(re.findall(b"\1+", bytes(gone)))
-        out.append((i or -1, len(raw), sum(gone), spans, sha(bytes(b for b, g in zip(raw, gone) if not g))))
-    return sorted(out)
-
-
-def test_repeats(docs, rows, empty):
-    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeats_query(docs).collect())
-    want = plain_repeats(rows)
-    assert sum(w[2] for w in want) > 1000 and got == want
-    assert repeats.repeats_query(empty).count() == 0
-
-
-def test_repeats_random(spark):
-    r = np.random.default_rng(2)
-    passages = ["".join(r.choice(list("abé "), n)) for n in (49, 50, 51, 60, 90, 200)]
-    rows = [(int(i), "".join(str(r.choice([*passages, "".join(r.choice(list("ab"), 30)), "ab" * 40])) for _ in range(r.integers(0, 6)))) for i in r.permutation(60)]
-    got = sorted((x["doc_id"] or -1, x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in repeats.repeats_query(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
-    assert got == sorted((i or -1, *w) for i, *w in plain_repeats_with_zero(rows))
-
-
-def plain_repeats_with_zero(rows):
-    return [(i - 1, *w) for i, *w in plain_repeats([(i + 1, t) for i, t in rows])]
-
-
-def test_columns_in_order():
-    r = np.random.default_rng(4)
-    strings = [bytes(r.choice(list(b"abc"), r.integers(1, 30)).astype(np.uint8)) for _ in range(80)]
-    owner, size, common = repeats.insert_columns(strings, 10)
-    suffix = [strings[o][len(strings[o]) - n :] for o, n in zip(owner, size.astype(int))]
-    assert suffix == sorted(suffix) and len(suffix) == sum(len(s) + 1 for s in strings)
-    for a, b, c in zip(suffix, suffix[1:], common[1:]):
-        n = 0
-        while n < min(len(a), len(b), 10) and a[n] == b[n]:
-            n += 1
-        assert n == c
-
-
 def plain_lines(rows):
     ids = {i: t for i, t in rows if i is not None}
     lines = [(i, k, line.encode().lower().split()) for i, t in sorted(ids.items()) for k, line in enumerate(t.split("\n"))]
