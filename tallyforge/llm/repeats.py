@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SetFilter, delete_folder, discard, materialize, mix64, set_filter, shared_folder, slices
+from .shared import SetFilter, delete_folder, discard, keyed, materialize, mix64, set_filter, shared_folder, slices
 
 LENGTH, PART = 50, 16
 #: Bytes hashed at once; text of a slice; text whose pieces share a bucket.
@@ -373,11 +373,6 @@ def _occurring(length: int, wanted: SetFilter):
     return run, "h long, low long, doc_id long, text_hash long, start int"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, text): rows that repeat a doc_id with another text have another key."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, spans array<struct<start, stop>>): byte runs to remove, unmerged, of rows that have some.
 

@@ -64,6 +64,21 @@ def own_names(df: DataFrame, *stems: str) -> list[str]:
     return [f"{stem}_{tag}" for stem in stems]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): rows that repeat a doc_id with another text have another key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Rows of docs that come first, by doc_id and then by text hash, in their group of `grouped`
+    (doc_id, text_hash, group). Rows equal in id and text leave one; rows without doc_id stay."""
+    key, one, other = own_names(docs, "key", "one", "other")
+    least = grouped.where("doc_id is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias(one), F.col("first.text_hash").alias(other))
+    named = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text"))
+    kept = named.join(least, (F.col("doc_id") == F.col(one)) & (F.col(key) == F.col(other)), "left_semi").dropDuplicates(["doc_id", key])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a slice holds about most_bytes of `column`, or one row."""
     for batch in batches:
@@ -115,8 +130,8 @@ class SetFilter:
         return out
 
 
-def set_filter(keys: DataFrame, bits: int | None = None, segments: int = 64) -> SetFilter:
-    """The SetFilter of a one-column table of longs, built in `segments` parts on the executors.
+def set_filter(keys: DataFrame, bits: int | None = None) -> SetFilter:
+    """The SetFilter of a one-column table of longs, built in segments on the executors.
 
     Sixteen to 32 bits a key (one in 70 strangers is let through), at most MOST_BITS in all. Rows go to
     the segment of the bit array that their place falls in, so each task makes bits / 8 / segments
@@ -125,6 +140,7 @@ def set_filter(keys: DataFrame, bits: int | None = None, segments: int = 64) ->
     name = keys.columns[0]
     if bits is None:
         bits = min(MOST_BITS, 1 << max(20, math.ceil(math.log2(16 * max(1, keys.count())))))
+    segments = max(64, bits >> 21)
     span = bits // segments
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
