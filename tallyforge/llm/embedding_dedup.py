@@ -25,9 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, local_labels, materialize
+from .shared import components, discard, local_labels, materialize
 
 COSINE, SAMPLE, BLOCK, MOST_PIVOTS = 0.9, 4096, 8192, 256
+#: Cells that are parted once more, and rows of each that their pivots come from.
+CROWDED, CELL_SAMPLE = 256, 256
 #: Slack for rounding when rows are copied; the cosine itself decides about links.
 _SLACK = 1e-6
 #: Comparisons (of the sample's size) that moving a row costs as much as.
@@ -94,28 +96,62 @@ def placements(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np
     return row, cell, cell == home[row]
 
 
-def joined(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(links per node: node, linked), (edges a, b) of the exact range join."""
-    radius = float(np.sqrt(2 - 2 * cosine))
-    sample = distinct.orderBy(F.xxhash64("unit"), "node").limit(SAMPLE).toPandas()  # SAMPLE rows
-    pivots = {int(d): choose_pivots(matrix(list(g["unit"])), radius) for d, g in sample.groupby("dim")}
-
-    def assign(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for dim, g in batch.groupby("dim"):
-            # a dimension that the sample has missed is one cell
-            row, cell, own = placements(matrix(list(g["unit"])), pivots[dim], radius) if dim in pivots else (np.arange(len(g)), np.zeros(len(g), np.int64), np.ones(len(g), bool))
-            out.append(g.iloc[row].assign(cell=cell, own=own))
-        return pd.concat(out) if out else batch.assign(cell=[], own=[])
-
-    def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_PLACED = "dim int, cell int, own boolean, node long, n long, unit binary"
+
+
+def _placed(rows: DataFrame, pivots: dict[tuple[int, int], np.ndarray], radius: float) -> DataFrame:
+    """rows in all cells that they must be in, by the pivots of their (dim, cell) now; the cells of a
+    cell are numbered anew. Rows of a cell without pivots stay there. A row is a cell's own only if it was before."""
+    base, numbers = max((c for _, c in pivots), default=0) + 1, {}
+    for key in sorted(pivots):
+        numbers[key] = base
+        base += len(pivots[key])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield assign(batch)[["dim", "cell", "own", "node", "n", "unit"]]
+            out = []
+            for key, g in batch.groupby(["dim", "cell"]):
+                if key in pivots:
+                    row, cell, own = placements(matrix(list(g["unit"])), pivots[key], radius)
+                    g = g.iloc[row]
+                    g = g.assign(cell=cell + numbers[key], own=g["own"].to_numpy() & own)
+                out.append(g)
+            yield pd.concat(out) if out else batch
+
+    return rows.mapInPandas(run, _PLACED)
+
+
+def cells(distinct: DataFrame, radius: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(rows in their cells, (dim, cell, right_blocks, left_blocks)), both written tables.
+
+    Cells over a block are parted once more by pivots of their own, the `CROWDED` largest of them."""
+    count = lambda t: t.groupBy("dim", "cell").agg(F.count("*").alias("rows"), F.count_if("own").alias("own_rows"))
+    sample = distinct.orderBy(F.xxhash64("unit"), "node").limit(SAMPLE).select("dim", "unit").toPandas()  # SAMPLE rows
+    pivots = {(int(d), 0): choose_pivots(matrix(list(g["unit"])), radius) for d, g in sample.groupby("dim")}
+    placed = materialize(_placed(distinct.select("dim", F.lit(0).alias("cell"), F.lit(True).alias("own"), "node", "n", "unit"), pivots, radius), "placed")
+    if any(len(p) > 1 for p in pivots.values()):
+        crowded = count(placed).where(F.col("own_rows") > block).orderBy(F.desc("own_rows"), "dim", "cell").limit(CROWDED).toPandas()  # CROWDED rows
+        share = {(int(d), int(c)): min(1.0, 2 * CELL_SAMPLE / n) for d, c, n in zip(crowded["dim"], crowded["cell"], crowded["own_rows"], strict=True)}
+
+        def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                part = np.array([share.get(k, 0.0) for k in zip(batch["dim"], batch["cell"], strict=True)])
+                yield batch[batch["own"].to_numpy() & ((batch["node"].to_numpy() * 0x9E3779B1 % 65536) / 65536 < part)][["dim", "cell", "unit"]]
+
+        if share:
+            some = placed.mapInPandas(drawn, "dim int, cell int, unit binary").toPandas()  # about 2 CELL_SAMPLE rows a crowded cell
+            finer = {(int(d), int(c)): choose_pivots(matrix(list(g["unit"])[:CELL_SAMPLE]), radius, 32) for (d, c), g in some.groupby(["dim", "cell"])}
+            old, placed = placed, materialize(_placed(placed, {k: p for k, p in finer.items() if len(p) > 1}, radius), "placed")
+            discard(old)
+    blocks = lambda n: F.ceil(F.greatest(n, F.lit(1)) / block).cast("int")
+    return placed, materialize(count(placed).select("dim", "cell", blocks(F.col("rows")).alias("right_blocks"), blocks(F.col("own_rows")).alias("left_blocks")), "cells")
+
 
-    placed = distinct.mapInPandas(cells_of, "dim int, cell int, own boolean, node long, n long, unit binary")
-    # rows of a cell and of those its own; one row a cell
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("right_blocks"), F.ceil(F.greatest(F.count_if("own"), F.lit(1)) / block).cast("int").alias("left_blocks"))
-    sized = placed.join(sizes, ["dim", "cell"])
+def joined(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(links per node: node, linked), (edges a, b) of the exact range join."""
+    placed, sizes = cells(distinct, float(np.sqrt(2 - 2 * cosine)), block)
+    n_cells, pairs = sizes.agg(F.count("*"), F.sum(F.col("left_blocks").cast("long") * F.col("right_blocks"))).first()
+    sized = placed.join(F.broadcast(sizes) if n_cells <= 1 << 16 else sizes, ["dim", "cell"])
     spread = lambda n: F.pmod(F.xxhash64("node", "unit"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = sized.where("own").withColumn("i", spread(F.col("left_blocks"))).withColumn("j", every(F.col("right_blocks"))).withColumn("side", F.lit(True))
@@ -146,8 +182,11 @@ def joined(distinct: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> t
         rest = pd.DataFrame({"node": nodes, "linked": 0, "root": nodes[root]})
         return pd.concat([own, rest[rest["node"] != rest["root"]]])
 
-    met = left.select(columns).unionByName(right.select(columns)).groupBy("dim", "cell", "i", "j").applyInPandas(join, "node long, linked long, root long")
-    met = materialize(met, "embedding-links")
+    # so many parts, as few bytes may be much work: merging small parts would put all pairs of blocks into one task
+    parts = min(4 * (pairs or 1), 8192)
+    met = left.select(columns).unionByName(right.select(columns)).repartition(parts, "dim", "cell", "i", "j")
+    met = materialize(met.groupBy("dim", "cell", "i", "j").applyInPandas(join, "node long, linked long, root long"), "embedding-links")
+    discard(placed, sizes)
     return met.groupBy("node").agg(F.sum("linked").alias("linked")), met.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
 
 
@@ -158,9 +197,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = units.groupBy("dim", "unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     links, edges = joined(classes, cosine)
-    rooted = classes.select("dim", "unit", "node", "first_id").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    told = rooted.join(least, "root").join(links, "node").select("dim", "unit", (F.col("linked") - 1).alias("n_links"), "component_id")
+    rooted = materialize(classes.select("node", "first_id").join(components(edges), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")  # written: see components()
+    met = rooted.join(least, "root").select("node", "component_id").join(links, "node").select("node", (F.col("linked") - 1).alias("n_links"), "component_id")
+    told = materialize(classes.select("dim", "unit", "node").join(met, "node").drop("node"), "told")
+    discard(rooted, least, classes)
     alone = named.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = units.join(told, ["dim", "unit"]).select("vec_id", "n_links", "component_id").unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
