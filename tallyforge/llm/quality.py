@@ -8,7 +8,8 @@ hashed word shapes, which then scores every document.
 
 The scorer alone is fitted on a bounded sample: `sample` different texts, those with the smallest
 hashes; a text counts once in it, however many copies it has. Null and empty texts get no votes and the class prior from the label model; they are
-kept, as nothing speaks against them. Repeated rows are judged alike.
+kept, as nothing speaks against them. Repeated rows are judged alike, each by its text, whatever the
+ids; ties in score stay. Columns of docs may have any names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .shared import slices
+from .shared import own_names, slices
 
 SAMPLE, WIDTH, REJECT_BELOW = 4000, 1 << 16, 0.5
 #: Function words of the languages a labeller knows.
@@ -165,14 +166,23 @@ def fit_scorer(rows: list[np.ndarray], labels: np.ndarray, width: int = WIDTH, r
 
 
 def training_texts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text): `sample` different texts, those with the smallest hashes. Hashes are made distinct first, so that only the texts under the last one travel."""
-    hashed = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null and length(text) > 0")
-    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    return hashed.where(F.col("h") <= F.lit(last)).distinct().orderBy("h", "text").limit(sample).select("text")
-
+    """(text): `sample` different texts, those with the smallest hashes.
 
-def classify(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
-    """(doc_id, quality double, label_quality double, keep boolean), one row a document."""
+    Their number, counted approximately, tells under which hash about twice as many lie as are wanted;
+    only those hashes are sorted, and only the texts up to the last one travel."""
+    hashed = docs.select("text", F.xxhash64("text").alias("h")).where("text is not null and length(text) > 0")
+    many, share = max(1, hashed.agg(F.approx_count_distinct("h")).first()[0]), 2 * sample
+    while True:
+        limit = min(2**63 - 1, -(2**63) + 2**64 * share // many)
+        under = hashed.where(F.col("h") <= F.lit(limit))
+        n, last = under.select("h").distinct().orderBy("h").limit(sample).agg(F.count("h"), F.max("h")).first()
+        if n == sample or limit == 2**63 - 1:
+            return hashed.where(F.col("h") <= F.lit(last)).distinct().orderBy("h", "text").limit(sample).select("text")
+        share *= 4
+
+
+def classify(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH, names: tuple[str, ...] = ("quality", "label_quality", "keep")) -> DataFrame:
+    """docs with three more columns, called `names`: score, the label model's own (both double), and whether it stays (boolean)."""
     counted = vote_patterns(docs).groupBy("pattern").count().collect()  # 3 ** labellers rows at most
     pattern, count = np.array([r["pattern"] for r in counted], np.int64), np.array([r["count"] for r in counted], float)
     posterior, prior, _ = label_model(pattern, count)
@@ -199,16 +209,17 @@ def classify(docs: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> DataF
             scores = np.where([bool(w) for w in words], 1 / (1 + np.exp(-np.clip(z, -40, 40))), prior)
             weak = [labels.get(sum((v + 1) * 3**i for i, v in enumerate(votes(t, w))), prior) for t, w in zip(texts.to_pylist(), words, strict=True)]
             keep = [s >= REJECT_BELOW or not w for s, w in zip(scores, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(scores, pa.float64()), pa.array(weak, pa.float64()), pa.array(keep, pa.bool_())], names=[*batch.schema.names, "_quality", "_label_quality", "_keep"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(scores, pa.float64()), pa.array(weak, pa.float64()), pa.array(keep, pa.bool_())], names=[*batch.schema.names, *names])
 
-    schema = StructType([*docs.schema.fields, StructField("_quality", DoubleType()), StructField("_label_quality", DoubleType()), StructField("_keep", BooleanType())])
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, (DoubleType(), DoubleType(), BooleanType()), strict=True))])
     return docs.mapInArrow(score, schema)
 
 
 def quality_query(docs: DataFrame) -> DataFrame:
-    return classify(docs.select("doc_id", "text")).select("doc_id", F.col("_quality").alias("quality"), F.col("_label_quality").alias("label_quality"), F.col("_keep").alias("keep"))
+    return classify(docs.select("doc_id", "text")).drop("text")
 
 
 def drop_poor(docs: DataFrame) -> DataFrame:
     """docs without the documents that the classifier rejects; columns and rows otherwise as they are."""
-    return classify(docs).where("_keep").select(docs.columns)
+    names = own_names(docs, "quality", "label_quality", "keep")
+    return classify(docs, names=tuple(names)).where(names[2]).select(docs.columns)

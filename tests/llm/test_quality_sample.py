@@ -16,5 +16,5 @@ def test_scorer_learns_from_different_texts(spark):
     least = texts.orderBy(F.xxhash64("text")).first()["text"]
     copied = texts.unionByName(spark.range(1000, 1200).select(F.col("id").alias("doc_id"), F.lit(least).alias("text")))
     assert quality.training_texts(copied, 40).distinct().count() == 40
-    kept = {x["doc_id"] for x in quality.classify(copied, 40).where("_keep").collect()}
+    kept = {x["doc_id"] for x in quality.classify(copied, 40).where("keep").collect()}
     assert {i for i in kept if i < 120} == set(range(60))
