@@ -4,13 +4,16 @@ A fingerprint has 64 bits, each set if set in over half the XXH64 hashes (seed 4
 shingles. Fingerprints within `most` = 4 differing bits agree in at least 4 of their 8 bytes, at the
 same positions. The index lists fingerprints under the values of three byte positions; the triples
 of positions are chosen so that any four positions contain one of them, so a pair with the
-guaranteed matches meets in a list. In each list the equal positional bytes of a pair are tallied,
-pairs with at least 4 are kept, and the differing bits of those are counted. Distinct fingerprints
+guaranteed matches meets in a list. Within a list the other five positions are indexed again, a posting
+for each position and byte; the postings that two fingerprints share are tallied on top of the list's
+three, pairs with at least 4 are kept, and the differing bits of those are counted. Distinct fingerprints
 are indexed, never documents, so groups of copies are one entry. A list over `block` entries is
 dealt out as pairs of blocks. A task sends on a spanning forest of its links, not all pairs.
 
 Null or word-less text: fingerprint zero, linked like any other. Rows with a null doc_id count
-among their fingerprint's documents, but never name a component. Equal rows give equal rows.
+among their fingerprint's documents, but never name a component. Equal rows give equal rows; rows that
+repeat a doc_id are judged each by its own text. Further columns of docs may have any names. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, local_labels, materialize, slices
+from .shared import components, discard, first_rows, keyed, local_labels, materialize, slices
 
-WORDS, SEED, MOST, BLOCK = 4, 42, 4, 2048
+WORDS, SEED, MOST, BLOCK = 4, 42, 4, 1024
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]:
@@ -42,7 +45,7 @@ def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) of the whole texts."""
+    """(doc_id, text_hash, fp long) of the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -55,9 +58,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
                 full = np.flatnonzero(sizes)
                 sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(sizes[full])[:-1])), axis=0, dtype=np.int64)
                 fp[full] = np.packbits(2 * sums > sizes[full][:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def position_triples(n: int = 8) -> list[tuple[int, ...]]:
@@ -87,29 +90,54 @@ def links(fps: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_pairs(most), "a long, b long").distinct()
 
 
+def shared_bytes(group: np.ndarray, fp: np.ndarray, known: np.ndarray, at_most: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, tally) of all pairs of a list that share a byte at a position besides its own
+    three: the tally counts the postings that hold both, the list's three included.
+
+    group: the list of each row, rows sorted by it; known: bits of the list's own positions. Lists are
+    taken together while their pairs are at most `at_most`."""
+    cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(cuts, len(fp)))
+    part = np.cumsum(size * (size - 1) // 2) // at_most
+    for chunk in np.split(np.arange(len(cuts)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+        low, high = cuts[chunk[0]], cuts[chunk[-1]] + size[chunk[-1]]
+        found = []
+        for position in range(8):
+            byte = (fp[low:high] >> np.uint64(8 * (7 - position))) & np.uint64(255)
+            posting = group[low:high] * 256 + byte.astype(np.int64)
+            rows = np.flatnonzero((known[low:high] >> position) & 1 == 0)
+            rows = rows[np.argsort(posting[rows], kind="stable")]
+            ends = np.flatnonzero(np.append(posting[rows][1:] != posting[rows][:-1], True)[: len(rows)])
+            after = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(len(rows))  # rows after this one in its posting
+            at, lag = np.flatnonzero(after > 0), 1
+            while len(at):
+                found.append(rows[at] * (high - low) + rows[at + lag])
+                lag += 1
+                at = at[after[at] >= lag]
+        if found:
+            pair, tally = np.unique(np.concatenate(found), return_counts=True)
+            yield low + pair // (high - low), low + pair % (high - low), tally + 3
+
+
 def _pairs(most: int):
     need = 8 - most
 
-    def solve(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Links within each run of equal group numbers: row i against row i + lag, for every lag."""
-        ends = np.flatnonzero(np.append(group[1:] != group[:-1], True))
-        left = (np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(len(fp))).astype(np.int64)  # rows after this one in its run
-        at, lag, a, b = np.flatnonzero(left > 0), 1, [], []
-        while len(at):
-            x = fp[at] ^ fp[at + lag]
-            tally = sum((((x >> np.uint64(8 * i)) & np.uint64(255)) == 0).astype(np.uint8) for i in range(8))
-            hit = np.flatnonzero(tally >= need)
-            hit = hit[np.bitwise_count(x[hit]) <= most]
-            a.append(at[hit])
-            b.append(at[hit] + lag)
-            lag += 1
-            at = at[left[at] >= lag]
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    def solve(key: np.ndarray, group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links within each run of equal group numbers."""
+        known = np.array([sum(1 << i for i in t) for t in position_triples()])[key >> 24]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for one, other, tally in shared_bytes(group, fp, known):
+            hit = tally >= need
+            one, other = one[hit], other[hit]
+            hit = np.bitwise_count(fp[one] ^ fp[other]) <= most
+            a.append(one[hit])
+            b.append(other[hit])
+        return np.concatenate(a), np.concatenate(b)
 
     def emit(rows: list[np.ndarray]) -> pa.RecordBatch:
         key, i, j, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
         group = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-        a, b = solve(group, fp.view(np.uint64))
+        a, b = solve(key, group, fp.view(np.uint64))
         nodes, place = np.unique(fp, return_inverse=True)
         root = local_labels(len(nodes), place[a], place[b])
         moved = np.flatnonzero(root != np.arange(len(nodes)))
@@ -135,22 +163,22 @@ def _pairs(most: int):
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    """(doc_id, text_hash, fp, group, component_id): group is one fingerprint of the component,
+    component_id its smallest doc_id."""
     prints = materialize(fingerprints(docs, words, seed), "simhash")
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "prints")
     found = components(links(fps.select("fp"), most))
-    rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # written tables, so that the joins have two plain inputs and Spark can split a large component or group of copies
+    rooted = materialize(fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("group")), "rooted")
+    named = materialize(rooted.groupBy("group").agg(F.min("first_doc").alias("component_id")), "named")
+    told = materialize(rooted.join(named, "group").select("fp", "group", "component_id"), "components")
+    discard(fps, rooted, named)
+    return prints.join(told, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id.
-
-    Rows that repeat a doc_id are one document and leave one row; rows without doc_id stay."""
-    kept = near_duplicates(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs with one row of each component: see first_rows()."""
+    return first_rows(docs, near_duplicates(docs, **settings))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
