@@ -8,15 +8,16 @@ with its gap and once without, the earliest line under each key is found by grou
 formed, and a common line is one row a task), and the pair of a line and its earliest partner is
 verified by its words. Of a group the earliest line, by document and line number, stays.
 
-To emit fewer keys, lines first meet on halves: of two lines within the bound either the first or
-the last half of the shorter one's words is equal. Only lines that share a half emit variants, and
-only with gaps where the words beside the shared half stand; a filter of fixed size carries those lines' hashes to the tasks that read the texts again.
+A filter goes before: of two lines within the bound either the first or the last half of the shorter
+one's words is equal, so a line that shares no half with another has no partner. All others emit all
+their variants; a filter sized from their number carries their hashes to the tasks that read the texts again.
 
-Exact copies of all lines with a word go. The edit bound follows the length: one word in lines of at
+The edit bound is a parameter, one word or none. Exact copies of all lines with a word go. It follows the length: one word in lines of at
 least `near_words` = 5 words, none in shorter ones, where one word is over a fifth of the line. In
 scripts without blanks each character counts as a word (and blanks beside it don't count). Blank lines
-stay. Null text stays null, documents without id stay whole, rows that repeat a
-doc_id are one document. Line ends are \\n; the order of lines is kept. Keys have 64 bits: where two
+stay. Null text stays null, documents without id stay whole. Of rows that repeat a doc_id with
+different texts the one with the smaller text hash (its upper 32 bits) comes first; rows equal in both
+lose the same lines. Columns of docs may have any names. An empty table gives an empty one. Line ends are \\n; the order of lines is kept. Keys have 64 bits: where two
 unlike keys meet (once in some 10^19 pairs), the words decide, so no line goes wrongly.
 """
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SetFilter, materialize, set_filter, slices
+from .shared import SetFilter, discard, keyed, materialize, own_names, set_filter, slices
 
 MIN_WORDS, NEAR_WORDS = 1, 5
 #: Thai to Lao, Burmese, Khmer, kana, Han.
@@ -81,22 +82,25 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _lines(min_words: int, near_words: int):
-    """(doc_id, line, h, halves) of lines of at least min_words words; halves from near_words on."""
+    """(doc_id, line, h, halves) of lines of at least min_words words; halves from near_words on.
+
+    The upper 32 bits of `line` are those of the text's hash, the lower ones the number of the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             docs, lines, hashes, halves = [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
+                own = own >> 32 << 32
                 for k, line in enumerate(text.split("\n")):
                     words = words_of(line)
                     if len(words) >= min_words:
                         docs.append(doc)
-                        lines.append(k)
+                        lines.append(own + k)
                         hashes.append(_hash(b" ".join(words)))
                         halves.append(half_keys(words) if len(words) >= near_words else None)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int32()), pa.array(hashes, pa.int64()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "line", "h", "halves"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lines, pa.int64()), pa.array(hashes, pa.int64()), pa.array(halves, pa.list_(pa.int64()))], names=["doc_id", "line", "h", "halves"])
 
-    return run, "doc_id long, line int, h long, halves array<long>"
+    return run, "doc_id long, line long, h long, halves array<long>"
 
 
 def _texts_of(wanted: SetFilter, near_words: int):
@@ -118,20 +122,13 @@ def _texts_of(wanted: SetFilter, near_words: int):
     return run, "h long, words string"
 
 
-def gaps(n: int, first: bool, last: bool) -> slice:
-    """Where two lines may differ, one of n words, that share the first half, the last, or either."""
-    half = (n - 1) // 2
-    return slice(0 if last else half, n if first else n - half)
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, role, h, doc_id, line): role 0 a line as it is, 1 a variant without its gap, 2 with it."""
     for batch in slices(batches, "words", 1 << 19):
         keys, roles, rows = [], [], []
-        for i, (text, first, last) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("words", "shares_first", "shares_last")), strict=True)):
+        for i, text in enumerate(batch.column("words").to_pylist()):
             own, plain, tagged = variant_keys(text.encode().split(b" "))
-            own_gaps = gaps(len(plain), first, last)
-            plain, tagged = np.unique(plain[own_gaps]), tagged[own_gaps]
+            plain = np.unique(plain)
             keys += [[own], plain, tagged]
             roles += [[0], np.ones(len(plain)), np.full(len(tagged), 2)]
             rows.append(np.full(1 + len(plain) + len(tagged), i))
@@ -148,23 +145,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("h").filter(pa.array(ok, pa.bool_()))], names=["h"])
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(doc_id, lines array<int>): the lines to remove of each document that has some."""
-    read = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = materialize(read.mapInArrow(*_lines(min_words, near_words)), "lines")
-    place = F.struct("doc_id", "line")
-    firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n"))
-    firsts = materialize(firsts, "firsts")
-    halves = firsts.select("h", F.posexplode("halves").alias("at", "half"))
+def _near(read: DataFrame, firsts: DataFrame, near_words: int) -> DataFrame:
+    """(h): hashes of lines that have a partner before them within one word."""
+    halves = firsts.select("h", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    sides = halves.join(shared, "half", "left_semi").groupBy("h").agg(F.bool_or(F.col("at") % 2 == 0).alias("shares_first"), F.bool_or(F.col("at") % 2 == 1).alias("shares_last"))
-    hopeful = materialize(sides, "hopeful")
+    hopeful = materialize(halves.join(shared, "half", "left_semi").select("h").distinct(), "hopeful")
+    texts = read.select("text").mapInArrow(*_texts_of(set_filter(hopeful), near_words))
+    told = texts.join(hopeful, "h", "left_semi").groupBy("h").agg(F.min("words").alias("words"))
+    told = materialize(told.join(firsts.select("h", "first.doc_id", "first.line"), "h"), "told")
 
-    texts = read.select("text").mapInArrow(*_texts_of(set_filter(hopeful.select("h")), near_words))
-    told = texts.join(hopeful.select("h"), "h", "left_semi").groupBy("h").agg(F.min("words").alias("words"))
-    told = materialize(told.join(hopeful, "h").join(firsts.select("h", "first.doc_id", "first.line"), "h"), "told")
-
-    variants = told.mapInArrow(_variants, "key long, role int, h long, doc_id long, line int")
+    variants = told.mapInArrow(_variants, "key long, role int, h long, doc_id long, line long")
     ranked = variants.withColumn("me", F.struct("doc_id", "line", "h"))
     when = lambda role: F.min(F.when(F.col("role") == role, F.col("me")))
     least = ranked.groupBy("key").agg(when(0).alias("whole"), when(1).alias("part"), when(2).alias("gap"), F.count("*").alias("n")).where("n > 1")
@@ -172,27 +162,46 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     partner = F.when(F.col("role") == 0, F.col("part")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("gap"))
     pairs = met.withColumn("partner", partner).where("partner < me").groupBy("h").agg(F.min("partner").alias("partner")).select("h", F.col("partner.h").alias("partner"))
     both = pairs.join(told.select("h", "words"), "h").join(told.select(F.col("h").alias("partner"), F.col("words").alias("other")), "partner")
-    near = both.select("h", "words", "other").mapInArrow(_verified, "h long")
+    near = materialize(both.select("h", "words", "other").mapInArrow(_verified, "h long"), "near")
+    discard(hopeful, told)
+    return near
+
 
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, edits: int = 1) -> DataFrame:
+    """(doc_id, own, lines array<int>): the lines to remove of each row that has some, a written table;
+    own: the upper 32 bits of the text's hash. edits: 1, or 0 for exact copies only."""
+    if edits not in (0, 1):
+        raise ValueError("a gap tells one edited word; more need another neighbourhood")
+    read = keyed(docs.where("doc_id is not null and text is not null"))
+    lines = materialize(read.mapInArrow(*_lines(min_words, near_words)), "lines")
+    firsts = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("n"))
+    firsts = materialize(firsts, "firsts")
+    near = _near(read, firsts, near_words) if edits else firsts.select("h").limit(0)
     judged = firsts.select("h", "first", "n").join(near.withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     # written first, so that the join below has two inputs and Spark can split the rows of a very common line
     judged = materialize(judged, "judged")
     gone = lines.select("doc_id", "line", "h").join(judged, "h").where("near or struct(doc_id, line) <> first")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    number = F.col("line").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    out = materialize(gone.groupBy("doc_id", F.shiftright("line", 32).alias("own")).agg(F.array_sort(F.collect_set(number)).alias("lines")), "gone")
+    discard(lines, firsts, judged, *([near] if edits else []))
+    return out
 
 
-def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs with a `_gone` array of line numbers (null for none) and those lines taken out of text."""
-    joined = docs.join(gone.select(F.col("doc_id").alias("_doc"), F.col("lines").alias("_gone")), docs["doc_id"] == F.col("_doc"), "left").drop("_doc")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+def without_lines(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs with an array `name` of line numbers (null for none) and those lines taken out of text."""
+    doc, own = own_names(docs, "doc", "own")
+    there = gone.select(F.col("doc_id").alias(doc), F.col("own").alias(own), F.col("lines").alias(name))
+    joined = docs.join(there, (docs["doc_id"] == F.col(doc)) & (F.shiftright(F.xxhash64(docs["text"]), 32) == F.col(own)), "left").drop(doc, own)
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(name, i))
+    return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
 
 
 def drop_repeated_lines(docs: DataFrame, **settings) -> DataFrame:
     """docs with repeated lines removed and n_chars counted anew; a document stays even if emptied."""
-    out = without_lines(docs, repeated_lines(docs, **settings))
+    (name,) = own_names(docs, "gone")
+    out = without_lines(docs, repeated_lines(docs, **settings), name)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+        out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
@@ -200,4 +209,4 @@ def line_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text of what stays."""
     n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     out = docs.select("doc_id", "text", F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"))
-    return without_lines(out, repeated_lines(docs)).select("doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), "text")
+    return without_lines(out, repeated_lines(docs), "gone").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), "text")
