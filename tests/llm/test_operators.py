@@ -121,6 +121,14 @@ def test_embeddings(spark, sf_dir):
     assert len(pivots) == 32 and len(row) < 3 * len(close) and own.sum() == len(close)
     joined = {(a, b) for c in range(len(pivots)) for a in row[(cell == c) & own] for b in row[cell == c] if close[a] @ close[b] >= 0.9}
     assert joined == {(a, b) for a, b in zip(*np.nonzero(close @ close.T >= 0.9), strict=True)}
+    # crowded cells are parted again
+    sets = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(close)], "vec_id long, embedding array<double>")
+    units = embedding_dedup.scaled(embedding_dedup.usable(sets)).groupBy("dim", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).cache()
+    placed, sizes = embedding_dedup.cells(units, float(np.sqrt(0.2)), block=20)
+    assert placed.where("own").count() == 800 and sizes.count() >= 32
+    links, _ = embedding_dedup.joined(units, block=20)
+    full = (close @ close.T >= 0.9).sum(axis=1)
+    assert {x["node"]: x["linked"] for x in links.collect()} == dict(enumerate(full.tolist()))
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
@@ -214,7 +222,7 @@ def test_packing(docs, rows, empty):
 def test_quality(spark, docs, empty, sf_dir):
     judged = quality.classify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    held = [(r["_keep"], r["quality"]) for r in judged.join(labels, "doc_id").collect()]
+    held = [(r["keep"], r["good"]) for r in judged.join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id").collect()]
     good, poor = [k for k, q in held if q == 1], [k for k, q in held if q == 0]
     assert sum(good) / len(good) > 0.97 and sum(poor) / len(poor) < 0.2
     kept = quality.drop_poor(docs)
