@@ -190,7 +190,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 def without_lines(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     """docs with an array `name` of line numbers (null for none) and those lines taken out of text."""
     doc, own = own_names(docs, "doc", "own")
-    there = gone.select(F.col("doc_id").alias(doc), F.col("own").alias(own), F.col("lines").alias(name))
+    # one plan at every size: a table of lines that is small today isn't sent to all tasks
+    there = gone.select(F.col("doc_id").alias(doc), F.col("own").alias(own), F.col("lines").alias(name)).hint("merge")
     joined = docs.join(there, (docs["doc_id"] == F.col(doc)) & (F.shiftright(F.xxhash64(docs["text"]), 32) == F.col(own)), "left").drop(doc, own)
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(name, i))
     return joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
