@@ -122,21 +122,26 @@ def _texts_of(wanted: SetFilter, near_words: int):
     return run, "h long, words string"
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, role, h, doc_id, line): role 0 a line as it is, 1 a variant without its gap, 2 with it."""
-    for batch in slices(batches, "words", 1 << 19):
-        keys, roles, rows = [], [], []
-        for i, text in enumerate(batch.column("words").to_pylist()):
-            own, plain, tagged = variant_keys(text.encode().split(b" "))
-            plain = np.unique(plain)
-            keys += [[own], plain, tagged]
-            roles += [[0], np.ones(len(plain)), np.full(len(tagged), 2)]
-            rows.append(np.full(1 + len(plain) + len(tagged), i))
-        at = pa.array(np.concatenate(rows))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(roles).astype(np.int32)), *(batch.column(c).take(at) for c in ("h", "doc_id", "line"))],
-            names=["key", "role", "h", "doc_id", "line"],
-        )
+def _variants(wanted: SetFilter | None = None):
+    """(key, role, h, doc_id, line): role 0 a line as it is, 1 a variant without its gap, 2 with it; only keys that the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words", 1 << 19):
+            keys, roles, rows = [], [], []
+            for i, text in enumerate(batch.column("words").to_pylist()):
+                own, plain, tagged = variant_keys(text.encode().split(b" "))
+                plain = np.unique(plain)
+                keys += [[own], plain, tagged]
+                roles += [[0], np.ones(len(plain)), np.full(len(tagged), 2)]
+                rows.append(np.full(1 + len(plain) + len(tagged), i))
+            keys, roles, rows = np.concatenate(keys).astype(np.int64), np.concatenate(roles).astype(np.int32), np.concatenate(rows)
+            if wanted is not None:
+                keep = wanted.might_hold(keys.view(np.uint64))
+                keys, roles, rows = keys[keep], roles[keep], rows[keep]
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(roles), *(batch.column(c).take(at) for c in ("h", "doc_id", "line"))], names=["key", "role", "h", "doc_id", "line"])
+
+    return run, "key long, role int, h long, doc_id long, line long"
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +159,9 @@ def _near(read: DataFrame, firsts: DataFrame, near_words: int) -> DataFrame:
     told = texts.join(hopeful, "h", "left_semi").groupBy("h").agg(F.min("words").alias("words"))
     told = materialize(told.join(firsts.select("h", "first.doc_id", "first.line"), "h"), "told")
 
-    variants = told.mapInArrow(_variants, "key long, role int, h long, doc_id long, line long")
+    # most variants meet no other: their keys alone are counted first, and only the others travel with their lines
+    met_keys = materialize(told.mapInArrow(*_variants()).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    variants = told.mapInArrow(*_variants(set_filter(met_keys)))
     ranked = variants.withColumn("me", F.struct("doc_id", "line", "h"))
     when = lambda role: F.min(F.when(F.col("role") == role, F.col("me")))
     least = ranked.groupBy("key").agg(when(0).alias("whole"), when(1).alias("part"), when(2).alias("gap"), F.count("*").alias("n")).where("n > 1")
@@ -163,7 +170,7 @@ def _near(read: DataFrame, firsts: DataFrame, near_words: int) -> DataFrame:
     pairs = met.withColumn("partner", partner).where("partner < me").groupBy("h").agg(F.min("partner").alias("partner")).select("h", F.col("partner.h").alias("partner"))
     both = pairs.join(told.select("h", "words"), "h").join(told.select(F.col("h").alias("partner"), F.col("words").alias("other")), "partner")
     near = materialize(both.select("h", "words", "other").mapInArrow(_verified, "h long"), "near")
-    discard(hopeful, told)
+    discard(hopeful, told, met_keys)
     return near
 
 
