@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import search
-
 LEAST = 0.6
 
 
@@ -27,7 +25,11 @@ def likeness(query: list[str], text: list[str], least: float = LEAST) -> float:
     if not wanted:
         return 0.0
     at, widest, best = [i for i, t in enumerate(text) if t in wanted], len(wanted) / least, 0.0
+    needed = least * len(wanted)
     for k, start in enumerate(at):
+        # an extent that reaches `least` holds that many hits, and no trigram twice between its first ones but by repetition
+        if len(at) - k < needed:
+            break
         seen: set[str] = set()
         common, next_hit = 0, k
         for i in range(start, len(text)):
@@ -60,6 +62,9 @@ def fuzzy_search(packages: DataFrame, query: str, limit: int = 25, least: float
     if not wanted:
         return packages.limit(0).withColumn("similarity", F.lit(0.0))
     both = F.concat_ws(" ", "name", "summary")
-    shared = F.size(F.array_intersect(search.trigrams(both), F.array(*map(F.lit, wanted))))
-    found = packages.where(shared >= least * len(wanted)).withColumn("similarity", F.round(word_similarity(query, both, least), 6))
+    # words two blanks after and one before the next: trigrams of a word are substrings here, and no other is one of the query's
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(both), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    spread = packages.withColumn("padded", padded)
+    shared = sum((F.when(F.col("padded").contains(t), 1).otherwise(0) for t in wanted), F.lit(0))
+    found = spread.where(shared >= least * len(wanted)).drop("padded").withColumn("similarity", F.round(word_similarity(query, both, least), 6))
     return found.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), F.desc("id")).limit(limit)
