@@ -14,6 +14,7 @@ OTHER = r"\x{370}-\x{10ff}\x{1200}-\x{139f}\x{1780}-\x{17ff}"
 
 # JavaScript's \b knows ASCII word characters only; these lookarounds say the same in Java.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+# What analyzers look for.
 INSTALLERS = ("npm install", "npm i", "npx", "pip install", "pip3 install", "uvx", "brew install", "uv add", "uv pip install", "bunx")
 REMOTE_EXECUTION = {
     "curl | sh": rf"{EDGE}curl{EDGE}[^\n|]*\|\s*(?:sudo\s+)?(?:sh|bash){EDGE}",
@@ -22,6 +23,8 @@ REMOTE_EXECUTION = {
 }
 # A line with one of these verbs asks for its addresses; the first in this order names the request.
 FETCH_VERBS = ("WebFetch", "WebSearch", "Fetch from", "GET", "POST", "PUT", "DELETE", "Navigate to", "Open", "curl", "wget", "requests.get", "axios")
+# First segments of the code host's addresses that are no accounts.
+RESERVED_OWNERS = "about apps codespaces collections contact enterprise events explore features issues join login marketplace new notifications orgs pricing pulls search security settings sponsors stars topics trending users".split()
 ADDRESS_END = r"\s<>()\[\]\"'`"
 
 
@@ -30,26 +33,31 @@ def content_hash(body: Column) -> Column:
     return F.sha2(F.replace(body, F.lit("\r\n"), F.lit("\n")).cast("binary"), 256)
 
 
-def count_in(text: Column, ranges: str) -> Column:
-    """How many characters fall in the ranges; the test before spares most rows the replacement."""
-    return F.when(text.rlike(f"[{ranges}]"), F.length(text) - F.length(F.regexp_replace(text, f"[{ranges}]+", ""))).otherwise(0)
+#: Shares and numbers that decide between classes.
+LEAST_CJK_SHARE, LEAST_KANA_SHARE, LEAST_HANGUL_SHARE, LEAST_CJK_ALONE, SENTENCE_WORDS = 0.1, 0.1, 0.5, 4, 6
+
+
+def letters_by_script(text: Column) -> Column:
+    """struct<han, kana, hangul, latin, other> of numbers of letters: runs of all other characters are
+    taken out and the rest is measured, in texts that have such a letter at all."""
+    scripts = {"han": HAN, "kana": KANA, "hangul": HANGUL, "latin": LATIN, "other": OTHER}
+    return F.struct(*(F.when(text.rlike(f"[{r}]"), F.length(F.regexp_replace(text, f"[^{r}]+", ""))).otherwise(0).alias(name) for name, r in scripts.items()))
 
 
 def writing_system(text: Column) -> Column:
-    """latin, zh, ja, ko, mixed, other, unknown, or null for null and blank."""
-    cjk, latin, other = count_in(text, HAN + KANA + HANGUL), count_in(text, LATIN), count_in(text, OTHER)
-    sentence = rf"([{LATIN}][{LATIN}0-9'._/-]*[,;:!?\"()]*\s+){{5}}[{LATIN}]"
-    either = F.when(latin >= other, "latin").otherwise("other")
-    with_cjk = (
-        F.when(cjk * 10 < cjk + latin + other, either)
-        .when(text.rlike(sentence), "mixed")
-        .when(count_in(text, HANGUL) * 2 >= cjk, "ko")
-        .when(count_in(text, KANA) * 10 >= cjk, "ja")
-        .when(cjk < 4, "unknown")
-        .otherwise("zh")
-    )
-    without = F.when(text.rlike(f"[{OTHER}]"), either).when(text.rlike(f"[{LATIN}]"), "latin").otherwise("unknown")
-    return F.when(text.isNull() | (F.trim(text) == ""), None).when(text.rlike(f"[{HAN}{KANA}{HANGUL}]"), with_cjk).otherwise(without)
+    """latin, zh, ja, ko, mixed, other, unknown, or null for null and blank.
+
+    A share of CJK letters below the least leaves the larger of the other scripts. Above it a run of
+    Latin words makes a text mixed; else Hangul, Kana and Han are asked in turn, each by its share."""
+    n = letters_by_script(text)
+    cjk, rest = n["han"] + n["kana"] + n["hangul"], n["latin"] + n["other"]
+    word, gap = f"[{LATIN}][{LATIN}0-9'._/-]*", r"[,;:!?\"()]*\s+"
+    in_sentence = text.rlike(f"({word}{gap}){{{SENTENCE_WORDS - 1}}}[{LATIN}]")
+    alone = F.when(text.rlike(f"[{LATIN}]"), "latin").otherwise("unknown")
+    alphabetic = F.when(n["other"] == 0, alone).when(n["latin"] >= n["other"], "latin").otherwise("other")
+    asian = F.when(n["hangul"] >= LEAST_HANGUL_SHARE * cjk, "ko").when(n["kana"] >= LEAST_KANA_SHARE * cjk, "ja").when(cjk >= LEAST_CJK_ALONE, "zh").otherwise("unknown")
+    by_letters = F.when((cjk == 0) | (cjk < LEAST_CJK_SHARE * (cjk + rest)), alphabetic).otherwise(F.when(in_sentence, "mixed").otherwise(asian))
+    return F.when(F.trim(text) != "", by_letters)
 
 
 def visible_language(text: Column, hidden: list[str]) -> Column:
@@ -83,10 +91,9 @@ def fetch_verb(line: Column) -> Column:
 
 def repository_of(url: Column) -> Column:
     """owner/name of an https address of the code host, lower-cased; null for others and reserved paths."""
-    reserved = "about apps blog collections contact customer-stories enterprise events explore features issues login marketplace new notifications orgs pricing pulls search security settings signup site sponsors topics trending".split()
     owner = F.regexp_extract(url, r"\Ahttps://(?:www\.)?github\.com/([A-Za-z0-9][A-Za-z0-9-]{0,38})/([A-Za-z0-9._-]{1,100}?)(?:\.git)?(?:[/?#].*)?\z", 1)
     name = F.regexp_extract(url, r"\Ahttps://(?:www\.)?github\.com/([A-Za-z0-9][A-Za-z0-9-]{0,38})/([A-Za-z0-9._-]{1,100}?)(?:\.git)?(?:[/?#].*)?\z", 2)
-    return F.when((owner != "") & ~F.lower(owner).isin(reserved), F.lower(F.concat_ws("/", owner, name)))
+    return F.when((owner != "") & ~F.lower(owner).isin(*RESERVED_OWNERS), F.lower(F.concat_ws("/", owner, name)))
 
 
 def links(markdown: Column) -> Column:
@@ -105,6 +112,11 @@ def compact_stars(n: Column) -> Column:
     return F.when(n < 1000, n.cast("string")).when(n < 100_000, F.concat((tenths / 10).cast("decimal(10,1)").cast("string"), F.lit("k"))).otherwise(F.concat(F.floor(n / 1000).cast("string"), F.lit("k")))
 
 
+def motes(n: Column) -> Column:
+    """min(900, n)."""
+    return F.least(F.lit(900), n)
+
+
 def plates(n: Column) -> Column:
     """min(16, 1 + floor(log2 n)), 0 for none."""
     return F.when(n < 1, 0).otherwise(F.least(F.lit(16), 1 + F.length(F.bin(n)) - 1).cast("int"))

@@ -21,27 +21,24 @@ def not_listed_because(packages: DataFrame) -> DataFrame:
     """Adds `reason`: fork, unparsed, duplicate, variant, or null for listed rows.
 
     packages: id, repository_id, type, name, parent_path, language, source_path, stars, is_fork,
-    parse_status, content_hash, delisted_at, shape_only. Two windows instead of correlated subqueries:
-    the least rank of a variant group, and the greatest of a content hash. Rows without a hash get
-    a key of their own each, so they don't meet in one task.
-    """
+    parse_status, content_hash, delisted_at, shape_only. The least rank of each variant group and the
+    greatest standing of each content hash are groupings, which combine before the shuffle, joined back
+    by key; names, paths and hashes of any length travel as 128-bit keys."""
     live = F.col("delisted_at").isNull()
     dotted = F.col("source_path").rlike(r"(\A|/)\.[^/]+/")
     depth = F.length("source_path") - F.length(F.replace("source_path", F.lit("/"), F.lit("")))
     rank = F.struct(dotted.alias("a"), depth.alias("b"), F.length("source_path").alias("c"), F.col("id").alias("d"))
     parsed = ~F.col("parse_status").eqNullSafe(F.lit("failed"))
     kin = F.col("type").isin("skill", "command", "agent")
-    own = F.when(kin, F.lit(None)).otherwise(F.col("id")).alias("own")  # other types are groups of one
-    key = F.struct("repository_id", "type", F.lower("name").alias("name"), "parent_path", "language", own)
-    best = F.min(F.when(live & parsed, F.col("_rank"))).over(Window.partitionBy("_kin"))
-    with_variant = packages.withColumn("_rank", rank).withColumn("_kin", key).withColumn("_variant", F.coalesce(kin & (best < F.col("_rank")), F.lit(False)))
+    key = F.when(kin, F.md5(F.to_json(F.struct("repository_id", "type", F.lower("name").alias("name"), "parent_path", "language"))))
     standing = F.struct(F.col("stars").alias("a"), (-F.col("id")).alias("b"))
-    content = F.coalesce("content_hash", F.concat(F.lit("none "), F.col("id").cast("string")))
-    eligible = live & ~F.col("is_fork") & parsed & ~F.col("shape_only") & ~F.col("_variant")
-    top = F.max(F.when(eligible, standing)).over(Window.partitionBy("_content"))
-    with_copy = with_variant.withColumn("_content", content).withColumn("_copy", F.coalesce(~F.col("shape_only") & F.col("content_hash").isNotNull() & (top > standing), F.lit(False)))
-    reason = F.when(F.col("is_fork"), "fork").when(~parsed, "unparsed").when(F.col("_copy"), "duplicate").when(F.col("_variant"), "variant")
-    return with_copy.withColumn("reason", reason).drop("_rank", "_kin", "_variant", "_content", "_copy")
+    slim = packages.select("id", "stars", rank.alias("rank"), key.alias("kin"), "content_hash", (live & parsed).alias("good"), (live & parsed & ~F.col("is_fork") & ~F.col("shape_only")).alias("able"), "shape_only", "is_fork", parsed.alias("parsed"))
+    best = slim.where("good and kin is not null").groupBy("kin").agg(F.min("rank").alias("best"))
+    varied = slim.join(best, "kin", "left").withColumn("variant", F.coalesce(F.col("best") < F.col("rank"), F.lit(False)))
+    top = varied.where("able and not variant and content_hash is not null").groupBy("content_hash").agg(F.max(standing).alias("top"))
+    copied = varied.join(top, "content_hash", "left").withColumn("copy", F.coalesce(~F.col("shape_only") & (F.col("top") > standing), F.lit(False)))
+    reason = F.when(F.col("is_fork"), "fork").when(~F.col("parsed"), "unparsed").when(F.col("copy"), "duplicate").when(F.col("variant"), "variant")
+    return packages.join(copied.select("id", reason.alias("reason")), "id")
 
 
 def with_total(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COMPONENTS = ("skills", "commands", "agents", "hooks")
+# Folders and files that are components of the folder they are in.
+COMPONENTS = ("skills", "commands", "agents", "workflows", "output-styles")
+COMPONENT_FILES = (".mcp.json", ".lsp.json")
 SCRIPT = r"\.(py|sh|js|ts|rb|ps1|mjs)\z"
 MOST_FILES = 200
 
@@ -19,7 +21,7 @@ def folder(path: Column) -> Column:
 
 
 def detected(tree: DataFrame) -> DataFrame:
-    """(repo, path, type) of files whose path alone names an artifact."""
+    """(repo, path, type) of files that their path, or the plugin they are in, makes an artifact."""
     p, name = F.col("path"), base_name(F.col("path"))
     kind = (
         F.when(name == "SKILL.md", "skill")
@@ -30,15 +32,44 @@ def detected(tree: DataFrame) -> DataFrame:
         .when(name.isin(".mcp.json", "server.json"), "mcp_server")
         .when(p.rlike(r"(\A|/)hooks/hooks\.json\z") | p.rlike(r"(\A|/)\.claude/settings\.json\z"), "hook")
     )
-    return tree.withColumn("type", kind).where("type is not null").select("repo", "path", "type")
+    by_path = tree.withColumn("type", kind).where("type is not null").select("repo", "path", "type")
+    more = plugin_agents(tree).join(by_path.select("repo", "path"), ["repo", "path"], "left_anti")
+    return by_path.unionByName(more.withColumn("type", F.lit("agent")))
+
+
+def components(tree: DataFrame) -> DataFrame:
+    """(repo, root, components): every folder with components right below it, nested ones and the top ('') too.
+
+    hooks/hooks.json alone makes `hooks` a component."""
+    parts = F.split("path", "/")
+    n = F.size(parts)
+    above = lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")
+    named = lambda k, c: F.struct(above(k).alias("root"), c.alias("component"))
+    folders = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: named(i, F.get(parts, i))), lambda x: x["component"].isin(*COMPONENTS) & (n > 1))
+    last = F.element_at(parts, -1)
+    files = F.when(last.isin(*COMPONENT_FILES), F.array(named(n - 1, last))).otherwise(F.filter(folders, lambda x: F.lit(False)))
+    hooks = F.when(F.col("path").rlike(r"(\A|/)hooks/hooks\.json\z"), F.array(named(n - 2, F.lit("hooks")))).otherwise(F.filter(folders, lambda x: F.lit(False)))
+    found = tree.select("repo", F.explode(F.concat(folders, files, hooks)).alias("f")).select("repo", "f.*")
+    return found.groupBy("repo", "root").agg(F.array_sort(F.collect_set("component")).alias("components"))
+
+
+def manifest_roots(tree: DataFrame) -> DataFrame:
+    """(repo, root) of folders with a plugin's manifest."""
+    at = r"(\A|/)\.claude-plugin/plugin\.json\z"
+    return tree.where(F.col("path").rlike(at)).select("repo", F.regexp_replace("path", at, "").alias("root"))
 
 
 def shape_roots(tree: DataFrame) -> DataFrame:
-    """(repo, root, components): folders with two or more component folders and no manifest of their own."""
-    found = tree.select("repo", F.regexp_extract("path", rf"\A(.+?)/({'|'.join(COMPONENTS)})/", 1).alias("root"), F.regexp_extract("path", rf"\A(.+?)/({'|'.join(COMPONENTS)})/", 2).alias("component"))
-    roots = found.where(F.col("root") != "").where(~F.col("root").rlike(r"(\A|/)\.")).groupBy("repo", "root").agg(F.array_sort(F.collect_set("component")).alias("components"))
-    manifests = tree.where(F.col("path").rlike(r"/\.claude-plugin/plugin\.json\z")).select("repo", F.regexp_replace("path", r"/\.claude-plugin/plugin\.json\z", "").alias("root"))
-    return roots.where(F.size("components") >= 2).join(manifests, ["repo", "root"], "left_anti")
+    """(repo, root, components): folders below the top with two or more components, no dotted folder in their path and no manifest."""
+    shaped = components(tree).where((F.size("components") >= 2) & (F.col("root") != "") & ~F.col("root").rlike(r"(\A|/)\."))
+    return shaped.join(manifest_roots(tree), ["repo", "root"], "left_anti")
+
+
+def plugin_agents(tree: DataFrame) -> DataFrame:
+    """(repo, path): files agents/*.md of a plugin's root, declared or by shape."""
+    roots = manifest_roots(tree).unionByName(shape_roots(tree).select("repo", "root")).distinct()
+    files = tree.where(F.col("path").rlike(r"(\A|/)agents/[^/]+\.md\z") & ~F.col("path").rlike(r"(\A|/)commands/") & ~F.lower(base_name(F.col("path"))).isin("readme.md"))
+    return files.select("repo", "path", F.regexp_replace("path", r"(\A|/)agents/[^/]+\z", "").alias("root")).join(roots, ["repo", "root"], "left_semi").select("repo", "path")
 
 
 def inventory(artifacts: DataFrame, tree: DataFrame, most: int = MOST_FILES) -> DataFrame:
