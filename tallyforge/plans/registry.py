@@ -31,10 +31,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tallyforge.plans import bodies, pages  # noqa: F401  both add theirs
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -50,10 +53,10 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("repository"),
         repo.alias("repository_id"),
         F.when(F.col("lang") == "en", "skill").when(F.col("lang") == "fr", "command").when(F.col("lang") == "de", "agent").otherwise("plugin").alias("type"),
-        F.substring("text", 1, 2).alias("name"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("name"),
         F.lit(None).cast("string").alias("parent_path"),
-        F.substring("text", 1, 160).alias("summary"),
-        T.writing_system(F.substring("text", 1, 160)).alias("language"),
+        F.col("text").alias("summary"),
+        T.writing_system(F.col("text")).alias("language"),
         F.concat(F.when(F.col("doc_id") % 3 == 0, ".x/a/").otherwise("b/"), F.col("doc_id").cast("string")).alias("source_path"),
         (repo * 7 % 50).alias("stars"),
         (repo % 9 == 4).alias("is_fork"),
@@ -65,24 +68,20 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _class_sql(s: str) -> str:
-    n = lambda r: f"(length({s}) - length(regexp_replace({s}, '[{r}]+', '', 'g')))"
-    cjk = T.HAN + T.KANA + T.HANGUL
+    """The class by counting matches one by one, most of all a share in whole tenths."""
+    n = {name: f"len(regexp_extract_all({s}, '[{r}]'))" for name, r in (("han", T.HAN), ("kana", T.KANA), ("hangul", T.HANGUL), ("latin", T.LATIN), ("other", T.OTHER))}
     latin = T.LATIN.replace("'", "''")
-    sentence = f"([{latin}][{latin}0-9''._/-]*[,;:!?\"()]*\\s+){{5}}[{latin}]"
-    either = f"case when {n(T.LATIN)} >= {n(T.OTHER)} then 'latin' else 'other' end"
-    return f"""case when {s} is null or trim({s}) = '' then null
-      when not regexp_matches({s}, '[{cjk}]') then case when not regexp_matches({s}, '[{T.OTHER}]') then case when regexp_matches({s}, '[{T.LATIN}]') then 'latin' else 'unknown' end else {either} end
-      when {n(cjk)} * 10 < {n(cjk)} + {n(T.LATIN)} + {n(T.OTHER)} then {either}
-      when regexp_matches({s}, '{sentence}') then 'mixed'
-      when {n(T.HANGUL)} * 2 >= {n(cjk)} then 'ko'
-      when {n(T.KANA)} * 10 >= {n(cjk)} then 'ja'
-      when {n(cjk)} < 4 then 'unknown' else 'zh' end"""
+    five = f"([{latin}][{latin}0-9''._/-]*[,;:!?\"()]*\\s+){{5}}[{latin}]"
+    return f"""(select case when trim(s) = '' or s is null then null
+      when c = 0 or 10 * c < c + l + o then if(l + o = 0, 'unknown', if(l >= o, 'latin', 'other'))
+      when len(regexp_extract_all(s, '{five}')) > 0 then 'mixed' when 2 * g >= c then 'ko' when 10 * k >= c then 'ja' when c >= 4 then 'zh' else 'unknown' end
+      from (select {s} as s, {n["han"]} + {n["kana"]} + {n["hangul"]} as c, {n["kana"]} as k, {n["hangul"]} as g, {n["latin"]} as l, {n["other"]} as o))"""
 
 
 _PACKAGES = f"""packages as (select doc_id as id, source as repository, cast(substr(source, 4) as bigint) as repository_id,
   case lang when 'en' then 'skill' when 'fr' then 'command' when 'de' then 'agent' else 'plugin' end as type,
-  substr(text, 1, 2) as name, cast(null as varchar) as parent_path, substr(text, 1, 160) as summary,
-  {_class_sql("substr(text, 1, 160)")} as language,
+  split_part(text, chr(10), 1) as name, cast(null as varchar) as parent_path, text as summary,
+  {_class_sql("text")} as language,
   (case when doc_id % 3 = 0 then '.x/a/' else 'b/' end) || doc_id as source_path,
   cast(substr(source, 4) as bigint) * 7 % 50 as stars, cast(substr(source, 4) as bigint) % 9 = 4 as is_fork,
   case when n_chars < 100 then 'failed' else 'ok' end as parse_status,
@@ -210,10 +209,11 @@ def table_fingerprints(spark, sf_dir):
     return one("nation", "n_nationkey", "n_name").unionByName(one("region", "r_regionkey", "r_name"))
 
 
-@query("select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey) and c_nationkey not in (1, 2)")
+@query("select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_orderstatus = 'O') and c_nationkey not in (1, 2)")
 def seeds_without_jobs(spark, sf_dir):
     denied = spark.createDataFrame([(1,), (2,)], "c_nationkey int")
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").join(F.broadcast(denied), "c_nationkey", "left_anti").select("c_custkey", "c_name")
+    jobs = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(jobs, "c_custkey", "left_anti").join(F.broadcast(denied), "c_nationkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("""select n_name, count(*) as findings from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
@@ -241,10 +241,16 @@ def scoped_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), ((F.col("p_name").isNull() | ~F.lower("p_name").contains("a")) & F.lower("p_brand").startswith("brand#1")).alias("visible"))
 
 
-@query("""select p_partkey from part p where p_type is not null and not exists (select 1 from lineitem l where l.l_partkey = p.p_partkey and l.l_returnflag = 'R')""")
+@query("""with newest as (select l_orderkey, arg_max(l_discount, (l_shipdate, l_linenumber)) as discount from lineitem group by 1)
+select o_orderkey from orders join newest on l_orderkey = o_orderkey where left(o_orderpriority, 1) in ('1', '2') and discount > 0.05
+and not exists (select 1 from lineitem l where l.l_orderkey = o_orderkey and l_returnflag = 'R' and lower(l_linestatus) like 'f%')""")
 def capability_absence(spark, sf_dir):
-    found = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").where("p_type is not null").join(found, "p_partkey", "left_anti").select("p_partkey")
+    """Packages of two types whose newest version was analysed, without a finding of a category whose signal begins with f."""
+    lines = table(spark, sf_dir, "lineitem")
+    newest = listing.latest(lines.select("l_orderkey", "l_shipdate", "l_linenumber", "l_discount"), "l_orderkey", "l_shipdate", "l_linenumber").where("l_discount > 0.05")
+    found = lines.where((F.col("l_returnflag") == "R") & F.lower("l_linestatus").startswith("f")).select(F.col("l_orderkey").alias("o_orderkey"))
+    kept = table(spark, sf_dir, "orders").where(F.substring("o_orderpriority", 1, 1).isin("1", "2")).join(newest, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    return kept.join(found, "o_orderkey", "left_anti").select("o_orderkey")
 
 
 @query("select s_suppkey, case when s_suppkey % 7 = 0 then 'fork' when s_suppkey % 5 = 0 then 'archived' when s_acctbal < 5000 then 'below_floor' end as rejected from supplier")
@@ -289,28 +295,31 @@ def refresh_due(spark, sf_dir):
     return state.refresh_due(rows, now, 86400, 40).select("id")
 
 
-@query("""select coalesce(n.id, o.id) as id, case when n.id is not null then n.v else o.v end as v, coalesce(o.created, n.created) as created
-from (select p_partkey as id, p_name as v, 1 as created from part where p_partkey % 2 = 0) o full join (select p_partkey as id, p_brand as v, 2 as created from part where p_partkey % 3 = 0) n on o.id = n.id""")
+_OLD_NEW = """o as (select l_partkey as id, max(l_extendedprice) as v, 1 as created from lineitem where l_quantity = 1 group by 1),
+n as (select l_partkey as id, max(l_extendedprice) as v, 2 as created from lineitem where l_quantity = 2 group by 1)"""
+
+
+def _old_new(spark, sf_dir):
+    """Two states of an index: parts met in lines of one piece, and in lines of two."""
+    lines = table(spark, sf_dir, "lineitem")
+    state_of = lambda n: lines.where(F.col("l_quantity") == n).groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_extendedprice").alias("v")).withColumn("created", F.lit(n))
+    return state_of(1), state_of(2)
+
+
+@query(f"with {_OLD_NEW} select coalesce(n.id, o.id) as id, if(n.id is null, o.v, n.v) as v, coalesce(o.created, n.created) as created from o full join n on o.id = n.id")
 def upsert_packages(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    old = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("v"), F.lit(1).alias("created"))
-    new = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"), F.lit(2).alias("created"))
-    return state.upsert(old, new, ["id"], kept=["created"])
+    return state.upsert(*_old_new(spark, sf_dir), ["id"], kept=["created"])
 
 
-@query("""with o as (select p_partkey as id, p_brand as v from part where p_partkey % 2 = 0), n as (select p_partkey as id, case when p_partkey % 5 = 0 then 'x' else p_brand end as v from part where p_partkey % 3 = 0)
-select count(*) filter (where o.id is null) as n_new, count(*) filter (where o.id is not null and n.id is not null and o.v <> n.v) as n_updated, count(*) filter (where o.v = n.v) as n_unchanged, count(*) filter (where n.id is null) as n_removed from o full join n on o.id = n.id""")
+@query(f"with {_OLD_NEW} select count(*) filter (where o.id is null) as n_new, count(*) filter (where o.v <> n.v) as n_updated, count(*) filter (where o.v = n.v) as n_unchanged, count(*) filter (where n.id is null) as n_removed from o full join n on o.id = n.id")
 def scan_counters(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    old = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"))
-    new = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(F.col("p_brand")).alias("v"))
-    return state.diff_counts(old, new, "id", "v")
+    return state.diff_counts(*_old_new(spark, sf_dir), "id", "v")
 
 
-@query("select p_partkey as id, p_type as type, case when p_partkey % 3 <> 0 and p_type <> 'STANDARD' then timestamp '2024-01-01' end as delisted_at from part")
+@query("select p_partkey as id, p_type as type, case when p_type <> 'STANDARD' and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity = 1) then timestamp '2024-01-01' end as delisted_at from part")
 def delist_absent(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.lit(None).cast("timestamp").alias("delisted_at"))
-    return state.delist(rows, rows.where("id % 3 = 0"), ["id"], F.lit("2024-01-01").cast("timestamp"), undetected=["STANDARD"])
+    return state.delist(rows, _old_new(spark, sf_dir)[0], ["id"], F.lit("2024-01-01").cast("timestamp"), undetected=["STANDARD"])
 
 
 @query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1")
@@ -342,18 +351,25 @@ def install_findings(spark, sf_dir):
     return spark.createDataFrame(_BODIES, "id int, t string").select("id", F.explode(T.install_directives(F.col("t"))).alias("signal"))
 
 
-@query(f"""select id, 'curl | sh' as signal from (values {_BODY_VALUES}) v(id, t) where regexp_matches(t, '{_B}curl{_B}[^|]*\\|\\s*(sudo\\s+)?(sh|bash){_B}')
-union all select id, 'wget && sh' from (values {_BODY_VALUES}) v(id, t) where regexp_matches(t, '{_B}wget{_B}[^&]*&&\\s*(sh|bash){_B}')
-union all select id, 'iwr | iex' from (values {_BODY_VALUES}) v(id, t) where regexp_matches(t, '(?i){_B}(iwr|Invoke-WebRequest){_B}[^|]*\\|\\s*iex{_B}')""")
+_HITS = lambda signal, pattern: f"select doc_id, '{signal}' as signal, len(regexp_extract_all(body, '{pattern}')) as n from b"
+
+
+@query(f"""with b as (select doc_id, text || chr(10) || 'curl -s x | sudo bash; curl y|sh and wget ' || doc_id || ' && sh run' || chr(10) || 'iwr z | iex; INVOKE-WEBREQUEST q |IEX mycurl x | sh' as body from documents)
+{_HITS("curl | sh", _B + "curl" + _B + "[^" + chr(92) + "n|]*" + chr(92) + "|" + chr(92) + "s*(?:sudo" + chr(92) + "s+)?(?:sh|bash)" + _B)} union all {_HITS("wget && sh", _B + "wget" + _B + "[^" + chr(92) + "n&]*&&" + chr(92) + "s*(?:sh|bash)" + _B)}
+union all {_HITS("iwr | iex", "(?i)" + _B + "(?:iwr|Invoke-WebRequest)" + _B + "[^" + chr(92) + "n|]*" + chr(92) + "|" + chr(92) + "s*iex" + _B)}""")
 def remote_execution_findings(spark, sf_dir):
-    hits = F.array_compact(F.array(*(F.when(F.col("t").rlike(p), F.lit(s)) for s, p in T.REMOTE_EXECUTION.items())))
-    return spark.createDataFrame(_BODIES, "id int, t string").select("id", F.explode(hits).alias("signal"))
+    """Every download handed to an interpreter, by pattern, in documents with such lines put behind."""
+    body = F.concat("text", F.lit("\ncurl -s x | sudo bash; curl y|sh and wget "), F.col("doc_id").cast("string"), F.lit(" && sh run\niwr z | iex; INVOKE-WEBREQUEST q |IEX mycurl x | sh"))
+    each = F.array(*(F.struct(F.lit(s).alias("signal"), F.size(F.regexp_extract_all(body, F.lit(f"({p})"), F.lit(1))).cast("long").alias("n")) for s, p in T.REMOTE_EXECUTION.items()))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(each).alias("r")).select("doc_id", "r.*")
 
 
-@query("select 7 as id, 'owner/repo' as repo union all select 8, 'a/b'")
+@query("select doc_id, 'own' || lower(source) || '/r' || doc_id as repo from documents union all select doc_id, 'blog/x.y' from documents")
 def repository_links(spark, sf_dir):
-    found = spark.createDataFrame(_BODIES, "id int, t string").select("id", F.explode(T.links(F.col("t"))).alias("url"))
-    return found.select("id", T.repository_of(F.col("url")).alias("repo")).where("repo is not null").distinct()
+    """Repositories that documents name, once each; addresses of no account and of other hosts are none."""
+    tail = F.concat(F.lit(" (https://github.com/Own"), "source", F.lit("/r"), F.col("doc_id").cast("string"), F.lit(".git), https://github.com/stars/x https://github.com/blog/x.y/tree/main. https://example.com/a/b https://github.com/users/z https://github.com/Blog/X.Y"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.links(F.concat("text", tail))).alias("url"))
+    return found.select("doc_id", T.repository_of(F.col("url")).alias("repo")).where("repo is not null").distinct()
 
 
 @query("select page_id, len(regexp_extract_all(html, '<!--[^>]*-->')) as comments, len(regexp_extract_all(html, 'https?://[^\\s<>()\\[\\]\"''`]+')) as urls from pages")
@@ -378,17 +394,29 @@ def shortened(spark, sf_dir):
 
 
 _TREE = [("r1", p) for p in ("SKILL.md", "skills/a/SKILL.md", "skills/a/run.py", "plug/commands/x.md", "plug/commands/README.md", "plug/agents/y.md", "plug/skills/z/SKILL.md", "plug/skills/z/b/c.txt", ".claude/agents/q.md", "hooks/hooks.json", ".mcp.json", "own/.claude-plugin/plugin.json", "own/skills/k/SKILL.md", "own/hooks/hooks.json", "docs/readme.md")]
+_PART_TREE = """tree as (select p_brand as repo, p_size % 7 as kind, case when p_size % 7 <= 2 then 'plug' || (p_partkey % 10) when p_size % 7 <= 4 then 'deep/x' || (p_partkey % 5) else 'solo' || (p_partkey % 3) end as root,
+  case p_size % 7 when 0 then 'skills' when 2 then 'commands' when 3 then 'workflows' when 5 then null else 'agents' end as component,
+  case p_size % 7 when 0 then '/skills/s' || p_partkey || '/SKILL.md' when 2 then '/commands/c' || p_partkey || '.md' when 3 then '/workflows/w' || p_partkey || '.md' when 5 then '/.claude-plugin/plugin.json' else '/agents/a' || p_partkey || '.md' end as rest from part),
+shaped as (select repo, root, array_to_string(list_sort(list(distinct component)), ',') as components from tree where component is not null and (repo, root) not in (select (repo, root) from tree where kind = 5) group by 1, 2 having count(distinct component) >= 2)"""
 
 
-@query("""select 'r1' as repo, unnest(['SKILL.md', 'skills/a/SKILL.md', 'plug/skills/z/SKILL.md', 'own/skills/k/SKILL.md', 'plug/commands/x.md', '.claude/agents/q.md', 'own/.claude-plugin/plugin.json', '.mcp.json', 'hooks/hooks.json', 'own/hooks/hooks.json']) as path,
-unnest(['skill', 'skill', 'skill', 'skill', 'command', 'agent', 'plugin', 'mcp_server', 'hook', 'hook']) as type""")
+def _part_tree(spark, sf_dir):
+    """parts as files of their brand's repository."""
+    kind, key = F.col("p_size") % 7, F.col("p_partkey")
+    text = lambda *x: F.concat(*(F.lit(c) if isinstance(c, str) else c.cast("string") for c in x))
+    paths = [text("plug", key % 10, "/skills/s", key, "/SKILL.md"), text("plug", key % 10, "/agents/a", key, ".md"), text("plug", key % 10, "/commands/c", key, ".md"), text("deep/x", key % 5, "/workflows/w", key, ".md"), text("deep/x", key % 5, "/agents/a", key, ".md"), text("solo", key % 3, "/.claude-plugin/plugin.json"), text("solo", key % 3, "/agents/a", key, ".md")]
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.element_at(F.array(*paths), (kind + 1).cast("int")).alias("path"))
+
+
+@query(f"""with {_PART_TREE} select distinct repo, root || rest as path, case kind when 0 then 'skill' when 2 then 'command' when 5 then 'plugin' else 'agent' end as type from tree
+where kind in (0, 2, 5) or (kind in (1, 4, 6) and ((repo, root) in (select (repo, root) from shaped) or (repo, root) in (select (repo, root) from tree where kind = 5)))""")
 def detected_artifacts(spark, sf_dir):
-    return trees.detected(spark.createDataFrame(_TREE, "repo string, path string"))
+    return trees.detected(_part_tree(spark, sf_dir).distinct())
 
 
-@query("select 'r1' as repo, 'plug' as root, 'agents,commands,skills' as components")
+@query(f"with {_PART_TREE} select * from shaped")
 def plugin_roots(spark, sf_dir):
-    return trees.shape_roots(spark.createDataFrame(_TREE, "repo string, path string")).withColumn("components", F.array_join("components", ","))
+    return trees.shape_roots(_part_tree(spark, sf_dir)).withColumn("components", F.array_join("components", ","))
 
 
 @query("select unnest(['skills/a', 'plug/skills/z', 'plug', 'own']) as root, cast(unnest([2, 2, 5, 3]) as bigint) as n_files, cast(unnest([1, 0, 0, 0]) as bigint) as n_scripts")
@@ -416,20 +444,84 @@ def first_of_each(spark, sf_dir):
     return listing.in_each(table(spark, sf_dir, "supplier"), "s_nationkey", [F.desc("s_acctbal"), F.col("s_suppkey")], 2).select("s_nationkey", "s_suppkey", "s_acctbal")
 
 
-@query("""with h as (select conv_id as query, turn + 1 as rank, role as doc from conversations), r as (select distinct conv_id as query, role as doc from conversations where role = 'user'),
-j as (select h.query, h.rank, case when r.doc is null then 0 else 1 end as rel from h left join r on h.query = r.query and h.doc = r.doc where h.rank <= 10),
-g as (select query, sum(rel) as found, max(case when rel = 1 then 1.0 / rank end) as rr, sum(rel / log2(rank + 1)) as dcg from j group by 1), t as (select query, count(distinct doc) as n from r group by 1)
-select t.query, round(coalesce(found, 0) / 10.0, 6)::double as precision_at_k, round(coalesce(found, 0) / n, 6)::double as recall_at_k, round(coalesce(rr, 0), 6)::double as reciprocal_rank, round(coalesce(dcg, 0) / 1.0, 6)::double as ndcg_at_k from t left join g on t.query = g.query""")
+@query("""with h as (select conv_id as query, turn + 1 as rank, turn as doc from conversations), r as (select conv_id as query, turn as doc from conversations where role = 'user' union select conv_id, turn + 40 from conversations where role = 'user'),
+j as (select h.*, (select count(*) from r where r.query = h.query and r.doc = h.doc) > 0 as rel from h where rank <= 10),
+g as (select query, count(*) filter (where rel) as found, count(*) filter (where rel and rank <= 5) as found5, max(1.0 / rank) filter (where rel) as rr, sum(1 / log2(rank + 1)) filter (where rel) as dcg from j group by 1), t as (select query, count(*) as n from r group by 1)
+select t.query, round(coalesce(found5, 0) / 5.0, 6)::double as precision_at_5, round(coalesce(found, 0) / 10.0, 6)::double as precision_at_k, round(coalesce(found, 0) / n, 6)::double as recall_at_k, round(coalesce(rr, 0), 6)::double as reciprocal_rank,
+round(coalesce(dcg, 0) / (select sum(1 / log2(i + 1)) from range(1, least(n, 10) + 1) x(i)), 6)::double as ndcg_at_k, coalesce(rr, 0) = 1 as top_1 from t left join g on t.query = g.query""")
 def retrieval_figures(spark, sf_dir):
+    """The turns of a conversation as hits; relevant are those of users, and as many that were not found."""
     turns = table(spark, sf_dir, "conversations")
-    hits = turns.select(F.col("conv_id").alias("query"), (F.col("turn") + 1).alias("rank"), F.col("role").alias("doc"))
-    return search.retrieval_figures(hits, turns.where("role = 'user'").select(F.col("conv_id").alias("query"), F.col("role").alias("doc")).distinct())
+    hits = turns.select(F.col("conv_id").alias("query"), (F.col("turn") + 1).alias("rank"), F.col("turn").alias("doc"))
+    asked = turns.where("role = 'user'").select(F.col("conv_id").alias("query"), F.col("turn").alias("doc"))
+    return search.retrieval_figures(hits, asked.unionByName(asked.withColumn("doc", F.col("doc") + 40)).distinct())
 
 
-@query()
+_STEM = "case when length(w) < 4 or regexp_matches(w, '(ss|us|is)$') then w when regexp_matches(w, 'ies$') then regexp_replace(w, 'ies$', 'y') else regexp_replace(w, 's$', '') end"
+_VECTOR = lambda f: f"' ' || array_to_string([{_STEM} for w in string_split_regex(lower({f}), '[^\\p{{L}}\\p{{N}}]+') if w <> ''], ' ') || ' '"
+_FIELDS = f"{_PACKAGES}, fields as (select id, repository, type, name, language, lower(name) as lname, {_VECTOR('name')} as n, {_VECTOR('summary')} as s, {_VECTOR('source_path')} as p, {_VECTOR('type')} as t from packages)"
+
+
+def _rank_sql(words: list[str], q: str) -> str:
+    best = " + ".join(f"greatest(if(contains(n, '{w}'), 1.0, 0), if(contains(s, '{w}'), 0.4, 0), if(contains(p, '{w}'), 0.2, 0), if(contains(t, '{w}'), 0.1, 0))" for w in words)
+    some = " or ".join(f"contains(n, '{w}')" for w in words)
+    return f"round(if(lname = '{q}', 2.0, 0) + if(starts_with(lname, '{q}'), 1.0, 0) + if({some}, 0.5, 0) + ({best}) / {len(words)} + if(contains(lower(repository), '{q}'), 0.1, 0), 6)::double"
+
+
+def searched(spark, sf_dir):
+    return packages(spark, sf_dir).select("id", "repository", "type", "name", "summary", "language", F.col("source_path").alias("path"), "stars")
+
+
+_IN = lambda w: f"(contains(n, '{w}') or contains(s, '{w}') or contains(p, '{w}') or contains(t, '{w}'))"
+
+
+@query(f"""with {_FIELDS}, r as (select 1 as q, id, {_rank_sql([" only ", " her"], "only hers")} as rank from fields where {_IN(" only ")} and {_IN(" her")}
+union all select 2, id, {_rank_sql([" ther ent ", " hati "], '"ther ents" -skill or hati')} from fields where ({_IN(" ther ent ")} and not {_IN(" skill ")}) or {_IN(" hati ")}
+union all select 3, id, {_rank_sql([" plugin"], "plugins")} from fields where {_IN(" plugin")} union all select 4, id, {_rank_sql([" b 1"], "src1")} from fields where contains(lower(repository), 'src1'))
+select q, id, rank from (select *, row_number() over (partition by q order by rank desc, id desc) as k from r) where k <= 25""".replace(_rank_sql([" b 1"], "src1"), "0.1::double"))
 def ranked_search(spark, sf_dir):
-    rows = packages(spark, sf_dir).select("id", "repository", "type", "name", "summary", F.col("source_path").alias("path"))
-    return search.search(rows, "the and")
+    """Two words, a phrase with an exclusion and an alternative, a plural of a type, a repository's name."""
+    rows, out = searched(spark, sf_dir), None
+    for k, q in enumerate(("only hers", '"ther ents" -skill or hati', "plugins", "src1"), 1):
+        one = search.search(rows, q, mode="all").select(F.lit(k).alias("q"), "id", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""with {_FIELDS}, m as (select *, {_IN(" ther")} as hit, type in ('skill', 'plugin') as typed, language is null or language <> 'other' as shown from fields)
+select null as without, count(*) filter (where hit and typed and shown) as n from m union all select 'types', count(*) filter (where hit and shown) from m union all select 'languages', count(*) filter (where hit and typed) from m union all select 'query', count(*) filter (where typed and shown) from m""")
+def ways_out(spark, sf_dir):
+    """Rows that match, and that would with one filter or the query left out."""
+    return search.relaxed_counts(searched(spark, sf_dir), "ther", search.Filters(types=["skill", "plugin", "unheard"], hidden=["other"]))
+
+
+@query(f"""with {_FIELDS}, m as (select f.*, d.n_chars as changed from fields f join documents d on doc_id = id where {_IN(" ther")} and type in ('skill', 'agent')),
+r as (select 'name' as sort, id, row_number() over (order by lname, id desc) as k from m union all select 'changed', id, row_number() over (order by changed desc nulls last, id desc) from m union all select 'added', id, row_number() over (order by id desc) from m union all select 'recent', id, row_number() over (order by id % 7 desc, id desc) from m)
+select sort, id, k, (select count(*) from m) as total from r where k <= 25""")
+def sorted_searches(spark, sf_dir):
+    """The same search in four orders, with its number."""
+    times = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("changed_at"), (F.col("doc_id") % 7).alias("updated_at"), F.col("doc_id").alias("created_at"))
+    rows, filters, out = searched(spark, sf_dir).join(times, "id"), search.Filters(types=["skill", "agent"]), None
+    total = search.with_vector(rows).where(search.where("ther", filters)).agg(F.count("*").alias("total"))
+    for sort in ("name", "changed", "added", "recent"):
+        page = search.search(rows, "ther", mode="all", filters=filters, sort=sort)
+        one = page.select(F.lit(sort).alias("sort"), "id", F.row_number().over(Window.orderBy(*search.sorted_by(sort))).alias("k"))
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(F.broadcast(total))
+
+
+@query(f"""with {_FIELDS} select id, array_to_string([x for x in [if(contains(n, ' only') or contains(n, ' skill '), 'name', null), if(contains(p, ' only') or contains(p, ' skill '), 'path', null), if(contains(s, ' only') or contains(s, ' skill '), 'summary', null),
+if(contains(t, ' only') or contains(t, ' skill '), 'type', null)] if x is not null], ',') as matched from fields""")
+def matched_fields(spark, sf_dir):
+    rows = search.with_vector(searched(spark, sf_dir))
+    return rows.select("id", F.array_join(search.matched_in("skills only"), ",").alias("matched"))
+
+
+@query("""select doc_id, md5(regexp_replace(replace(text, chr(2), ''), '(?i)\\b(onlys?|thers?)\\b', chr(2) || '\\1' || chr(3), 'g')) as marked from documents where regexp_full_match(text, '[\\x00-\\x7f]*')""")
+def highlights(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
+    return rows.select("doc_id", F.md5(search.marked(F.col("text"), "only thers")).alias("marked"))
+
 
 
 _VERB = "case " + " ".join(f"when contains(t, '{v}') then '{v}'" for v in T.FETCH_VERBS) + " end"
