@@ -48,6 +48,8 @@ def _yaml(source: str) -> tuple[str, str | None]:
 
     try:
         root = yaml.compose(source, _loader())
+        if root is None or root.tag == "tag:yaml.org,2002:null":
+            return "ok", "{}"
         if not isinstance(root, yaml.MappingNode):
             return "not a mapping", None
         if _written(root) > FRONT_MATTER_OUT:
@@ -58,8 +60,16 @@ def _yaml(source: str) -> tuple[str, str | None]:
 
 
 def _as_json(value) -> str:
-    """JSON with U+0000 as U+FFFD; an escaped backslash before `u0000` is no NUL."""
-    return re.sub(r"(?<!\\)((?:\\\\)*)\\u0000", "\\1\ufffd", json.dumps(value, ensure_ascii=False, default=str))
+    """JSON with U+0000 as U+FFFD, in keys too."""
+    return json.dumps(_without_nul(value), ensure_ascii=False, default=str)
+
+
+def _without_nul(value):
+    if isinstance(value, str):
+        return value.replace("\0", "\ufffd")
+    if isinstance(value, list):
+        return [_without_nul(x) for x in value]
+    return {str(k).replace("\0", "\ufffd"): _without_nul(x) for k, x in value.items()} if isinstance(value, dict) else value
 
 
 def _written(root) -> float:
@@ -129,16 +139,20 @@ def json_manifest(docs: DataFrame, body: str = "body", most: int = JSON_IN) -> D
     return _parsed(docs, F.col(body), _json, most, F.coalesce(F.trim(body), F.lit("")) == "")
 
 
-def skill_status(matter: DataFrame) -> DataFrame:
-    """front_matter() rows with name, description, `parse_status` and the tool tokens.
+def kind_of(key: str) -> Column:
+    """The type of a value of `parsed` (STRING, BIGINT, ARRAY<..>, OBJECT<..>, VOID), null where the key isn't."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json("parsed"), f"$['{key}']", "variant"))
+
+
+def text_of(key: str) -> Column:
+    """A value of `parsed` if it is text, without white space around it."""
+    return F.when(kind_of(key) == "STRING", F.regexp_replace(F.get_json_object("parsed", f"$['{key}']"), r"\A\s+|\s+\z", ""))
+
 
-    Without name or description it failed; a description over 1024 characters is partial."""
-    name, text = F.get_json_object("parsed", "$.name"), F.get_json_object("parsed", "$.description")
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    status = F.when((F.col("status") != "ok") | blank(name) | blank(text), "failed").when(F.length(text) > 1024, "partial").otherwise("ok")
-    listed = F.get_json_object("parsed", "$.allowed-tools")
-    tools = F.when(listed.startswith("["), F.from_json(listed, "array<string>")).otherwise(tool_tokens(listed))
-    return matter.withColumns({"name": name, "description": text, "parse_status": status, "tools": F.coalesce(tools, F.array().cast("array<string>"))})
+def tools_of(key: str) -> Column:
+    """array<string>: the tools under a key of `parsed`, a list or tokens of a text; null for anything else."""
+    value = F.get_json_object("parsed", f"$['{key}']")
+    return F.when(kind_of(key) == "STRING", tool_tokens(value)).when(kind_of(key).startswith("ARRAY"), F.from_json(value, "array<string>"))
 
 
 def tokens_of(text: str) -> list[str]:
@@ -188,7 +202,7 @@ def catalog_sources(manifests: DataFrame) -> DataFrame:
 def declared(matter: DataFrame, manifests: DataFrame, key: str = "path") -> DataFrame:
     """(key, kind, signal): what artifacts say of themselves, verbatim: allowed tools of skills, commands
     or addresses of servers, commands of hook handlers."""
-    tools = skill_status(matter).select(key, F.lit("tool").alias("kind"), F.explode("tools").alias("signal"))
+    tools = matter.select(key, F.lit("tool").alias("kind"), F.explode(tools_of("allowed-tools")).alias("signal"))
     run = servers(manifests).select(key, F.lit("server").alias("kind"), F.coalesce(F.concat_ws(" ", F.col("command"), F.array_join("args", " ")), F.lit("")).alias("signal"), "url")
     run = run.select(key, "kind", F.when(F.trim("signal") == "", F.col("url")).otherwise(F.rtrim("signal")).alias("signal"))
     hooks = hook_handlers(manifests).select(key, F.lit("hook").alias("kind"), F.col("command").alias("signal"))

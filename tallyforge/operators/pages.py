@@ -129,3 +129,54 @@ def permalink(full_name: Column, sha: Column, path: Column, line: Column) -> Col
     """Address of a file at a commit, at a line if there is one."""
     base = F.concat(F.lit("https://github.com/"), full_name, F.lit("/blob/"), sha, F.lit("/"), encoded_path(path))
     return F.when(line.isNull(), base).otherwise(F.concat(base, F.lit("#L"), line.cast("string")))
+
+
+def search_address(q: Column, types: Column, languages: Column, capabilities: Column, sort: Column, page: Column) -> Column:
+    """The one address of a state of the search page: parameters in fixed order, defaults left out, of
+    several types or languages the last."""
+    pair = lambda name, value: F.concat(F.lit(f"{name}="), F.url_encode(value))
+    last = lambda name, values: F.when(F.size(values) > 0, pair(name, F.element_at(values, -1)))
+    asked = F.coalesce(q, F.lit("")) != ""
+    usual = F.when(asked, "relevance").otherwise("recent")
+    every = F.when(F.size(capabilities) > 0, F.array_join(F.transform(capabilities, lambda c: pair("cap", c)), "&"))
+    sorted_ = F.when((F.coalesce(sort, F.lit("")) != "") & (sort != usual), pair("sort", sort))
+    told = F.concat_ws("&", F.when(asked, pair("q", q)), last("type", types), last("lang", languages), every, sorted_, F.when(page > 1, pair("page", page.cast("string"))))
+    return F.when(told == "", "/artifacts").otherwise(F.concat(F.lit("/artifacts?"), told))
+
+
+def only_or_none(values: Column, value: Column) -> Column:
+    """The filter behind a type's or language's link: that one alone, or none where it is set already."""
+    return F.when(value.isNull() | F.array_contains(values, value), F.array().cast("array<string>")).otherwise(F.array(value))
+
+
+def toggled(values: Column, value: Column) -> Column:
+    """The filter behind a capability's link: it goes in or out, and the others stay."""
+    return F.when(F.array_contains(values, value), F.array_remove(values, value)).otherwise(F.array_append(values, value))
+
+
+# What a reader is told of a description's class.
+CLASS_LABELS = {"latin": "Latin alphabet", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "mixed": "Mixed languages", "other": "Other scripts", "unknown": "Unknown"}
+
+
+def html_language(writing: Column) -> Column:
+    """The language that a script names by itself, or null."""
+    return F.when(writing.isin("zh", "ja", "ko"), writing)
+
+
+def class_note(writing: Column) -> Column:
+    """The label of a class that a reader of English wouldn't expect, or null."""
+    return F.when(~writing.isin("latin", "unknown"), F.create_map(*[F.lit(x) for kv in CLASS_LABELS.items() for x in kv])[writing])
+
+
+def report_lines(rows: DataFrame, width: int = 46) -> DataFrame:
+    """(section, as_text, as_markdown) of a report's rows (section, title, position, label, value). Leading
+    blanks of a label, two a level, are kept in the text and become dots in a table's cell, where marks of
+    Markdown are escaped."""
+    cell = lambda c: F.regexp_replace(F.regexp_replace(c, r"([|\\`*_<>\[\]])", r"\\$1"), r"\s+", " ")
+    label, value = F.col("label"), F.col("value")
+    plain = F.concat(F.lit("  "), F.rpad(label, F.greatest(F.lit(width), F.length(label)), F.lit(" ")), value)
+    level = F.floor((F.length(label) - F.length(F.ltrim(label))) / 2).cast("int")
+    marked = F.concat(F.lit("| "), F.repeat(F.lit("· "), level), cell(F.trim(label)), F.lit(" | "), cell(value), F.lit(" |"))
+    each = rows.groupBy("section", "title").agg(F.array_sort(F.collect_list(F.struct("position", plain.alias("t"), marked.alias("m")))).alias("r"))
+    lines = lambda key: F.array_join(F.transform("r", lambda x: x[key]), "\n")
+    return each.select("section", F.concat("title", F.lit("\n"), lines("t")).alias("as_text"), F.concat(F.lit("### "), cell(F.col("title")), F.lit("\n\n| | |\n|---|---|\n"), lines("m")).alias("as_markdown"))

@@ -110,3 +110,40 @@ def health(reports: DataFrame, stale_h: float) -> DataFrame:
     never = F.col("last_ok").isNull() & F.col("success_age_h").isNull()
     bad = ~F.coalesce("last_ok", F.lit(True)) | (F.coalesce("run_age_h", F.lit(0.0)) > stale_h) | F.col("success_age_h").isNull() | (F.col("success_age_h") > stale_h)
     return reports.withColumn("state", F.when(never, "UNKNOWN").when(bad, "DEGRADED").when(F.coalesce("status", F.lit("COMPLETED")) != "COMPLETED", "PARTIAL").otherwise("OK"))
+
+
+def run_status(runs: DataFrame) -> DataFrame:
+    """Adds status, what a run reached in one word, from failed, stopped_by and due, the due jobs left (null
+    without a drain). A bound that was met is no error: it is named."""
+    stop = F.col("stopped_by")
+    known = F.when(stop == "deadline", "PARTIAL_DEADLINE").when(stop == "core_budget", "PARTIAL_CORE_BUDGET").when(stop == "rate_limited", "PARTIAL_RATE_LIMITED")
+    ended = F.coalesce(known, F.when(F.col("due") > 0, "PARTIAL_CAP").otherwise("COMPLETED"))
+    return runs.withColumn("status", F.when(F.coalesce("failed", F.lit(False)), "FAILED").when(F.col("due").isNull(), "NO_DRAIN").otherwise(ended))
+
+
+# How a failed request to the code host ends a job; all other errors are of storage.
+FAILURE_OUTCOME = {"invalid_repo": "invalid_input", "unreadable": "unreadable", "rate_limited": "rate_limited", "too_large": "too_large"}
+
+
+def outcome_of_error(from_host: Column, failure: Column) -> Column:
+    """The one outcome of an error; nothing of its message gets out."""
+    known = F.create_map(*[F.lit(x) for kv in FAILURE_OUTCOME.items() for x in kv])[failure]
+    return F.when(from_host, F.coalesce(known, F.lit("unavailable"))).otherwise("storage_failed")
+
+
+def error_code(cause: Column, own: Column) -> Column:
+    """The code of an error's cause, or else its own, if it is made of letters, digits and underscores."""
+    code = F.coalesce(cause, own)
+    return F.when(code.rlike(r"\A[A-Za-z0-9_]+\z"), code)
+
+
+def job_runs(ended: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
+    """Adds job_status, removed, retry_scheduled and refunded to attempts (outcome, attempts, n_removed).
+
+    Only a success removes anything. A retryable failure waits again until the last attempt; a rate limit
+    always does, and isn't counted as a retry but gives its attempt back."""
+    what, last = disposition(F.col("outcome")), F.col("attempts") >= most
+    again = (what == "retryable") & ~last
+    status = F.when(what == "succeeded", "succeeded").when(again | (what == "rate_limited"), "queued").otherwise("failed")
+    removed = F.when(what == "succeeded", F.col("n_removed")).otherwise(0).cast("long")
+    return ended.withColumns({"job_status": status, "removed": removed, "retry_scheduled": again, "refunded": what == "rate_limited"})

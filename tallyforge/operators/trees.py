@@ -66,10 +66,14 @@ def shape_roots(tree: DataFrame) -> DataFrame:
 
 
 def plugin_agents(tree: DataFrame) -> DataFrame:
-    """(repo, path): files agents/*.md of a plugin's root, declared or by shape."""
+    """(repo, path): Markdown files at any depth below agents/ of a plugin's root, declared or by shape."""
     roots = manifest_roots(tree).unionByName(shape_roots(tree).select("repo", "root")).distinct()
-    files = tree.where(F.col("path").rlike(r"(\A|/)agents/[^/]+\.md\z") & ~F.col("path").rlike(r"(\A|/)commands/") & ~F.lower(base_name(F.col("path"))).isin("readme.md"))
-    return files.select("repo", "path", F.regexp_replace("path", r"(\A|/)agents/[^/]+\z", "").alias("root")).join(roots, ["repo", "root"], "left_semi").select("repo", "path")
+    p = F.col("path")
+    files = tree.where(p.rlike(r"(\A|/)agents/.*\.md\z") & ~p.rlike(r"(\A|/)commands/") & (F.lower(base_name(p)) != "readme.md"))
+    parts = F.split("path", "/")
+    at = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.element_at(parts, i) == "agents")
+    above = F.transform(at, lambda i: F.array_join(F.slice(parts, F.lit(1), i - 1), "/"))
+    return files.select("repo", "path", F.explode(above).alias("root")).join(roots, ["repo", "root"], "left_semi").select("repo", "path").distinct()
 
 
 def inventory(artifacts: DataFrame, tree: DataFrame, most: int = MOST_FILES) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import fuzzy, listing, manifests, search, state, trees
+from tallyforge.operators import artifacts, fuzzy, listing, manifests, search, state, trees
 from tallyforge.streaming import attempts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tallyforge.plans import bodies, pages  # noqa: F401  both add theirs
+    from tallyforge.plans import bodies, pages, parsed  # noqa: F401  each adds its own
 
     return dict(_QUERIES)
 
@@ -396,7 +396,7 @@ def shortened(spark, sf_dir):
 _TREE = [("r1", p) for p in ("SKILL.md", "skills/a/SKILL.md", "skills/a/run.py", "plug/commands/x.md", "plug/commands/README.md", "plug/agents/y.md", "plug/skills/z/SKILL.md", "plug/skills/z/b/c.txt", ".claude/agents/q.md", "hooks/hooks.json", ".mcp.json", "own/.claude-plugin/plugin.json", "own/skills/k/SKILL.md", "own/hooks/hooks.json", "docs/readme.md")]
 _PART_TREE = """tree as (select p_brand as repo, p_size % 7 as kind, case when p_size % 7 <= 2 then 'plug' || (p_partkey % 10) when p_size % 7 <= 4 then 'deep/x' || (p_partkey % 5) else 'solo' || (p_partkey % 3) end as root,
   case p_size % 7 when 0 then 'skills' when 2 then 'commands' when 3 then 'workflows' when 5 then null else 'agents' end as component,
-  case p_size % 7 when 0 then '/skills/s' || p_partkey || '/SKILL.md' when 2 then '/commands/c' || p_partkey || '.md' when 3 then '/workflows/w' || p_partkey || '.md' when 5 then '/.claude-plugin/plugin.json' else '/agents/a' || p_partkey || '.md' end as rest from part),
+  case p_size % 7 when 0 then '/skills/s' || p_partkey || '/SKILL.md' when 2 then '/commands/c' || p_partkey || '.md' when 3 then '/workflows/w' || p_partkey || '.md' when 4 then '/agents/in/a' || p_partkey || '.md' when 5 then '/.claude-plugin/plugin.json' else '/agents/a' || p_partkey || '.md' end as rest from part),
 shaped as (select repo, root, array_to_string(list_sort(list(distinct component)), ',') as components from tree where component is not null and (repo, root) not in (select (repo, root) from tree where kind = 5) group by 1, 2 having count(distinct component) >= 2)"""
 
 
@@ -404,7 +404,7 @@ def _part_tree(spark, sf_dir):
     """parts as files of their brand's repository."""
     kind, key = F.col("p_size") % 7, F.col("p_partkey")
     text = lambda *x: F.concat(*(F.lit(c) if isinstance(c, str) else c.cast("string") for c in x))
-    paths = [text("plug", key % 10, "/skills/s", key, "/SKILL.md"), text("plug", key % 10, "/agents/a", key, ".md"), text("plug", key % 10, "/commands/c", key, ".md"), text("deep/x", key % 5, "/workflows/w", key, ".md"), text("deep/x", key % 5, "/agents/a", key, ".md"), text("solo", key % 3, "/.claude-plugin/plugin.json"), text("solo", key % 3, "/agents/a", key, ".md")]
+    paths = [text("plug", key % 10, "/skills/s", key, "/SKILL.md"), text("plug", key % 10, "/agents/a", key, ".md"), text("plug", key % 10, "/commands/c", key, ".md"), text("deep/x", key % 5, "/workflows/w", key, ".md"), text("deep/x", key % 5, "/agents/in/a", key, ".md"), text("solo", key % 3, "/.claude-plugin/plugin.json"), text("solo", key % 3, "/agents/a", key, ".md")]
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.element_at(F.array(*paths), (kind + 1).cast("int")).alias("path"))
 
 
@@ -625,7 +625,7 @@ def _manifests(spark):
 @query("""select * from (values (1, 'ok', 'ok', 'pdf', 'reads', 'Read|Bash(git *)|Grep'), (2, 'absent', 'failed', null, null, ''), (3, 'unreadable', 'failed', null, null, ''), (4, 'not a mapping', 'failed', null, null, ''), (5, 'unreadable', 'failed', null, null, ''),
 (6, 'ok', 'ok', 'd', '2024-01-02', 'Read|Bash(*)'), (7, 'absent', 'failed', null, null, ''), (8, 'ok', 'failed', null, 'no name', ''), (9, 'too large when written out', 'failed', null, null, '')) v(id, status, parse_status, name, description, tools)""")
 def skill_front_matter(spark, sf_dir):
-    return manifests.skill_status(_skills(spark)).select("id", "status", "parse_status", "name", "description", F.array_join("tools", "|").alias("tools"))
+    return artifacts.skills(_skills(spark).withColumn("path", F.lit("SKILL.md"))).select("id", "status", "parse_status", "name", "description", F.array_join("tools", "|").alias("tools"))
 
 
 @query("select * from (values (1, 'ok'), (2, 'ok'), (3, 'not an object'), (4, 'unreadable'), (5, 'absent'), (6, 'ok'), (7, 'too deep or too long'), (8, 'absent'), (9, 'ok')) v(id, status)")
