@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.written import materialize
+
 
 def latest(versions: DataFrame, key: str, when: str, tie: str) -> DataFrame:
     """One row per key: the newest by `when`, ties by `tie`. A grouping, so it combines before the shuffle."""
@@ -23,7 +25,9 @@ def not_listed_because(packages: DataFrame) -> DataFrame:
     packages: id, repository_id, type, name, parent_path, language, source_path, stars, is_fork,
     parse_status, content_hash, delisted_at, shape_only. The least rank of each variant group and the
     greatest standing of each content hash are groupings, which combine before the shuffle, joined back
-    by key; names, paths and hashes of any length travel as 128-bit keys."""
+    by key; names, paths and hashes of any length travel as 128-bit keys. What decides is written once as a
+    narrow table, so that classes and hashes of whole bodies are computed once; rows without a key join
+    on their own id, which meets none, so that they don't all go to one task."""
     live = F.col("delisted_at").isNull()
     dotted = F.col("source_path").rlike(r"(\A|/)\.[^/]+/")
     depth = F.length("source_path") - F.length(F.replace("source_path", F.lit("/"), F.lit("")))
@@ -32,11 +36,12 @@ def not_listed_because(packages: DataFrame) -> DataFrame:
     kin = F.col("type").isin("skill", "command", "agent")
     key = F.when(kin, F.md5(F.to_json(F.struct("repository_id", "type", F.lower("name").alias("name"), "parent_path", "language"))))
     standing = F.struct(F.col("stars").alias("a"), (-F.col("id")).alias("b"))
-    slim = packages.select("id", "stars", rank.alias("rank"), key.alias("kin"), "content_hash", (live & parsed).alias("good"), (live & parsed & ~F.col("is_fork") & ~F.col("shape_only")).alias("able"), "shape_only", "is_fork", parsed.alias("parsed"))
+    slim = materialize(packages.select("id", "stars", rank.alias("rank"), key.alias("kin"), "content_hash", (live & parsed).alias("good"), (live & parsed & ~F.col("is_fork") & ~F.col("shape_only")).alias("able"), "shape_only", "is_fork", parsed.alias("parsed")), "standing")
     best = slim.where("good and kin is not null").groupBy("kin").agg(F.min("rank").alias("best"))
-    varied = slim.join(best, "kin", "left").withColumn("variant", F.coalesce(F.col("best") < F.col("rank"), F.lit(False)))
+    own = F.concat(F.lit("no key, row "), F.col("id").cast("string"))
+    varied = slim.withColumn("kin", F.coalesce("kin", own)).join(best, "kin", "left").withColumn("variant", F.coalesce(F.col("best") < F.col("rank"), F.lit(False)))
     top = varied.where("able and not variant and content_hash is not null").groupBy("content_hash").agg(F.max(standing).alias("top"))
-    copied = varied.join(top, "content_hash", "left").withColumn("copy", F.coalesce(~F.col("shape_only") & (F.col("top") > standing), F.lit(False)))
+    copied = varied.withColumn("content_hash", F.coalesce("content_hash", own)).join(top, "content_hash", "left").withColumn("copy", F.coalesce(~F.col("shape_only") & (F.col("top") > standing), F.lit(False)))
     reason = F.when(F.col("is_fork"), "fork").when(~F.col("parsed"), "unparsed").when(F.col("copy"), "duplicate").when(F.col("variant"), "variant")
     return packages.join(copied.select("id", reason.alias("reason")), "id")
 

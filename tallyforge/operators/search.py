@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources.written import materialize
+
 EXACT, PREFIX, PATH, NAME_WORD, REPOSITORY = 2.0, 1.0, 1.0, 0.5, 0.1
 #: Weight of a word by field, those of the classes A, B, C and D; the text part of a rank is the mean over words of the greatest.
 FIELD_WEIGHTS = {"name": 1.0, "summary": 0.4, "path": 0.2, "type": 0.1}
@@ -72,10 +74,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def stem(word: Column) -> Column:
-    """A light stem: plural endings only (ies to y, s but not ss, us, is), from four letters on."""
-    short = F.length(word) < 4
-    return F.when(short | word.rlike("(ss|us|is)$"), word).when(word.rlike("ies$"), F.regexp_replace(word, "ies$", "y")).otherwise(F.regexp_replace(word, "s$", ""))
+def stems(text: Column) -> Column:
+    """The words of a text with light stems, between blanks: plural endings only (ies to y, s but not
+    ss, us, is), from four letters on. Whole-text replacements, not a function a word."""
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.regexp_replace(F.regexp_replace(spaced, "([^ ])ies(?= )", "$1y"), "([^ ]{2}[^ sui])s(?= )", "$1")
 
 
 def stem_of(word: str) -> str:
@@ -84,9 +87,15 @@ def stem_of(word: str) -> str:
 
 def with_vector(packages: DataFrame) -> DataFrame:
     """Adds `vector`: the stems of each field, in order, each between blanks. Made once a row, however
-    many words and weights look at it."""
-    part = lambda f: F.concat(F.lit(" "), F.array_join(F.transform(tokens(F.col(f)), stem), " "), F.lit(" ")).alias(f)
-    return packages.withColumn("vector", F.struct(*map(part, FIELD_WEIGHTS)))
+    many words and weights look at it; rows of indexed() have it already."""
+    if "vector" in packages.columns:
+        return packages
+    return packages.withColumn("vector", F.struct(*(stems(F.col(f)).alias(f) for f in FIELD_WEIGHTS)))
+
+
+def indexed(packages: DataFrame) -> DataFrame:
+    """The rows with their vectors, written once as a table that any number of searches read."""
+    return materialize(with_vector(packages), "search-index")
 
 
 def holds(text: Column, term: Term, least: int = 0) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import artifacts, fuzzy, listing, manifests, search, state, trees
+from tallyforge.sources.written import materialize
 from tallyforge.streaming import attempts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -481,7 +482,7 @@ union all select 3, id, {_rank_sql([" plugin"], "plugins")} from fields where {_
 select q, id, rank from (select *, row_number() over (partition by q order by rank desc, id desc) as k from r) where k <= 25""".replace(_rank_sql([" b 1"], "src1"), "0.1::double"))
 def ranked_search(spark, sf_dir):
     """Two words, a phrase with an exclusion and an alternative, a plural of a type, a repository's name."""
-    rows, out = searched(spark, sf_dir), None
+    rows, out = search.indexed(searched(spark, sf_dir)), None
     for k, q in enumerate(("only hers", '"ther ents" -skill or hati', "plugins", "src1"), 1):
         one = search.search(rows, q, mode="all").select(F.lit(k).alias("q"), "id", "rank")
         out = one if out is None else out.unionByName(one)
@@ -501,8 +502,8 @@ select sort, id, k, (select count(*) from m) as total from r where k <= 25""")
 def sorted_searches(spark, sf_dir):
     """The same search in four orders, with its number."""
     times = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("changed_at"), (F.col("doc_id") % 7).alias("updated_at"), F.col("doc_id").alias("created_at"))
-    rows, filters, out = searched(spark, sf_dir).join(times, "id"), search.Filters(types=["skill", "agent"]), None
-    total = search.with_vector(rows).where(search.where("ther", filters)).agg(F.count("*").alias("total"))
+    rows, filters, out = search.indexed(searched(spark, sf_dir).join(times, "id")), search.Filters(types=["skill", "agent"]), None
+    total = rows.where(search.where("ther", filters)).agg(F.count("*").alias("total"))
     for sort in ("name", "changed", "added", "recent"):
         page = search.search(rows, "ther", mode="all", filters=filters, sort=sort)
         one = page.select(F.lit(sort).alias("sort"), "id", F.row_number().over(Window.orderBy(*search.sorted_by(sort))).alias("k"))
@@ -589,8 +590,9 @@ def quality_rules(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     read = t("orders").where("o_orderpriority <> '1-URGENT'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("read_at"))
     place = F.concat(F.lit("b/"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 1, rules.MANIFEST).otherwise(""))
+    listed = listing.not_listed_because(packages(spark, sf_dir)).select("id", "repository", "type", "name", "parse_status", "content_hash", "delisted_at", "reason")
     return rules.run({
-        "packages": listing.not_listed_because(packages(spark, sf_dir)),
+        "packages": materialize(listed, "listed"),
         "versions": t("orders").selectExpr("o_custkey as key", "o_orderdate as ingested_at", "o_orderkey as version", "o_orderstatus as parse"),
         "findings": t("lineitem").selectExpr("l_orderkey as version", "l_shipdate as seen_at"),
         "repositories": t("customer").selectExpr("c_custkey as id", "c_acctbal < 0 as failing").join(read, "id", "left"),

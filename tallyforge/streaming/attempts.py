@@ -6,7 +6,6 @@ driver replaces what it wrote before; readers take, for each key, the row of the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyforge.operators import state
+from tallyforge.sources.written import shared_folder
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="spark-tallyforge-")
+    """A new folder in the one that all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_log(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFrame:

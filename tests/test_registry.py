@@ -145,3 +145,15 @@ def test_likeness_is_the_best_extent():
         best = max((len(wanted & set(x)) / len(wanted | set(x)) for x in every), default=0.0) if wanted else 0.0
         got = fuzzy.likeness(query, text, 0.3)
         assert abs(got - best) < 1e-12 if best >= 0.3 else got <= best
+
+
+def test_stems_of_texts_and_of_words(spark):
+    words = "series ties ies uses bus pass this its abs Xs 日本s 𝒳𝒳𝒳s 𝒳𝒳s sss ssss caties s cats".split()
+    rows = spark.createDataFrame([(" ".join(words),), (None,), ("",), (" !! ",)], "text string").select(search.stems(F.col("text")).alias("s"))
+    assert sorted(r["s"] for r in rows.collect()) == sorted([" " + " ".join(search.stem_of(w.lower()) for w in words) + " ", "  ", "  ", "  "])
+
+
+def test_a_written_index_answers_like_the_rows(spark):
+    rows = spark.createDataFrame([(1, "o/r", "skill", "pdf reader", "reads files", None, "a/b", 3), (2, "o/s", "agent", "review", "reviews of code", None, "c/d", 1)], "id long, repository string, type string, name string, summary string, language string, path string, stars int")
+    for q in ("review", "pdf files", '"reads files"', "!!!"):
+        assert search.search(rows, q).collect() == search.search(search.indexed(rows), q).collect()
