@@ -1,63 +1,24 @@
-"""What several operators share: the shared folder, written intermediate tables,
+"""What several operators share: written intermediate tables (of sources/written.py),
 sliced Arrow batches, a fixed-size set filter and connected components."""
 
 from __future__ import annotations
 
 import math
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own_folder: str | None = None
+from tallyforge.sources.written import delete_folder, discard, materialize, shared_folder  # noqa: F401
+
 #: 128 MB, good for some 10 ** 8 keys.
 MOST_BITS = 1 << 30
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a temporary one if the master is local, else an error."""
-    global _own_folder
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-tallyforge-")
-    return _own_folder
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: df written once as a Parquet table in the shared folder and read again.
-
-    A lost executor costs only the tasks that read the table anew. Unlike checkpoint() it is
-    columnar, so later steps read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def delete_folder(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables made by materialize() that nothing reads any more."""
-    for df in tables:
-        for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            delete_folder(df.sparkSession, parent)
-
-
 def own_names(df: DataFrame, *stems: str) -> list[str]:
     """Column names that df can't have, one a stem."""
     tag = uuid.uuid4().hex[:12]
