@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, fingerprints, line_dedup, packing, pii, quality, repeats, secret_scan, simhash_dedup
+from . import byte_bpe, embedding_dedup, fingerprints, importance_resampling, line_dedup, packing, pii, quality, quality_rules, repeats, secret_scan, simhash_dedup, source_audit
 
 
 def _over(table: str, run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+def _with(other: str, run: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", other)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": _over("embeddings", embedding_dedup.near_vectors),
@@ -25,8 +29,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_document_fingerprints": _over("documents", fingerprints.fingerprint_query),
         "op9_byte_bpe": _over("documents", byte_bpe.round_trip),
         "op10_pii": _over("documents", pii.pii_query),
+        "op11_source_divergence_audit": _over("documents", source_audit.audit),
+        "op12_importance_resampling": _with("benchmark", importance_resampling.resample),
+        "op13_quality_rules": _with("labels", quality_rules.rules),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_divergence_audit": source_audit.ORACLE_SQL}
