@@ -101,3 +101,30 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     ranked = first_by(able, order, able.count() * percent // 100, "rank")
     rest = scored.where(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     return ranked.unionByName(rest).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC32 is linear up to a constant for the length: each byte adds what it alone gives at its distance from the
+#: end (table `m`), so the hash of a text is the XOR of rows joined by byte and distance, and of the hash of as many zeros.
+ORACLE_SQL = r"""with recursive lower as (select 'documents' as side, row_number() over () as r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+  union all select 'benchmark', -row_number() over (), null, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+words as (select side, r, unnest(w) as w, generate_subscripts(w, 1) as i from (select side, r, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from lower)),
+runs as (select side, r, w as a, w || ' ' || lead(w, 1) over d as b, w || ' ' || lead(w, 1) over d || ' ' || lead(w, 2) over d as c from words window d as (partition by r order by i)),
+f as (select side, r, unnest([a, b, c]) as x from runs),
+u as (select x, hex(encode(x)) as h, cast(octet_length(encode(x)) as int) as n from (select distinct x from f where x is not null)),
+step(v, k, c) as (select v, 0, v::bigint from range(256) s(v) union all select v, k + 1, xor(c >> 1, if(c & 1 = 1, 3988292384, 0)::bigint) from step where k < 8),
+t as (select v, c from step where k = 8),
+most as (select max(n) as n from u),
+m(v, d, c) as (select v, 0, c from t union all select m.v, d + 1, xor(t.c, m.c >> 8) from m join t on t.v = m.c & 255 where d + 1 < (select n from most)),
+zero(n, c) as (select 0, 4294967295::bigint union all select zero.n + 1, xor(t.c, zero.c >> 8) from zero join t on t.v = zero.c & 255 where zero.n < (select n from most)),
+named as (select printf('%02X', v) as b, d, c from m),
+crc as (select x, any_value(xor(zero.c, 4294967295)) as z, bit_xor(named.c) as c from (select x, n, unnest(range(1, n + 1)) as p, h from u) e join named on d = n - p and b = substr(h, 2 * p - 1, 2) join zero on zero.n = e.n group by x),
+hashed as (select side, r, xor(c, z) % 10000 as bucket from f join crc using (x)),
+counts as (select bucket, count(*) filter (where side = 'documents') as s, count(*) filter (where side = 'benchmark') as t from hashed group by 1),
+gains as (select bucket, cast(floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double))) as bigint) as gain from counts),
+weights as (select r, count(*) as n_features, sum(gain) as weight from hashed join gains using (bucket) where side = 'documents' group by 1),
+sizes as (select r, count(*) as n_words from words group by 1),
+scored as (select l.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_features, 0) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+  cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || left(sha256('42:' || coalesce(l.doc_id::varchar, '')), 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+  from lower l left join sizes using (r) left join weights using (r) where side = 'documents'),
+placed as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as n from scored)
+select doc_id, cast(n_features as bigint) as n_features, weight, score, if(n_words >= 20 and place <= n * 5 // 100, place, null) as rank from placed"""

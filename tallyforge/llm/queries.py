@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_source_divergence_audit": source_audit.ORACLE_SQL}
+    return {"op11_source_divergence_audit": source_audit.ORACLE_SQL, "op12_importance_resampling": importance_resampling.ORACLE_SQL}
