@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators import postings, search
+from tallyforge.sources.written import materialize
+
 LEAST = 0.6
 
 
@@ -54,17 +60,50 @@ def word_similarity(query: str, text: Column, least: float = LEAST) -> Column:
     return F.pandas_udf(run, "double")(text)
 
 
-def fuzzy_search(packages: DataFrame, query: str, limit: int = 25, least: float = LEAST) -> DataFrame:
-    """Rows whose name and summary resemble the query by at least `least`, the likest first.
+@dataclass(frozen=True)
+class Index:
+    """Trigram postings of rows (id, name, summary, ...) and the rows themselves."""
+
+    grams: postings.Postings
+    rows: DataFrame
+
+
+def row_trigrams(rows: DataFrame) -> DataFrame:
+    """(term, lead, id): each different trigram of a row's name and summary, once."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "name", "summary")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    each = rows.select("id", F.explode(words).alias("w")).select("id", F.concat(F.lit("  "), "w", F.lit(" ")).alias("w"))
+    grams = each.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.substring("w", i, F.lit(3)))).alias("term"))
+    return grams.groupBy("term", "id").agg(F.first("term").alias("lead"))
+
+
+def build(rows: DataFrame, buckets: int = postings.BUCKETS) -> Index:
+    kept = materialize(rows, "resembled")
+    return Index(postings.write(row_trigrams(kept), "trigrams", buckets), kept)
+
+
+def sharing(index: Index, wanted: list[str], needed: int) -> DataFrame:
+    """(id, shared): rows with at least `needed` of the trigrams. A row that lacks all of the len(wanted) - needed + 1
+    rarest can't reach the number, so the rows of these short lists are the only candidates; of the other, long
+    lists only the candidates' postings are gathered and counted."""
+    lengths = index.grams.lengths(wanted)
+    there = sorted((g for g in wanted if g in lengths), key=lambda g: (lengths[g], g))
+    if len(there) < needed:
+        return index.grams.rows().limit(0).select("id", F.lit(0).alias("shared"))
+    short, long = there[: len(there) - needed + 1], there[len(there) - needed + 1 :]
+    first = index.grams.lookup(short).groupBy("id").agg(F.count("*").alias("shared"))
+    if not long:
+        return first.where(F.col("shared") >= needed)
+    rest = index.grams.lookup(long).join(first.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("more"))
+    both = first.join(rest, "id", "left").select("id", (F.col("shared") + F.coalesce("more", F.lit(0))).alias("shared"))
+    return both.where(F.col("shared") >= needed)
+
 
-    Only rows that share enough trigrams (counted without Python) are compared."""
-    wanted = sorted(set(trigrams_of(query)))
+def find(index: Index, query: str, limit: int = 25, least: float = LEAST) -> DataFrame:
+    """Rows whose name and summary resemble the query by at least `least`, the likest first; none for a query of
+    stop words alone. Rows that share enough trigrams are found in the index, and only their texts are compared."""
+    wanted = sorted(set(trigrams_of(query))) if search.parsed(query) else []
     if not wanted:
-        return packages.limit(0).withColumn("similarity", F.lit(0.0))
-    both = F.concat_ws(" ", "name", "summary")
-    # words two blanks after and one before the next: trigrams of a word are substrings here, and no other is one of the query's
-    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(both), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
-    spread = packages.withColumn("padded", padded)
-    shared = sum((F.when(F.col("padded").contains(t), 1).otherwise(0) for t in wanted), F.lit(0))
-    found = spread.where(shared >= least * len(wanted)).drop("padded").withColumn("similarity", F.round(word_similarity(query, both, least), 6))
+        return index.rows.limit(0).withColumn("similarity", F.lit(0.0))
+    met = sharing(index, wanted, max(1, math.ceil(least * len(wanted) - 1e-9)))
+    found = index.rows.join(met.select("id"), "id", "left_semi").withColumn("similarity", F.round(word_similarity(query, F.concat_ws(" ", "name", "summary"), least), 6))
     return found.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), F.desc("id")).limit(limit)

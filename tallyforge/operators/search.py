@@ -40,13 +40,19 @@ def plain_words(query: str) -> list[str] | None:
 
 
 def parsed(query: str) -> list[list[Term]]:
-    """Alternatives of terms that must all hold. A phrase in quotes and a word with inner marks (node.js)
-    are neighbours; `or` binds loosest; the last word of a plain query is a prefix from three letters on.
-    Stop words alone in a term are left out."""
+    """Alternatives of terms that must all hold; `or` binds loosest.
+
+    Words of a plain query are terms of their own, split at every mark but an inner dot: the parts of
+    node.js are neighbours. The last one is a prefix from three letters on. With quotes, exclusions or `or` a
+    phrase in quotes and a word with inner marks are neighbours. Stop words alone in a term are left out."""
     import regex
 
+    if plain_words(query) is not None:
+        chunks = [tuple(c.split(".")) for c in regex.findall(r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*", query.lower())]
+        last = len(chunks) - 1
+        terms = [Term(words, i == last and len(words[-1]) >= 3) for i, words in enumerate(chunks) if not all(w in STOP_WORDS for w in words)]
+        return [terms] if terms else []
     out: list[list[Term]] = [[]]
-    plain = plain_words(query) is not None
     for minus, phrase, word in regex.findall(r'(-?)(?:"([^"]*)"?|([^\s"]+))', query):
         if not phrase and word.lower() == "or" and out[-1]:
             out.append([])
@@ -54,9 +60,7 @@ def parsed(query: str) -> list[list[Term]]:
         words = tuple(w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", phrase or word))
         if words and not all(w in STOP_WORDS for w in words):
             out[-1].append(Term(words, False, bool(minus)))
-    if plain and out[-1] and len(out[-1][-1].words[-1]) >= 3:
-        out[-1][-1] = Term(out[-1][-1].words, True)
-    return [terms for terms in out if any(not t.negated for t in terms)]
+    return [terms for terms in out if terms]
 
 
 def normalize_query(raw: str | list[str] | None, most: int = 200) -> str:

@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tallyforge.plans import bodies, pages, parsed  # noqa: F401  each adds its own
+    from tallyforge.plans import bodies, pages, parsed, searches  # noqa: F401  each adds its own
 
     return dict(_QUERIES)
 
@@ -463,12 +463,6 @@ _VECTOR = lambda f: f"' ' || array_to_string([{_STEM} for w in string_split_rege
 _FIELDS = f"{_PACKAGES}, fields as (select id, repository, type, name, language, lower(name) as lname, {_VECTOR('name')} as n, {_VECTOR('summary')} as s, {_VECTOR('source_path')} as p, {_VECTOR('type')} as t from packages)"
 
 
-def _rank_sql(words: list[str], q: str) -> str:
-    best = " + ".join(f"greatest(if(contains(n, '{w}'), 1.0, 0), if(contains(s, '{w}'), 0.4, 0), if(contains(p, '{w}'), 0.2, 0), if(contains(t, '{w}'), 0.1, 0))" for w in words)
-    some = " or ".join(f"contains(n, '{w}')" for w in words)
-    return f"round(if(lname = '{q}', 2.0, 0) + if(starts_with(lname, '{q}'), 1.0, 0) + if({some}, 0.5, 0) + ({best}) / {len(words)} + if(contains(lower(repository), '{q}'), 0.1, 0), 6)::double"
-
-
 def searched(spark, sf_dir):
     return packages(spark, sf_dir).select("id", "repository", "type", "name", "summary", "language", F.col("source_path").alias("path"), "stars")
 
@@ -476,19 +470,6 @@ def searched(spark, sf_dir):
 _IN = lambda w: f"(contains(n, '{w}') or contains(s, '{w}') or contains(p, '{w}') or contains(t, '{w}'))"
 
 
-@query(f"""with {_FIELDS}, r as (select 1 as q, id, {_rank_sql([" only ", " her"], "only hers")} as rank from fields where {_IN(" only ")} and {_IN(" her")}
-union all select 2, id, {_rank_sql([" ther ent ", " hati "], '"ther ents" -skill or hati')} from fields where ({_IN(" ther ent ")} and not {_IN(" skill ")}) or {_IN(" hati ")}
-union all select 3, id, {_rank_sql([" plugin"], "plugins")} from fields where {_IN(" plugin")} union all select 4, id, {_rank_sql([" b 1"], "src1")} from fields where contains(lower(repository), 'src1'))
-select q, id, rank from (select *, row_number() over (partition by q order by rank desc, id desc) as k from r) where k <= 25""".replace(_rank_sql([" b 1"], "src1"), "0.1::double"))
-def ranked_search(spark, sf_dir):
-    """Two words, a phrase with an exclusion and an alternative, a plural of a type, a repository's name."""
-    rows, out = search.indexed(searched(spark, sf_dir)), None
-    for k, q in enumerate(("only hers", '"ther ents" -skill or hati', "plugins", "src1"), 1):
-        one = search.search(rows, q, mode="all").select(F.lit(k).alias("q"), "id", "rank")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query(f"""with {_FIELDS}, m as (select *, {_IN(" ther")} as hit, type in ('skill', 'plugin') as typed, language is null or language <> 'other' as shown from fields)
 select null as without, count(*) filter (where hit and typed and shown) as n from m union all select 'types', count(*) filter (where hit and shown) from m union all select 'languages', count(*) filter (where hit and typed) from m union all select 'query', count(*) filter (where typed and shown) from m""")
 def ways_out(spark, sf_dir):
@@ -668,12 +649,6 @@ def word_likeness(spark, sf_dir):
     return out
 
 
-@query()
-def fuzzy_packages(spark, sf_dir):
-    rows = packages(spark, sf_dir).select("id", "repository", "type", "name", "summary")
-    return fuzzy.fuzzy_search(rows, "the and", least=0.5)
-
-
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events where ts is not null group by 1, 2")
 def streamed_outcomes(spark, sf_dir):
     """The events read as a stream of attempts, counted by day and outcome."""
