@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import reduce
 
 import pandas as pd
@@ -74,95 +75,137 @@ def fence_flags(lines: Column) -> Column:
     return F.aggregate(lines, none, step)["flags"]
 
 
-def comment_lines(text: str) -> list[int]:
-    """Numbers, from 1, of the lines where an HTML comment outside of code begins; a comment may go on over lines.
-
-    Code is a fenced block or what stands between two runs of backticks of one line."""
-    out, fenced, open_ = [], False, False
-    for number, line in enumerate(text.split("\n"), 1):
-        if re.match(r" {0,3}(?:`{3}|~{3})", line):
-            fenced = not fenced
-            continue
-        if fenced:
-            continue
-        runs = [m.span() for m in re.finditer("`+", line)]
-        code = [(a[0], b[1]) for a, b in zip(runs[::2], runs[1::2])]
-        at = 0
-        while at <= len(line):
-            if open_:
-                end = line.find("-->", at)
-                if end < 0:
-                    break
-                open_, at = False, end + 3
-                continue
-            begin = line.find("<!--", at)
-            if begin < 0:
-                break
-            at = begin + 4
-            if not any(a <= begin < b for a, b in code):
-                out.append(number)
-                open_ = True
+def comment_spans(text: str) -> list[tuple[int, int, int, str]]:
+    """(first line, last line, column, what it says) of closed HTML comments that begin outside of code, lines from 1, columns from 0.
+
+    A comment is told by where it begins: in a fenced block, or between two runs of backticks of one line, it is
+    text that a reader sees. One that isn't closed is none."""
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    shut, code = [], []  # by line: whether in a fenced block, and spans of inline code
+    fenced = False
+    for line in text.split("\n"):
+        fence = re.match(r" {0,3}(?:`{3}|~{3})", line) is not None
+        shut.append(fenced or fence)
+        fenced ^= fence
+        ticks = [m.span() for m in re.finditer("`+", line)]
+        code.append([(one[0], other[1]) for one, other in zip(ticks[::2], ticks[1::2])])
+    out = []
+    for m in re.finditer(r"<!--(.*?)-->", text, re.S):
+        first, last = bisect_right(starts, m.start()), bisect_right(starts, m.end() - 1)
+        column = m.start() - starts[first - 1]
+        if not shut[first - 1] and not any(a <= column < b for a, b in code[first - 1]):
+            out.append((first, last, column, m[1].strip()))
     return out
 
 
 def comments(text: Column) -> Column:
-    """array<int>: the lines of comment_lines()."""
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else comment_lines(t))
-
-    return F.pandas_udf(run, "array<int>")(text)
+    """array<struct<start_line, end_line, column, says>> of comment_spans()."""
 
-
-_NAMED = re.compile(r"""([A-Za-z0-9_.-]{1,128})(=|:(?!//)\s*)("[^"]*"|'[^']*'|[^\s&"',;]+)""")
-_FLAG = re.compile(r"""(--?[A-Za-z0-9_-]{1,128})(\s+)("[^"]*"|'[^']*'|[^\s"'-]\S*)""")
-_TOKEN = re.compile(r"\b(?:" + "|".join(TOKENS) + r")\b", re.ASCII)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [dict(zip(("start_line", "end_line", "column", "says"), c)) for c in comment_spans(t)])
+
+    return F.pandas_udf(run, "array<struct<start_line:int,end_line:int,column:int,says:string>>")(text)
+
+
+_KNOWN = re.compile(r"\b(?:" + "|".join(TOKENS) + r")\b", re.ASCII)
+_LOGIN = re.compile(r"(?i)[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]+)@")
+_SCHEME = re.compile(r"\b(?:Bearer|Basic|Token)\s+([A-Za-z0-9._~+/=-]{8,})")
+_NAME = re.compile(r"[A-Za-z0-9_.-]+")
+_VARIABLE = re.compile(r"\$(?:[A-Za-z_]\w*|\{[A-Za-z_]\w*\})", re.ASCII)
+
+
+class Reader:
+    """Goes through a text name by name and tells what value each one is given."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def value_at(self, at: int, ends: str) -> tuple[int, int]:
+        """The value that begins at a place: what is in quotes, if they are closed, else all before white space or one of `ends`."""
+        quote = self.text[at : at + 1]
+        if quote in ("'", '"') and quote and (close := self.text.find(quote, at + 1)) >= 0:
+            return at, close + 1
+        end = at
+        while end < len(self.text) and not self.text[end].isspace() and self.text[end] not in ends:
+            end += 1
+        return at, end
+
+    def given(self, name: re.Match) -> tuple[int, int] | None:
+        """The value of a name: behind a sign right after it, or as the next word of a flag."""
+        at, text = name.end(), self.text
+        sign = text[at : at + 1]
+        if sign == "=" or sign == ":" and not text.startswith("://", at):
+            at += 1
+            while sign == ":" and text[at : at + 1].isspace():
+                at += 1
+            return self.value_at(at, "&\"',;")
+        if name[0].startswith("-") and sign.isspace():
+            while text[at : at + 1].isspace():
+                at += 1
+            return None if text[at : at + 1] == "-" else self.value_at(at, "\"'" if text[at : at + 1] in "\"'" else "")
+        return None
+
+    def named(self) -> list[tuple[int, int, str]]:
+        out, at = [], 0
+        while (name := _NAME.search(self.text, at)) is not None:
+            at = name.end()
+            if is_sensitive(name[0]) and (span := self.given(name)) and tells(self.text[slice(*span)]):
+                out.append((*span, "flag" if name[0].startswith("-") and self.text[name.end()].isspace() else "name"))
+                at = span[1]
+        return out
 
 
 def is_sensitive(name: str) -> bool:
+    """Whether what a name or a flag is given is a credential."""
     return re.search(SENSITIVE, name.lower().lstrip("-")) is not None
 
 
-def _kept(value: str) -> bool:
-    """Whether a value tells no secret: nothing, what is blanked already, a variable, a scheme."""
-    bare = re.sub(r"""^["']|["']$""", "", value)
-    return bare in ("", BLANK, "Bearer", "Basic", "Token") or re.fullmatch(r"\$\{?[A-Za-z_][A-Za-z0-9_]*\}?", bare) is not None
-
+def tells(value: str) -> bool:
+    """Whether a value gives a secret away: not if it is empty or blank, a variable, or the word that a scheme's token follows."""
+    bare = value[value[:1] in ("'", '"') : len(value) - (value[-1:] in ("'", '"'))]
+    return bare not in ("", BLANK, "Bearer", "Basic", "Token") and _VARIABLE.fullmatch(bare) is None
 
-def _named(text: str, inner: bool = False) -> str:
-    def one(m: re.Match) -> str:
-        name, sep, value = m.groups()
-        if is_sensitive(name) and not _kept(value):
-            return name + sep + BLANK
-        return m[0] if inner else name + sep + _named(value, True)  # a harmless name may hold a named value
 
-    return _NAMED.sub(one, text)
+def credentials(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, reason) of what a text gives away, in order, none over another. Every kind is looked for in the text as it is;
+    spans that meet become one, with the first one's reason."""
+    found = [(*m.span(1), "address") for m in _LOGIN.finditer(text)] + [(*m.span(1), "scheme") for m in _SCHEME.finditer(text)]
+    found += [(*m.span(), "known form") for m in _KNOWN.finditer(text)] + Reader(text).named()
+    out: list[tuple[int, int, str]] = []
+    for start, end, reason in sorted(found):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), out[-1][2])
+        else:
+            out.append((start, end, reason))
+    return out
 
 
 def without_secrets(text: str) -> str:
-    """Passwords in addresses, authorisations, named values, values of flags and known tokens blanked."""
-    text = re.sub(r"(?i)([a-z][a-z0-9+.-]{0,32}://[^\s/:@]+):[^\s/@]+@", rf"\1:{BLANK}@", text)
-    text = re.sub(r"\b(Bearer|Basic|Token)\s+[A-Za-z0-9._~+/=-]{8,}", rf"\1 {BLANK}", text)
-    text = _FLAG.sub(lambda m: m[1] + m[2] + BLANK if is_sensitive(m[1]) and not _kept(m[3]) else m[0], _named(text))
-    return _TOKEN.sub(BLANK, text)
+    """The text with each of its credentials blanked."""
+    at, kept = 0, []
+    for start, end, _ in credentials(text):
+        kept += [text[at:start], BLANK]
+        at = end
+    return "".join([*kept, text[at:]])
 
 
 def without_secret_arguments(arguments: list[str | None]) -> list[str | None]:
-    """An argument vector: each by itself, and a flag's value that is the next element."""
-    out = []
-    for before, one in zip([None, *arguments], arguments):
-        follows = one is not None and before is not None and re.fullmatch(r"--?[A-Za-z0-9_-]+", before) and is_sensitive(before) and not one.startswith("-") and not _kept(one)
-        out.append(BLANK if follows else None if one is None else without_secrets(one))
-    return out
+    """An argument vector: what an element gives away by itself, and an element that a sensitive flag alone stands before."""
+    flags = [a is not None and a.startswith("-") and _NAME.fullmatch(a) is not None and is_sensitive(a) for a in arguments]
+    given = [False, *flags[:-1]]
+    return [a if a is None else BLANK if told and not a.startswith("-") and tells(a) else without_secrets(a) for a, told in zip(arguments, given)]
+
+
+_SIGN = r"(?i)key|token|secret|passw|pwd|credential|signature|cookie|session|auth|sig|bearer|basic|://[^\s/:@]+:|gh[pousr]_|sk[-_]|xox|AKIA|AIza|glpat"
 
 
 def redacted(text: Column) -> Column:
-    """text without what without_secrets() blanks; only rows with a sign of one reach Python."""
-    sign = text.rlike(r"(?i)key|token|secret|passw|pwd|credential|signature|cookie|session|auth|sig|bearer|basic|://[^\s/:@]+:|gh[pousr]_|sk[-_]|xox|AKIA|AIza|glpat")
+    """text without its credentials; only rows with a sign of one reach Python."""
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(without_secrets, na_action="ignore")
 
-    return F.when(sign, F.pandas_udf(run, "string")(text)).otherwise(text)
+    return F.when(text.rlike(_SIGN), F.pandas_udf(run, "string")(text)).otherwise(text)
 
 
 def redacted_arguments(arguments: Column) -> Column:

@@ -128,9 +128,12 @@ def capped(text: Column, most: int) -> Column:
 
 
 def cap_summary(text: Column, most: int = 500) -> Column:
-    """A long summary cut at a word, with its length and the head of its hash."""
-    cut = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*\z", "")
-    return F.when(F.length(text) > most, F.concat(cut, F.lit(" … ("), F.length(text).cast("string"), F.lit(" characters, "), F.substring(F.sha2(text.cast("binary"), 256), 1, 8), F.lit(")"))).otherwise(text)
+    """A summary without its credentials; a long one cut at a word, with the length and the head of the hash of what was there."""
+    from tallyforge.functions import concealed
+
+    shown = concealed.redacted(text)
+    cut = F.regexp_replace(F.substring(shown, 1, most), r"\s+\S*\z", "")
+    return F.when(F.length(shown) > most, F.concat(cut, F.lit(" … ("), F.length(text).cast("string"), F.lit(" characters, "), F.substring(F.sha2(text.cast("binary"), 256), 1, 8), F.lit(")"))).otherwise(shown)
 
 
 def split_front_matter(source: Column) -> Column:

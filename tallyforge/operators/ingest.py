@@ -18,12 +18,14 @@ def bounded_tree(tree: DataFrame, most: int = MOST_ENTRIES, depth: int = MOST_DE
 
 
 def needed_files(needs: DataFrame, most: int = MOST_FILES) -> DataFrame:
-    """Adds status: `read` for the first `most` needs (repo, position) of each repository, `skipped` for the rest.
-
-    The rank within a repository is taken only of its first `most` + 1 needs; the others are skipped by position."""
-    first = needs.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy("position"))).where(F.col("n") <= most)
-    last = first.groupBy("repo").agg(F.max("position").alias("last"))
-    return needs.join(last, "repo").withColumn("status", F.when(F.col("position") <= F.col("last"), "read").otherwise("skipped")).drop("last")
+    """Adds status: `read` for the first `most` needs (repo, position, path) of each repository, `skipped` for the rest.
+
+    The order is by position and then by path, needs without a position last. The rank within a repository is taken
+    only of its first `most` needs; the others are told by the last of these."""
+    place = F.struct(F.col("position").isNull().alias("a"), F.col("position").alias("b"), F.col("path").alias("c"))
+    first = needs.withColumn("n", F.row_number().over(Window.partitionBy("repo").orderBy(place))).where(F.col("n") <= most)
+    last = first.groupBy("repo").agg(F.max(place).alias("last"))
+    return needs.join(last, "repo").withColumn("status", F.when(place <= F.col("last"), "read").otherwise("skipped")).drop("last")
 
 
 def changed_only(scans: DataFrame, known: DataFrame) -> DataFrame:

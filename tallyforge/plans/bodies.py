@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import concealed
 from tallyforge.functions import text as T
-from tallyforge.plans.registry import query, table
+from tallyforge.plans.registry import _NAMED_SQL, query, table
 
 _MARKS = "replace(replace(replace(replace(text, 'th', 't' || chr(8203) || 'h'), 'on', 'o' || chr(8238) || 'n'), 'er', 'e' || chr(173) || 'r'), 'ing', chr(917569) || 'ing')"
 
@@ -33,21 +33,32 @@ def fenced_lines(spark, sf_dir):
     return rows.select("doc_id", F.size("flags").cast("long").alias("n_lines"), F.size(F.filter("flags", lambda x: x)).cast("long").alias("n_code"))
 
 
-@query("""with b as (select page_id, '<!-- a' || chr(10) || 'b --> `<!-- c -->`' || chr(10) || '```' || chr(10) || '<!-- d -->' || chr(10) || '```' || chr(10) || 'x' as head, html from pages)
-select page_id, 1 as line from b""")
+@query("""with p as (select page_id, html, regexp_extract(html, '<!--[^-]*-->') as one, length(html) - length(replace(html, chr(10), '')) as nl, string_split(html, '<!--') as parts from pages),
+e as (select *, unnest(range(2, len(parts) + 1)) as k from p), c as (select *, array_to_string(parts[1:k-1], '<!--') as before, split_part(parts[k], '-->', 1) as says from e where contains(parts[k], '-->')),
+f as (select *, 1 + length(before) - length(replace(before, chr(10), '')) as line, length(regexp_extract(before, '[^' || chr(10) || ']*$')) as col, length(says) - length(replace(says, chr(10), '')) as more from c)
+select page_id, cast(line as int) as start_line, cast(line + more as int) as end_line, cast(col as int) as column, trim(says, chr(32) || chr(9) || chr(10) || chr(13)) as says from f
+union all select page_id, cast(line + 4 + 2 * nl as int), cast(line + more + 4 + 2 * nl as int), cast(col + if(line = 1, 5 + length(one), 0) as int), trim(says, chr(32) || chr(9) || chr(10) || chr(13)) from f""")
 def hidden_comments(spark, sf_dir):
-    """Where comments begin that no reader sees: one over two lines, not those in code."""
-    body = F.lit("<!-- a\nb --> `<!-- c -->`\n```\n<!-- d -->\n```\nx")
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(concealed.comments(body)).alias("line"))
+    """Comments that no reader sees: pages with a copy of themselves in a fenced block, one in inline code, and one that isn't closed."""
+    one = F.regexp_extract("html", "<!--[^-]*-->", 0)
+    body = F.concat("html", F.lit("\n```\n"), "html", F.lit("\n```\nx `"), one, F.lit("` "), "html", F.lit("\n<!-- open"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(concealed.comments(body)).alias("c")).select("page_id", "c.*")
 
 
-@query("""select doc_id, md5(text || chr(10) || 'curl https://u:<redacted>@h/x -H "Authorization: Bearer <redacted>" api_key=<redacted> mode=fast --token <redacted> --size 5 $HOME pwd: ${PW} tools: Bash(API_KEY=<redacted> <redacted>') as redacted
-from documents where not regexp_matches(text, '(?i)(key|token|secret|passw|pwd|credential|signature|cookie|session|auth|sig|bearer|basic)|://[^\\s/:@]+:|gh[pousr]_|sk[-_]|xox|AKIA|AIza|glpat')""")
+_PUT = '\ncurl https://u:p4ss@h/x -H "Authorization: Bearer abcdef123456" api_key=abc123 mode=fast --token s3cr3t --size 5 $HOME pwd: ${PW} tools: Bash(API_KEY=xyz) ghp_' + "a1B2" * 6
+
+
+@query(f"""select doc_id, md5(regexp_replace(regexp_replace(replace(text, ' = ', '='), 'AKIA[0-9A-Z]{{16}}', '<redacted>', 'g'), {_NAMED_SQL}) || chr(10) || 'curl https://u:<redacted>@h/x -H "Authorization: Bearer <redacted>" api_key=<redacted> mode=fast --token <redacted> --size 5 $HOME pwd: ${{PW}} tools: Bash(API_KEY=<redacted> <redacted>') as redacted from documents""")
 def redacted_secrets(spark, sf_dir):
-    """Five forms of credentials put behind documents that show no other sign of one."""
-    put = '\ncurl https://u:p4ss@h/x -H "Authorization: Bearer abcdef123456" api_key=abc123 mode=fast --token s3cr3t --size 5 $HOME pwd: ${PW} tools: Bash(API_KEY=xyz) ghp_' + "a1B2" * 6
-    clean = ~F.col("text").rlike(r"(?i)(key|token|secret|passw|pwd|credential|signature|cookie|session|auth|sig|bearer|basic)|://[^\s/:@]+:|gh[pousr]_|sk[-_]|xox|AKIA|AIza|glpat")
-    return table(spark, sf_dir, "documents").where(clean).select("doc_id", F.md5(concealed.redacted(F.concat("text", F.lit(put)))).alias("redacted"))
+    """Documents with their own assignments closed up, and seven forms of credentials behind each."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(concealed.redacted(F.concat(F.replace("text", F.lit(" = "), F.lit("=")), F.lit(_PUT)))).alias("redacted"))
+
+
+@query("""select o_orderkey, array_to_string(['run', '--api-key', '<redacted>', '--port', o_custkey::varchar, '--token', '$' || 'T', '--secret', '--' || o_orderstatus, 'PASSWORD=<redacted>', if(o_orderstatus = 'F', 'https://u:<redacted>@h', 'https://u@h')], ' ') as arguments from orders""")
+def redacted_arguments(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    vector = F.array(F.lit("run"), F.lit("--api-key"), key, F.lit("--port"), F.col("o_custkey").cast("string"), F.lit("--token"), F.lit("$T"), F.lit("--secret"), F.concat(F.lit("--"), "o_orderstatus"), F.concat(F.lit("PASSWORD="), key), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("https://u:"), key, F.lit("@h"))).otherwise("https://u@h"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(concealed.redacted_arguments(vector), " ").alias("arguments"))
 
 
 @query("select o_orderkey, least(900, o_orderkey) as motes from orders")

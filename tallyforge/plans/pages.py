@@ -267,12 +267,12 @@ def registry_listing(spark, sf_dir):
     return ingest.registry_rows(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page"), body.alias("body")))
 
 
-@query("""select event_id as pass, case when value < 50 then case when ts is null then timestamp '2020-01-01' when ts < timestamp '2024-01-15' then ts else timestamp '2024-01-15' end else timestamp '2020-01-01' end as watermark from events""")
+@query("""select event_id as pass, case when value < 50 then case when ts < timestamp '2024-01-15' then ts else timestamp '2024-01-15' end else timestamp '2020-01-01' end as watermark from events""")
 def registry_watermark(spark, sf_dir):
     t = lambda s: F.lit(s).cast("timestamp")
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("pass"), t("2024-01-15").alias("started_at"), F.col("ts").alias("newest"), F.coalesce(F.col("value") < 50, F.lit(False)).alias("reached_end"), t("2020-01-01").alias("before"))
-    # without a newest row the mark stays, so the start alone doesn't count
-    held = ingest.watermark(rows.withColumn("started_at", F.when(F.col("newest").isNotNull(), F.col("started_at"))))
+    # a pass that reached the end without a newer row moves the mark to its own start
+    held = ingest.watermark(rows)
     return held.select("pass", "watermark")
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import artifacts, manifests, pages, state
-from tallyforge.plans.registry import query, table
+from tallyforge.plans.registry import _class_sql, query, table
 from tallyforge.sources import lists, resume
 
 _FORM, _LONG = "name is not in small letters, digits and single hyphens", "description is over 1024 characters"
@@ -197,13 +197,16 @@ def report_sections(spark, sf_dir):
     return pages.report_lines(rows)
 
 
-@query("""select doc_id, case when regexp_matches(text, '[A-Za-z]') then null else 'none' end as note from documents where regexp_full_match(text, '[\\x00-\\x7F]*') and regexp_matches(text, '[A-Za-z]')
-union all select doc_id, 'zh Chinese' from documents""")
+_NOTE = lambda t: "(select case c when 'zh' then 'zh Chinese' when 'ja' then 'ja Japanese' when 'ko' then 'ko Korean' when 'mixed' then 'Mixed languages' when 'other' then 'Other scripts' end from (select " + _class_sql(t) + " as c))"
+
+
+@query(f"""select doc_id, 1 as of, {_NOTE("text")} as note from documents
+union all select doc_id, 2, {_NOTE("'技能描述' || doc_id")} from documents union all select doc_id, 3, {_NOTE("left(text, 20) || ' コードのための 説明'")} from documents""")
 def class_notes(spark, sf_dir):
-    """The label of each text in ASCII, which has none, and of each document's key in Han."""
+    """The label of each text, of each document's key in Han, and of the head of each text before kana."""
     from tallyforge.functions import text as T
 
-    note = lambda c: F.concat_ws(" ", pages.html_language(T.writing_system(c)), pages.class_note(T.writing_system(c)))
-    docs = table(spark, sf_dir, "documents")
-    plain = docs.where(F.col("text").rlike(r"\A[\x00-\x7F]*\z") & F.col("text").rlike("[A-Za-z]")).select("doc_id", F.nullif(note(F.col("text")), F.lit("")).alias("note"))
-    return plain.unionByName(docs.select("doc_id", note(_text("技能描述", F.col("doc_id"))).alias("note")))
+    note = lambda c: F.nullif(F.concat_ws(" ", pages.html_language(T.writing_system(c)), pages.class_note(T.writing_system(c))), F.lit(""))
+    bodies = [F.col("text"), _text("技能描述", F.col("doc_id")), F.concat(F.substring("text", 1, 20), F.lit(" コードのための 説明"))]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("of"), note(b).alias("note")) for k, b in enumerate(bodies, 1)))).alias("n")
+    return table(spark, sf_dir, "documents").select("doc_id", each).select("doc_id", "n.*")

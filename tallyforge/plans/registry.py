@@ -296,15 +296,15 @@ def refresh_due(spark, sf_dir):
     return state.refresh_due(rows, now, 86400, 40).select("id")
 
 
-_OLD_NEW = """o as (select l_partkey as id, max(l_extendedprice) as v, 1 as created from lineitem where l_quantity = 1 group by 1),
-n as (select l_partkey as id, max(l_extendedprice) as v, 2 as created from lineitem where l_quantity = 2 group by 1)"""
+_OLD_NEW = """o as (select l_partkey * 1000000 + l_suppkey as id, max(l_extendedprice) as v, 1 as created from lineitem where coalesce(l_shipdate < timestamp '1995-06-01', true) group by 1),
+n as (select l_partkey * 1000000 + l_suppkey as id, max(l_extendedprice) as v, 2 as created from lineitem where l_shipdate >= timestamp '1995-06-01' group by 1)"""
 
 
 def _old_new(spark, sf_dir):
-    """Two states of an index: parts met in lines of one piece, and in lines of two."""
-    lines = table(spark, sf_dir, "lineitem")
-    state_of = lambda n: lines.where(F.col("l_quantity") == n).groupBy(F.col("l_partkey").alias("id")).agg(F.max("l_extendedprice").alias("v")).withColumn("created", F.lit(n))
-    return state_of(1), state_of(2)
+    """Two states of an index, all lines in one of them: parts by supplier as shipped before a day, and from then on."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("old", F.coalesce(F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp"), F.lit(True)))
+    state_of = lambda old, n: lines.where(F.col("old") == old).groupBy((F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("id")).agg(F.max("l_extendedprice").alias("v")).withColumn("created", F.lit(n))
+    return state_of(True, 1), state_of(False, 2)
 
 
 @query(f"with {_OLD_NEW} select coalesce(n.id, o.id) as id, if(n.id is null, o.v, n.v) as v, coalesce(o.created, n.created) as created from o full join n on o.id = n.id")
@@ -317,10 +317,12 @@ def scan_counters(spark, sf_dir):
     return state.diff_counts(*_old_new(spark, sf_dir), "id", "v")
 
 
-@query("select p_partkey as id, p_type as type, case when p_type <> 'STANDARD' and not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity = 1) then timestamp '2024-01-01' end as delisted_at from part")
+@query(f"with {_OLD_NEW} select o.id, p_type as type, case when p_type is distinct from 'STANDARD' and n.id is null then timestamp '2024-01-01' end as delisted_at from o left join n on n.id = o.id left join part on p_partkey = o.id // 1000000")
 def delist_absent(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.lit(None).cast("timestamp").alias("delisted_at"))
-    return state.delist(rows, _old_new(spark, sf_dir)[0], ["id"], F.lit("2024-01-01").cast("timestamp"), undetected=["STANDARD"])
+    old, new = _old_new(spark, sf_dir)
+    types = table(spark, sf_dir, "part").select((F.col("p_partkey")).alias("part"), F.col("p_type").alias("type"))
+    rows = old.withColumn("part", F.floor(F.col("id") / 1000000)).join(types, "part", "left").select("id", "type", F.lit(None).cast("timestamp").alias("delisted_at"))
+    return state.delist(rows, new, ["id"], F.lit("2024-01-01").cast("timestamp"), undetected=["STANDARD"])
 
 
 @query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by 1")
@@ -389,7 +391,11 @@ def counts_for_display(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderkey > 0").select("o_orderkey", T.compact_stars(F.col("o_orderkey")).alias("stars"), T.plates(F.col("o_orderkey")).alias("plates"))
 
 
-@query("""select doc_id, case when length(text) > 200 then left(text, 199) || '…' else text end as meta, case when length(text) > 500 then regexp_replace(left(text, 500), '\\s+\\S*$', '') || ' … (' || length(text) || ' characters, ' || left(sha256(text), 8) || ')' else text end as summary from documents""")
+_NAMED_SQL = """'(?i)((?:^|[^A-Za-z0-9_.-])[A-Za-z0-9_.-]*(?:key|token|secret|passw|pwd|credential|signature|cookie|session)[A-Za-z0-9_.-]*(?:=|:\\s*))("[^"]*"|''[^'']*''|[^\\s&"'',;]+)', '\\1<redacted>', 'g'"""
+
+
+@query(f"""select doc_id, case when length(text) > 200 then left(text, 199) || '…' else text end as meta, case when length(t) > 500 then regexp_replace(left(t, 500), '\\s+\\S*$', '') || ' … (' || length(text) || ' characters, ' || left(sha256(text), 8) || ')' else t end as summary
+from (select doc_id, text, regexp_replace(regexp_replace(text, 'AKIA[0-9A-Z]{{16}}', '<redacted>', 'g'), {_NAMED_SQL}) as t from documents)""")
 def shortened(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.capped(F.col("text"), 200).alias("meta"), T.cap_summary(F.col("text")).alias("summary"))
 
@@ -499,11 +505,12 @@ def matched_fields(spark, sf_dir):
     return rows.select("id", F.array_join(search.matched_in("skills only"), ",").alias("matched"))
 
 
-@query("""select doc_id, md5(regexp_replace(replace(text, chr(2), ''), '(?i)\\b(onlys?|thers?)\\b', chr(2) || '\\1' || chr(3), 'g')) as marked from documents where regexp_full_match(text, '[\\x00-\\x7f]*')""")
-def highlights(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-    return rows.select("doc_id", F.md5(search.marked(F.col("text"), "only thers")).alias("marked"))
+_MARK = lambda t: f"regexp_replace({t}, '(?i)(^|[^\\p{{L}}\\p{{N}}\x02])(onlys?|thers?)([^\\p{{L}}\\p{{N}}\x03]|$)', '\\1' || chr(2) || '\\2' || chr(3) || '\\3', 'g')"
+
 
+@query(f"""select doc_id, md5({_MARK(_MARK("replace(replace(text, chr(2), ''), chr(3), '')"))}) as marked from documents""")
+def highlights(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(search.marked(F.col("text"), "only thers")).alias("marked"))
 
 
 _VERB = "case " + " ".join(f"when contains(t, '{v}') then '{v}'" for v in T.FETCH_VERBS) + " end"
