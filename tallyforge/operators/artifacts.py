@@ -147,6 +147,17 @@ def server_manifests(found: DataFrame) -> DataFrame:
     return kept.withColumns({"name": F.when(seen, F.col("name")), "slug": F.when(seen, F.col("slug"))})
 
 
+def plugins(found: DataFrame) -> DataFrame:
+    """json_manifest() rows of plugin.json with name, description, version and parse_status. A plugin is named by its manifest, else
+    by its folder; a manifest that can't be read fails it, one without a name is `partial`."""
+    home = F.regexp_extract("path", r"([^/]*)/\.claude-plugin/plugin\.json\z", 1)
+    name, readable = manifests.text_of("name"), F.col("status") == "ok"
+    named = F.when(~_blank(name), name).when(home != "", home).otherwise("plugin")
+    status = F.when(~readable, "failed").when(_blank(name), "partial").otherwise("ok")
+    columns = {"name": named, "description": manifests.text_of("description"), "version": manifests.text_of("version"), "parse_status": status}
+    return found.select(*(c for c in found.columns if c not in (*columns, "parsed")), *(v.alias(k) for k, v in columns.items()))
+
+
 def hint_text(key: str = "argument-hint") -> Column:
     """An argument hint of front_matter() rows as it was written: a list goes back into its brackets."""
     value, kind = F.get_json_object("parsed", f"$['{key}']"), manifests.kind_of(key)

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import ingest, pages, state
-from tallyforge.plans.registry import query, table
+from tallyforge.operators import ingest, pages, selection, state
+from tallyforge.plans.registry import _lanes_sql, query, table
 
 
 def now():
@@ -316,18 +316,10 @@ def latest_jobs(spark, sf_dir):
 
 
 _PRINTED = {"nation": "n_nationkey || ':' || n_name", "region": "r_regionkey || ':' || r_name", "supplier": "s_suppkey || ':' || s_name", "customer": "c_custkey || ':' || c_name", "part": "p_partkey || ':' || p_name", "events": "event_id || ':' || event_type"}
-_LINES = " union all ".join(f"select '{t}' as tab, {line} as line from {t}" for t, line in _PRINTED.items())
 
 
-@query(f"""with rows_ as (select tab, line, md5(line) as h from ({_LINES})), buckets as (select tab, left(h, 2) as bucket, count(*) as n, md5(string_agg(h, '' order by h)) as h from rows_ where line is not null group by 1, 2)
-select tab, cast(sum(n) as bigint) as n, md5(string_agg(h, '' order by bucket)) as fingerprint from buckets group by 1""")
+@query(" union all ".join(_lanes_sql(line, t) for t, line in _PRINTED.items()))
 def bucketed_fingerprints(spark, sf_dir):
-    """Fingerprints of whole tables: rows by bucket of their hash, then the 256 buckets, so no row holds a table."""
-    rows = None
-    for name, line in _PRINTED.items():
-        one = table(spark, sf_dir, name).select(F.lit(name).alias("tab"), F.md5(F.concat(*(F.lit(":") if "':'" in x else F.col(x).cast("string") for x in line.split(" || ")))).alias("h"))
-        rows = one if rows is None else rows.unionByName(one)
-    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "")
-    buckets = rows.where("h is not null").groupBy("tab", F.substring("h", 1, 2).alias("bucket")).agg(F.count("*").alias("n"), F.md5(joined("h")).alias("h"))
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "")
-    return buckets.groupBy("tab").agg(F.sum("n").alias("n"), F.md5(ordered).alias("fingerprint"))
+    """Fingerprints of whole tables from sums of their rows' hashes."""
+    line = lambda text: F.concat(*(F.lit(":") if "':'" in x else F.col(x).cast("string") for x in text.split(" || ")))
+    return selection.fingerprints({name: (table(spark, sf_dir, name), line(text)) for name, text in _PRINTED.items()})

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators import artifacts, fuzzy, listing, manifests, search, state, trees
+from tallyforge.operators import artifacts, fuzzy, listing, manifests, search, selection, state, trees
 from tallyforge.sources.written import materialize
 from tallyforge.streaming import attempts
 
@@ -164,19 +164,18 @@ def attempts_by_outcome(spark, sf_dir):
 
 @query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, count(*) as n from events group by 1")
 def duration_percentiles(spark, sf_dir):
-    p = lambda q: F.round(F.expr(f"percentile_cont({q}) within group (order by value)"), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), F.count("*").alias("n"))
+    found = selection.percentiles(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return rows.join(found.drop("n"), "event_type", "left").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 
 @query("""with s as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as i, count(*) over (partition by event_type) as n from events where value is not null)
 select event_type, max(case when i = least(n - 1, cast(floor(0.5 * n) as bigint)) then value end) as p50, max(case when i = least(n - 1, cast(floor(0.95 * n) as bigint)) then value end) as p95, max(value) as longest from s group by 1""")
 def drain_percentiles(spark, sf_dir):
-    """Index percentiles, floor(p n): no interpolation. The rank is found by a sort within each type."""
-    rows = table(spark, sf_dir, "events").where("value is not null")
-    n = rows.groupBy("event_type").agg(F.count("*").alias("n"))
-    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1).join(n, "event_type")
-    at = lambda p: F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("value")))
-    return placed.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("longest"))
+    """Index percentiles, floor(p n): no interpolation."""
+    at = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
+    found = selection.at_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p50": at(0.5), "p95": at(0.95)})
+    return found.select("event_type", "p50", "p95", F.col("greatest").alias("longest"))
 
 
 @query("""with v as (select o_custkey, o_orderdate, min(o_orderdate) over (partition by o_custkey) as first_at from orders)
@@ -199,15 +198,15 @@ def read_age(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(age.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("""select 'nation' as tab, count(*) as n, md5(string_agg(n_nationkey || ':' || n_name, ',' order by n_nationkey)) as fingerprint from nation
-union all select 'region', count(*), md5(string_agg(r_regionkey || ':' || r_name, ',' order by r_regionkey)) from region""")
-def table_fingerprints(spark, sf_dir):
-    def one(name, key, label):
-        line = F.concat_ws(":", F.col(key).cast("string"), label)
-        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("v")))), lambda x: x["v"]), ",")
-        return table(spark, sf_dir, name).agg(F.lit(name).alias("tab"), F.count("*").alias("n"), F.md5(ordered).alias("fingerprint"))
+def _lanes_sql(line: str, t: str) -> str:
+    lanes = " || ',' || ".join(f"coalesce(sum(cast('0x' || substr(h, {8 * k + 1}, 8) as hugeint)), 0)" for k in range(8))
+    return f"select '{t}' as tab, count(h) as n, md5(count(h) || ',' || {lanes}) as fingerprint from (select sha256({line}) as h from {t})"
+
 
-    return one("nation", "n_nationkey", "n_name").unionByName(one("region", "r_regionkey", "r_name"))
+@query(" union all ".join(_lanes_sql(line, t) for t, line in (("nation", "n_nationkey || ':' || n_name"), ("region", "r_regionkey || ':' || r_name"))))
+def table_fingerprints(spark, sf_dir):
+    line = lambda key, label: F.concat(F.col(key).cast("string"), F.lit(":"), F.col(label))
+    return selection.fingerprints({"nation": (table(spark, sf_dir, "nation"), line("n_nationkey", "n_name")), "region": (table(spark, sf_dir, "region"), line("r_regionkey", "r_name"))})
 
 
 @query("select c_custkey, c_name from customer c where not exists (select 1 from orders o where o.o_custkey = c.c_custkey and o_orderstatus = 'O') and c_nationkey not in (1, 2)")
