@@ -6,7 +6,9 @@ the longest token, steps back to a shorter one where two neighbours would not st
 after merging, and marks byte positions that lead nowhere, so each is tried once. Two tokens are
 compatible if merging their joined bytes by rank gives them back; the answers are memoised.
 
-Null text counts as empty: no ids. Repeated rows are encoded as often as they occur.
+Null text counts as empty: no ids. Repeated rows are encoded as often as they occur; a
+text has one encoding, so there are no ties. An empty table gives an empty
+result; other columns aren't read, so they may have any names.
 """
 
 from __future__ import annotations

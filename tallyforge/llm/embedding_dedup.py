@@ -11,7 +11,9 @@ vectors it links with, and a spanning forest of the links.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing, nor do rows
 without vec_id (component null, not kept). Vectors link with vectors of their own dimension only.
-Rows that repeat a vec_id are judged each by its own vector.
+Rows that repeat a vec_id are judged each by its own vector; of equal ids
+all rows whose id is the least of their component are kept. An empty table gives an empty
+result; other columns aren't read, so they may have any names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ parts merge into the sketch of the whole, and two sketches estimate resemblance,
 number of distinct shingles. Up to k distinct shingles all figures are exact.
 
 Null text counts as empty. Equal texts have equal sketches. Two empty sketches resemble each other
-with 1, an empty and a filled one with 0. Rows with the same id are ordered by a hash of their text.
+with 1, an empty and a filled one with 0. Rows with the same id are ordered by a hash of their text. An empty table gives an empty
+result; other columns aren't read, so they may have any names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ A document's ids are cut into pieces whose lengths are the powers of two of its
 crosses documents, none is padded, and sequences of one length share a bucket, which a trainer
 draws batches from. Ids come from a word-level BPE vocabulary; `end_id` closes each document.
 
-Null or empty text: one piece holding end_id. Repeated rows are packed as often as they occur.
+Null or empty text: one piece holding end_id. Repeated rows are packed as often as they occur; sequences
+of one length are numbered by row, so there are no ties. An empty table gives an empty
+result; other columns aren't read, so they may have any names.
 """
 
 from __future__ import annotations

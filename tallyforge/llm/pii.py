@@ -1,6 +1,6 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
-The patterns give the base spans. Around every trigger (an @, a spelled-out "at", a plus sign, a
+The patterns give the base spans. Around every trigger (an @, an "at" in brackets, a plus sign, a
 run of digits) the field segments the tokens into spans of up to `LONGEST` tokens and single outside
 tokens: features look at a whole candidate span (digit groups, separators, checksum, words before
 it), and dynamic programming over span ends, lengths and types picks boundaries and types together.
@@ -9,6 +9,9 @@ Spans that the field finds and that no base span touches are added.
 The field is trained here, by gradient ascent on the conditional likelihood of generated sentences
 (`SENTENCES` of them, fixed seed). Null text counts as empty. Offsets are code points, end exclusive.
 Whole texts are scanned; a window ends only where no token of interest follows for a while.
+
+Repeated rows are scanned as often as they occur. Segmentations of equal score: the shorter span, then the kind that comes first. An
+empty table gives an empty result. Other columns aren't read, so they may have any names.
 """
 
 from __future__ import annotations

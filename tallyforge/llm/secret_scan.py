@@ -6,7 +6,8 @@ repositories and owners. A value that many owners hold is a copied example; one
 looks live. Long mixed tokens that look live and that no base span touches are added as `token` spans.
 
 Null text counts as empty; a null repository or owner counts as one of its own. Spans are in code
-points, end exclusive. Repeated rows are scanned as often as they occur.
+points, end exclusive. Repeated rows are scanned as often as they occur; matches of several kinds at one place are all kept, in the order
+of KINDS. An empty table gives an empty result. Only doc_id, text, the repository's and the owner's columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -78,22 +79,26 @@ def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
 def ownership(scanned: DataFrame) -> DataFrame:
     """(h, repositories, owners): over how many distinct ones each candidate is spread.
 
-    Distinct triples are formed map-side first, so a value in a third of all rows is one row a task."""
-    held = scanned.select(F.explode("found.h").alias("h"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.coalesce("owner", F.lit("\0")).alias("owner")).distinct()
-    return held.groupBy("h").agg(F.countDistinct("repo").alias("repositories"), F.countDistinct("owner").alias("owners"))
+    Distinct pairs are formed before their shuffle and counted in parts, so a value in a third of all rows is one row a task
+    and owner, and its owners needn't meet."""
+    held = scanned.select(F.explode("found.h").alias("h"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.coalesce("owner", F.lit("\0")).alias("owner"))
+    spread = lambda column, name: held.select("h", column).distinct().groupBy("h").agg(F.count("*").alias(name))
+    return spread("repo", "repositories").join(spread("owner", "owners"), "h")
 
 
 def find_secrets(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
-    """One row per document: base counts, all spans, and how many candidates look live or copied."""
+    """One row per document: base counts, all spans, how many candidates look live or copied, and the most repositories that one of them is in."""
     source = F.col("source")
     scanned = scan(docs, source if repository is None else repository, source if owner is None else owner)
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "secrets")
     single = scanned.select("row", F.explode("found").alias("x")).select("row", "x.*")
-    judged = single.join(ownership(scanned), "h").withColumn("live", F.col("owners") <= most_owners)
+    owned = materialize(ownership(scanned), "owners")  # a written table, so that Spark can split the rows of a very common value
+    judged = single.join(owned, "h").withColumn("live", F.col("owners") <= most_owners)
     per_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when((F.col("kind") < 3) | F.col("live"), F.struct("start", "kind", "stop")))).alias("spans"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
+        F.max("repositories").alias("most_repositories"),
     )
     kinds = F.array(*map(F.lit, KINDS))
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
@@ -107,4 +112,5 @@ def find_secrets(docs: DataFrame, repository: Column | None = None, owner: Colum
         F.coalesce(text, F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("most_repositories", F.lit(0)).cast("long").alias("most_repositories"),
     )
