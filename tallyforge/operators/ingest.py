@@ -164,14 +164,24 @@ def outcome_category(outcome: Column) -> Column:
 
 def fair_share(groups: DataFrame, budget: int) -> DataFrame:
     """Adds share (source, wanted): a budget dealt out by source, least wanted first, each at most its
-    part of what is left among those left; what one doesn't use rolls on. One row a source, so one task."""
-    order = Window.orderBy("wanted", "source")
-    rows = groups.withColumn("nth", F.row_number().over(order))
-    gathered = rows.agg(F.sort_array(F.collect_list(F.struct("nth", "source", "wanted"))).alias("g"))
-    empty = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<source:string,share:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        share = F.least(x["wanted"].cast("long"), F.ceil(acc["left"] / (F.size(F.col("g")) - x["nth"] + 1)))
-        return F.struct((acc["left"] - share).alias("left"), F.concat(acc["out"], F.array(F.struct(x["source"].alias("source"), share.alias("share")))).alias("out"))
-
-    return gathered.select(F.explode(F.aggregate("g", empty, step)["out"]).alias("r")).select("r.*")
+    part of what is left among those left; what one doesn't use rolls on.
+
+    Sources up to some want get all of it, and the others the same, but for a rest of one each. That level is found in the
+    counts and sums by want; wants beyond the budget are as good as the budget, so at most budget + 1 rows are summed up in order."""
+    budget = max(0, budget)
+    capped = groups.withColumn("_w", F.least(F.greatest(F.col("wanted").cast("long"), F.lit(0)), F.lit(budget + 1)))
+    by_want = capped.groupBy("_w").agg(F.count("*").alias("n"))
+    so_far = Window.orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)  # a row a different want up to the budget
+    summed = by_want.withColumns({"before": F.coalesce(F.sum("n").over(so_far), F.lit(0)), "used": F.coalesce(F.sum(F.col("n") * F.col("_w")).over(so_far), F.lit(0))}).crossJoin(F.broadcast(by_want.agg(F.sum("n").alias("all"))))
+    # all of one want get it if the last of them still does: ceil(left / groups left) falls no further than that
+    left = F.greatest(F.lit(0), F.lit(budget) - F.col("used") - (F.col("n") - 1) * F.col("_w"))
+    short = summed.where(F.col("_w") > F.ceil(left / (F.col("all") - F.col("before") - F.col("n") + 1)))
+    level = short.agg(F.min(F.struct("_w", "before", "used", "all")).alias("l")).select("l.*").withColumnsRenamed({"_w": "level", "before": "full"})
+    told = level.select("level", (F.col("all") - F.col("full")).alias("sharing"), F.greatest(F.lit(0), F.lit(budget) - F.col("used")).alias("rest")).first()  # one row
+    if told is None or told["level"] is None:
+        return groups.select("source", F.greatest(F.col("wanted").cast("long"), F.lit(0)).alias("share"))
+    each, extra = divmod(told["rest"], told["sharing"])
+    below = capped.where(F.col("_w") < told["level"]).select("source", F.col("_w").alias("share"))
+    sharing = capped.where(F.col("_w") >= told["level"])
+    first = sharing.orderBy("wanted", "source").limit(extra).select("source", F.lit(1).alias("more"))  # fewer than the budget
+    return below.unionByName(sharing.join(first, "source", "left").select("source", F.least(F.col("wanted").cast("long"), F.lit(each) + F.coalesce("more", F.lit(0))).alias("share")))

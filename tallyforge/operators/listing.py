@@ -19,8 +19,9 @@ def content_changed(versions: DataFrame, key: str, when: str) -> DataFrame:
     return versions.groupBy(key).agg(F.when(F.count("*") > 1, F.max(when)).alias("changed_at"))
 
 
-def not_listed_because(packages: DataFrame) -> DataFrame:
-    """Adds `reason`: fork, unparsed, duplicate, variant, or null for listed rows.
+def not_listed_because(packages: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Adds `reason`: fork, unparsed, duplicate, variant, or null for listed rows. With `carry`, rows have the id, these small
+    columns and the reason alone, and packages is read once; else the reason is joined back to all of its columns.
 
     packages: id, repository_id, type, name, parent_path, language, source_path, stars, is_fork,
     parse_status, content_hash, delisted_at, shape_only. The least rank of each variant group and the
@@ -36,13 +37,15 @@ def not_listed_because(packages: DataFrame) -> DataFrame:
     kin = F.col("type").isin("skill", "command", "agent")
     key = F.when(kin, F.md5(F.to_json(F.struct("repository_id", "type", F.lower("name").alias("name"), "parent_path", "language"))))
     standing = F.struct(F.col("stars").alias("a"), (-F.col("id")).alias("b"))
-    slim = materialize(packages.select("id", "stars", rank.alias("rank"), key.alias("kin"), "content_hash", (live & parsed).alias("good"), (live & parsed & ~F.col("is_fork") & ~F.col("shape_only")).alias("able"), "shape_only", "is_fork", parsed.alias("parsed")), "standing")
+    slim = materialize(packages.select("id", "stars", rank.alias("rank"), key.alias("kin"), "content_hash", (live & parsed).alias("good"), (live & parsed & ~F.col("is_fork") & ~F.col("shape_only")).alias("able"), "shape_only", "is_fork", parsed.alias("parsed"), *(F.col(c).alias(f"own_{c}") for c in carry or ())), "standing")
     best = slim.where("good and kin is not null").groupBy("kin").agg(F.min("rank").alias("best"))
     own = F.concat(F.lit("no key, row "), F.col("id").cast("string"))
     varied = slim.withColumn("kin", F.coalesce("kin", own)).join(best, "kin", "left").withColumn("variant", F.coalesce(F.col("best") < F.col("rank"), F.lit(False)))
     top = varied.where("able and not variant and content_hash is not null").groupBy("content_hash").agg(F.max(standing).alias("top"))
     copied = varied.withColumn("content_hash", F.coalesce("content_hash", own)).join(top, "content_hash", "left").withColumn("copy", F.coalesce(~F.col("shape_only") & (F.col("top") > standing), F.lit(False)))
     reason = F.when(F.col("is_fork"), "fork").when(~F.col("parsed"), "unparsed").when(F.col("copy"), "duplicate").when(F.col("variant"), "variant")
+    if carry is not None:
+        return copied.select("id", *(F.col(f"own_{c}").alias(c) for c in carry), reason.alias("reason"))
     return packages.join(copied.select("id", reason.alias("reason")), "id")
 
 

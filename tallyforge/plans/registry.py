@@ -102,25 +102,28 @@ reasons as (select p.*, case when p.is_fork then 'fork' when p.parse_status = 'f
 
 @query(_REASONS + " select coalesce(language, 'none') as class, count(*) as total, count(*) filter (where reason is null) as listed from reasons where delisted_at is null group by 1")
 def listed_by_class(spark, sf_dir):
-    rows = listing.not_listed_because(packages(spark, sf_dir)).where("delisted_at is null")
+    rows = listing.not_listed_because(packages(spark, sf_dir), ["language", "delisted_at"]).where("delisted_at is null")
     return rows.groupBy(F.coalesce("language", F.lit("none")).alias("class")).agg(F.count("*").alias("total"), F.count_if(F.col("reason").isNull()).alias("listed"))
 
 
 @query(_REASONS + " select id, coalesce(reason, 'listed') as reason from reasons")
 def listing_reason(spark, sf_dir):
-    return listing.not_listed_because(packages(spark, sf_dir)).select("id", F.coalesce("reason", F.lit("listed")).alias("reason"))
+    return listing.not_listed_because(packages(spark, sf_dir), []).select("id", F.coalesce("reason", F.lit("listed")).alias("reason"))
 
 
 @query(_REASONS + " select type, count(*) filter (where reason is null) as visible, count(*) filter (where reason is not null) as hidden from reasons where delisted_at is null group by 1 having count(*) filter (where reason is null) > 0")
 def visible_by_type(spark, sf_dir):
-    rows = listing.not_listed_because(packages(spark, sf_dir)).where("delisted_at is null")
+    rows = listing.not_listed_because(packages(spark, sf_dir), ["type", "delisted_at"]).where("delisted_at is null")
     return rows.groupBy("type").agg(F.count_if(F.col("reason").isNull()).alias("visible"), F.count_if(F.col("reason").isNotNull()).alias("hidden")).where("visible > 0")
 
 
 @query(_REASONS + " select id, name, stars, count(*) over () as total from reasons where delisted_at is null and reason is null order by stars desc, id desc limit 25 offset 25")
 def list_packages_page(spark, sf_dir):
-    rows = listing.not_listed_because(packages(spark, sf_dir)).where("delisted_at is null and reason is null").select("id", "name", "stars")
-    return listing.with_total(rows, [F.desc("stars"), F.desc("id")], 25, 25)
+    """The page is cut from ids and stars, written once with the total; the names of its rows alone are fetched."""
+    all_rows = packages(spark, sf_dir)
+    rows = materialize(listing.not_listed_because(all_rows, ["stars", "delisted_at"]).where("delisted_at is null and reason is null").select("id", "stars"), "page")
+    page = listing.with_total(rows, [F.desc("stars"), F.desc("id")], 25, 25)
+    return all_rows.select("id", "name").join(F.broadcast(page), "id").select("id", "name", "stars", "total")
 
 
 @query("select doc_id, sha256(replace(text, chr(13) || chr(10), chr(10))) as content_hash from documents")
@@ -577,7 +580,8 @@ def quality_rules(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     read = t("orders").where("o_orderpriority <> '1-URGENT'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("read_at"))
     place = F.concat(F.lit("b/"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 1, rules.MANIFEST).otherwise(""))
-    listed = listing.not_listed_because(packages(spark, sf_dir)).select("id", "repository", "type", "name", "parse_status", "content_hash", "delisted_at", "reason")
+    carried = ["repository", "type", "name", "parse_status", "content_hash", "delisted_at"]
+    listed = listing.not_listed_because(packages(spark, sf_dir), carried)
     return rules.run({
         "packages": materialize(listed, "listed"),
         "versions": t("orders").selectExpr("o_custkey as key", "o_orderdate as ingested_at", "o_orderkey as version", "o_orderstatus as parse"),

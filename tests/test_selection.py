@@ -44,3 +44,21 @@ def test_fingerprints_merge(spark):
     parts = [rows.where(t).agg(n, *lanes).first() for t in ("n < 300", "n >= 300")]
     assert [a + b for a, b in zip(*parts)] == list(whole)
     assert one != selection.fingerprint(rows.where("n <> 5"), F.col("lane0")).first() and selection.fingerprint(rows.limit(0), F.col("lane0")).first()["n"] == 0
+
+
+def test_fair_shares(spark):
+    from tallyforge.operators import ingest
+
+    def plain(wants, budget):
+        out, left, order = {}, max(0, budget), sorted(wants.items(), key=lambda x: (x[1], x[0]))
+        for k, (source, wanted) in enumerate(order):
+            out[source] = min(wanted, -(-left // (len(order) - k)))
+            left -= out[source]
+        return out
+
+    r = random.Random(3)
+    cases = [({f"s{i}": r.choice([0, 1, 2, 5, 40, 1000]) for i in range(r.randint(1, 12))}, r.choice([0, 1, 7, 30, 200, 5000])) for _ in range(14)] + [({"a": 5}, 3), ({"a": 2, "b": 2, "c": 2}, 5)]
+    for wants, budget in cases:
+        rows = spark.createDataFrame(list(wants.items()), "source string, wanted int").coalesce(1)
+        assert {x["source"]: x["share"] for x in ingest.fair_share(rows, budget).collect()} == plain(wants, budget), (wants, budget)
+    assert ingest.fair_share(spark.createDataFrame([], "source string, wanted int"), 5).count() == 0
