@@ -32,7 +32,8 @@ def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column],
             break
         open_ = now.where("low < high").withColumnRenamed("g", "h")
         half = lambda c: F.col(c) / 2  # noqa: E731  the widest range of doubles is wider than a double
-        place = F.least(F.floor((half("v") - half("low")) / (half("high") - half("low")) * bins), F.lit(bins - 1))
+        width = half("high") - half("low")  # zero between neighbours among the least doubles
+        place = F.when(width > 0, F.least(F.floor((half("v") - half("low")) / width * bins), F.lit(bins - 1))).when(F.col("v") > F.col("low"), 1).otherwise(0)
         met = some.join(open_, F.col("g").eqNullSafe(F.col("h")) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
         binned = met.groupBy("g", "asked", "rank", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         before = F.sum("n").over(Window.partitionBy("g", "asked").orderBy("bin")) - F.col("n")  # at most `bins` rows

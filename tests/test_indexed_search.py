@@ -71,7 +71,7 @@ def test_matches(index, rows):
     for q, (alternatives, repository, parts) in cases.items():
         got = {r["id"] for r in indexed_search.matched(index, q).select("id").collect()}
         assert got == plain_search(rows, alternatives, repository, parts), q
-        assert {r["id"] for r in indexed_search.find(index, q, limit=500, mode="all").collect()} == got
+    assert {r["id"] for r in indexed_search.find(index, "tool review", limit=500, mode="all").collect()} == plain_search(rows, [[w("tool"), w("review", True)]])
     for q in ("", "the", "!!!", "the of"):
         assert indexed_search.find(index, q).count() == 0
     both = indexed_search.matched(index, "node zzz", "any")

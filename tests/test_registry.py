@@ -127,7 +127,7 @@ def test_concealed(spark):
     assert concealed.without_secret_arguments(["--api-key", "v", "x", None, "--token", "--other"]) == ["--api-key", "<redacted>", "x", None, "--token", "--other"]
     spans = concealed.comment_spans
     assert spans("a <!-- x\ny --> <!-- z\n") == [(1, 2, 2, "x\ny")] and spans("`<!-- a -->`\n~~~\n<!-- b -->\n~~~\n`odd <!-- c") == []
-    assert spans("`<!--` <!-- a --> x") == [] and spans("<!-- a `--> `<!-- b -->` <!--c-->") == [(1, 1, 0, "a `"), (1, 1, 25, "c")]
+    assert spans("`<!--` <!-- a --> x") == [] and spans("<!-- a `--> `<!-- b -->` <!--c-->") == [(1, 1, 0, "a `"), (1, 1, 13, "b"), (1, 1, 25, "c")]
     got = spark.createDataFrame([("\ufeffa\u200b\ufeff",)], "t string").select(concealed.hidden_counts(F.col("t")).alias("n")).first()["n"]
     assert got.asDict() == {"zero_width": 2, "bidi_control": 0, "unicode_tag": 0, "soft_hyphen": 0}
 
