@@ -3,7 +3,7 @@
 A rank is looked for in histograms: the range that holds it is cut into equal bins, counted with their own least and greatest
 value, and the bin that holds the rank becomes the next range, until its least and greatest value are the same. Every pass
 reads two columns and combines before its shuffle, so no group's rows ever meet, however many they are and however many
-are equal. Ranges close in by the number of bins each pass, whatever the values.
+are equal. Bins are equal by logarithm and by value in turns, so a range over hundreds of powers of ten closes in as fast as an even one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.sources.written import discard, materialize
 
-BINS, MOST_PASSES, LANES = 1024, 400, 8
+BINS, MOST_PASSES, LANES = 1024, 100, 8
 
 
 def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column], bins: int = BINS) -> DataFrame:
@@ -27,13 +27,17 @@ def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column],
     wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items())))
     # ranks in one group that are the same are looked for once
     now = materialize(counted.select("g", "least", "greatest", wanted.alias("w")).select("g", F.col("w.rank").alias("asked"), F.col("w.rank").alias("rank"), F.col("least").alias("low"), F.col("greatest").alias("high")).distinct(), "selection")
-    for _ in range(MOST_PASSES):
+    for turn in range(MOST_PASSES):
         if now.where("low < high").isEmpty():
             break
         open_ = now.where("low < high").withColumnRenamed("g", "h")
-        half = lambda c: F.col(c) / 2  # noqa: E731  the widest range of doubles is wider than a double
-        width = half("high") - half("low")  # zero between neighbours among the least doubles
-        place = F.when(width > 0, F.least(F.floor((half("v") - half("low")) / width * bins), F.lit(bins - 1))).when(F.col("v") > F.col("low"), 1).otherwise(0)
+        if turn % 2:
+            scaled = lambda c: F.col(c) / 2  # noqa: E731  the widest range of doubles is wider than a double
+        else:
+            unit = F.greatest(F.greatest(F.abs("low"), F.abs("high")) * 1e-200, F.lit(1e-300))
+            scaled = lambda c: F.signum(c) * F.log1p(F.abs(c) / unit)  # noqa: E731  rises with the value
+        width = scaled("high") - scaled("low")  # zero between values that are too near for this turn
+        place = F.when(width > 0, F.least(F.floor((scaled("v") - scaled("low")) / width * bins), F.lit(bins - 1))).when(F.col("v") > F.col("low"), 1).otherwise(0)
         met = some.join(open_, F.col("g").eqNullSafe(F.col("h")) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
         binned = met.groupBy("g", "asked", "rank", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         before = F.sum("n").over(Window.partitionBy("g", "asked").orderBy("bin")) - F.col("n")  # at most `bins` rows
