@@ -10,12 +10,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyforge.sources.written import discard, materialize
 
-BINS, MOST_PASSES, LANES = 1024, 100, 8
+BINS, MOST_PASSES, LANES = 8192, 100, 8
+
+
+def _written(ranges: DataFrame) -> tuple[DataFrame, int]:
+    """Ranges as a written table, and how many of them are still open, counted while they are written."""
+    seen = Observation()
+    table = materialize(ranges.observe(seen, F.count_if(F.col("low") < F.col("high")).alias("open")), "selection")
+    return table, seen.get["open"]
 
 
 def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column], bins: int = BINS) -> DataFrame:
@@ -26,9 +33,9 @@ def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column],
     counted = materialize(some.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest")), "selection")
     wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items())))
     # ranks in one group that are the same are looked for once
-    now = materialize(counted.select("g", "least", "greatest", wanted.alias("w")).select("g", F.col("w.rank").alias("asked"), F.col("w.rank").alias("rank"), F.col("least").alias("low"), F.col("greatest").alias("high")).distinct(), "selection")
+    now, still = _written(counted.select("g", "least", "greatest", wanted.alias("w")).select("g", F.col("w.rank").alias("asked"), F.col("w.rank").alias("rank"), F.col("least").alias("low"), F.col("greatest").alias("high")).distinct())
     for turn in range(MOST_PASSES):
-        if now.where("low < high").isEmpty():
+        if not still:
             break
         open_ = now.where("low < high").withColumnRenamed("g", "h")
         if turn % 2:
@@ -42,7 +49,8 @@ def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column],
         binned = met.groupBy("g", "asked", "rank", place.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         before = F.sum("n").over(Window.partitionBy("g", "asked").orderBy("bin")) - F.col("n")  # at most `bins` rows
         found = binned.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
-        old, now = now, materialize(found.select("g", "asked", (F.col("rank") - F.col("before")).alias("rank"), "low", "high").unionByName(now.where("low >= high")), "selection")
+        old = now
+        now, still = _written(found.select("g", "asked", (F.col("rank") - F.col("before")).alias("rank"), "low", "high").unionByName(old.where("low >= high")))
         discard(old)
     else:
         raise RuntimeError(f"ranges did not close in {MOST_PASSES} passes")

@@ -21,7 +21,7 @@ def test_ranks_of_awkward_values(spark):
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, v double, asked string").withColumnRenamed("g", "low").repartition(7)
     n = F.col("n")
-    for bins in (1024, 30):
+    for bins in (8192, 50):
         got = {x["low"]: x for x in selection.at_ranks(df, "low", "v", {"middle": F.floor(n / 2), "last": n - 1, "also": F.floor(n / 2)}, bins).collect()}
         assert set(got) == set(groups)
         for g, vs in groups.items():
