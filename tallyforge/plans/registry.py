@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tallyforge.plans import bodies, derived, pages, parsed, searches, stores, streams  # noqa: F401  each adds its own
+    from tallyforge.plans import bodies, derived, guarded_passes, pages, parsed, searches, stores, streams  # noqa: F401  each adds its own
 
     return dict(_QUERIES)
 
