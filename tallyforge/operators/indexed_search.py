@@ -187,9 +187,11 @@ def parts_there(index: Index, query: str, mode: str) -> DataFrame:
     return index.heads.join(met, "id", "left_semi").where(verified).select("id")
 
 
-def matched(index: Index, query: str, mode: str = "all") -> DataFrame:
+def matched(index: Index, query: str | None, mode: str = "all") -> DataFrame:
     """Heads of the rows that match, with the places of the query's words (empty where a row matches by its repository's
-    name or by a part of a word alone)."""
+    name or by a part of a word alone). None asks for no words: all rows; a blank query finds nothing."""
+    if query is None:
+        return index.heads
     plan, q = planned(query, mode), query.strip().lower()
     empty = F.array().cast("array<struct<at:int,field:int>>")
     names = [f"w{i}" for i in range(len(plan.words))]
@@ -213,8 +215,10 @@ def matched(index: Index, query: str, mode: str = "all") -> DataFrame:
     return index.heads.join(joined.select("id", *(F.coalesce(n, empty).alias(n) for n in names)), "id")
 
 
-def ranked(rows: DataFrame, query: str, mode: str = "all") -> DataFrame:
+def ranked(rows: DataFrame, query: str | None, mode: str = "all") -> DataFrame:
     """Rows of matched() with their rank and the fields they matched in."""
+    if query is None:
+        return rows.withColumns({"rank": F.lit(0.0), "matched_in": F.array().cast("array<string>")})
     plan, q, name = planned(query, mode), query.strip().lower(), F.lower("name")
     when = lambda test, weight: F.when(F.coalesce(test, F.lit(False)), F.lit(weight)).otherwise(F.lit(0.0))
     in_path = F.lower("path").contains(q) if "/" in q else F.lit(False)
@@ -227,15 +231,25 @@ def ranked(rows: DataFrame, query: str, mode: str = "all") -> DataFrame:
     return rows.withColumns({"rank": F.round(rank, 5), "matched_in": matched_in}).drop(*(f"w{i}" for i in range(len(plan.words))))
 
 
-def mode_of(index: Index, query: str, filters: search.Filters) -> str:
+def mode_of(index: Index, query: str | None, filters: search.Filters) -> str:
     """`all`, or `any` for several plain words that no row within the filters has all of."""
-    several = search.plain_words(query) is not None and sum(map(len, search.parsed(query))) > 1
-    return "any" if several and matched(index, query).where(_all(list(filters.tests().values()))).isEmpty() else "all"
+    several = query is not None and search.plain_words(query) is not None and sum(map(len, search.parsed(query))) > 1
+    return "any" if several and _within(index, query, "all", filters).isEmpty() else "all"
 
 
-def find(index: Index, query: str, limit: int = 25, offset: int = 0, mode: str | None = None, filters: search.Filters | None = None, sort: str = "relevance") -> DataFrame:
+def _within(index: Index, query: str | None, mode: str, filters: search.Filters) -> DataFrame:
+    return matched(index, query, mode).where(_all(list(filters.tests().values())))
+
+
+def count(index: Index, query: str | None, mode: str | None = None, filters: search.Filters | None = None) -> DataFrame:
+    """(n): how many rows find() pages through, by the same tests."""
+    filters = filters or search.Filters()
+    return _within(index, query, mode or mode_of(index, query, filters), filters).agg(F.count("*").alias("n"))
+
+
+def find(index: Index, query: str | None, limit: int = 25, offset: int = 0, mode: str | None = None, filters: search.Filters | None = None, sort: str = "relevance") -> DataFrame:
     """A page of rows: rows are matched and filtered by their places and heads, and a page is cut before wide columns are read."""
     filters = filters or search.Filters()
     mode = mode or mode_of(index, query, filters)
-    rows = ranked(matched(index, query, mode).where(_all(list(filters.tests().values()))), query, mode)
+    rows = ranked(_within(index, query, mode, filters), query, mode)
     return rows.orderBy(*search.sorted_by(sort)).offset(offset).limit(limit)

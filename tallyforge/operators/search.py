@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.capabilities import CAPABILITIES
 from tallyforge.sources.written import materialize
 
 EXACT, PREFIX, PATH, NAME_WORD, REPOSITORY = 2.0, 1.0, 1.0, 0.5, 0.1
@@ -158,11 +159,13 @@ def matched_in(query: str) -> Column:
 @dataclass
 class Filters:
     """What a reader chose. None means all, an empty list none. `languages` names classes to show;
-    without it those in `hidden` aren't shown; "any" shows all."""
+    without it those in `hidden` aren't shown; "any" shows all. All of `capabilities` must have been observed
+    (capabilities.with_capabilities)."""
 
     types: list[str] | None = None
     languages: list[str] | None = None
     hidden: list[str] = field(default_factory=list)
+    capabilities: list[str] = field(default_factory=list)
 
     def tests(self) -> dict[str, Column]:
         out = {}
@@ -172,6 +175,8 @@ class Filters:
             out["languages"] = F.coalesce(F.col("language").isin(*self.languages), F.lit(False)) if self.languages else F.lit(False)
         elif self.languages is None and self.hidden:
             out["languages"] = F.col("language").isNull() | ~F.col("language").isin(*self.hidden)
+        for name in known(self.capabilities, CAPABILITIES) or ():
+            out[name] = F.array_contains("capabilities", name)
         return out
 
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators import fuzzy, indexed_search, listing
-from tallyforge.plans.registry import _REASONS, _STEM, packages, query
+from tallyforge.operators import capabilities, fuzzy, indexed_search, listing, search
+from tallyforge.plans.registry import _REASONS, _STEM, packages, query, table
+from tallyforge.sources.written import materialize
 
 _DIGITS, _HAN = "0123456789", "零一二三四五六七八九"
 _built: dict[tuple[str, str, str], object] = {}
@@ -41,7 +42,7 @@ raw as (select id, field, before, unnest(ws) as w, unnest(range(0, len(ws))) as
 tok as (select id, field, before + k as pos, {_STEM} as w, [1.0, 0.4, 0.2, 0.1][field + 1]::double as weight from raw where w not in ({_STOPS}))"""
 
 
-def _search_sql(n: int, q: str, words: list[tuple[str, bool]], alternatives: list[list[tuple[str, list[tuple[int, int]]]]], plain: bool, extra: str = "false", in_name: str = "false", in_summary: str = "false") -> tuple[str, str]:
+def _search_sql(n: int, q: str, words: list[tuple[str, bool]], alternatives: list[list[tuple[str, list[tuple[int, int]]]]], plain: bool, extra: str = "false", in_name: str = "false", in_summary: str = "false", within: str = "true") -> tuple[str, str]:
     """(common tables, rows) of one query. alternatives: of terms ('' or '-', [(place, number of the word), ...])."""
     values = ", ".join(f"({i}, '{w}', {str(more).lower()})" for i, (w, more) in enumerate(words))
     lex = f"lex{n} as (select id, i, pos, field, weight, row_number() over (partition by id, i order by pos) as j from tok join (values {values}) v(i, word, more) on w = word or (more and starts_with(w, word)))"
@@ -65,7 +66,7 @@ def _search_sql(n: int, q: str, words: list[tuple[str, bool]], alternatives: lis
     fields = {"name": f"({hit(0)}) or starts_with(lower(name), '{low}') or {in_name}", "path": f"({hit(2)}) or {path}", "summary": f"({hit(1)}) or {in_summary}", "type": hit(3), "repository": repository if len(q) >= 3 else "false"}
     named = ", ".join(f"if({test}, '{f}', null)" for f, test in fields.items())
     match = f"({tree(None)}) or {repository if len(q) >= 3 else 'false'} or {extra}"
-    rows = f"select {n} as q, p.id, round({rank}, 5)::double as rank, array_to_string([x for x in [{named}] if x is not null], ',') as matched from listed p left join ({text}) t on t.id = p.id where {match}"
+    rows = f"select {n} as q, p.id, round({rank}, 5)::double as rank, array_to_string([x for x in [{named}] if x is not null], ',') as matched from listed p left join ({text}) t on t.id = p.id where ({match}) and {within}"
     return lex, f"select * from ({rows} order by rank desc, id desc limit 25)"
 
 
@@ -153,8 +154,6 @@ select {n} as q, id, round(best, 6) as similarity from best where best >= 0.6 or
 @query("select * from ({}) union all select * from ({})".format(*(_LIKE_SQL.format(n=n, names=_NAMES, q=q) for n, q in ((1, "smal widgte"), (2, "hot gizmos")))))
 def fuzzy_packages(spark, sf_dir):
     """Parts whose name and type resemble a misspelt query: shared trigrams counted in an index, survivors compared."""
-    from tallyforge.plans.registry import table
-
     def build():
         return fuzzy.build(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.coalesce("p_name", F.lit("")).alias("name"), F.coalesce("p_type", F.lit("")).alias("summary")))
 
@@ -168,3 +167,49 @@ def fuzzy_documents(spark, sf_dir):
     """Listed packages whose whole texts have an extent like a misspelt query."""
     index = _kept(spark, sf_dir, "trigrams", lambda: fuzzy.build(index_of(spark, sf_dir).heads))
     return fuzzy.find(index, "thanedbl")
+
+
+_CAPABLE = """newest as (select o_custkey as id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as version from orders group by 1),
+against as (select l_orderkey as version, bool_or(l_returnflag = 'R') as network, bool_or(l_returnflag = 'A' and l_linestatus = 'F') as shell from lineitem group by 1),
+facts as (select p.id, p.type, p.type in ('skill', 'command') and coalesce(o_orderstatus <> 'P', false) as read, coalesce(network, false) as network, coalesce(shell, false) as shell,
+  p.type in ('skill', 'plugin') and coalesce(p_size * 5 < 200 and p_size % 3 = 0, false) as bare from listed p left join newest n on n.id = p.id left join orders o on o_orderkey = n.version left join against a on a.version = n.version left join part on p_partkey = p.id),
+no_network as (select id from facts where read and not network), no_shell as (select id from facts where read and not shell), no_scripts as (select id from facts where bare)"""
+_ASKED = [("ther", ["no_network", "no_shell"], None), ("src1 hati", ["no_scripts"], None), (None, ["no_network"], ["command"]), (None, ["no_scripts", "no_shell", "unheard"], None)]
+
+
+def capable_index(spark, sf_dir) -> indexed_search.Index:
+    """The index of listed packages with what they were seen not to do: orders are a customer's versions, lines their findings, parts inventories."""
+
+    def build():
+        base, t = index_of(spark, sf_dir), lambda n: table(spark, sf_dir, n)
+        versions = t("orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("ingested_at"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("analyzed_at"))
+        category = F.when(F.col("l_returnflag") == "R", capabilities.NETWORK).when(F.col("l_returnflag") == "A", capabilities.DECLARED)
+        findings = t("lineitem").select(F.col("l_orderkey").alias("version"), category.alias("category"), F.when(F.col("l_linestatus") == "F", "Bash(git *)").otherwise("Read").alias("signal"))
+        inventories = t("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 5).alias("n_files"), (F.col("p_size") % 3).alias("n_scripts"))
+        heads = materialize(capabilities.with_capabilities(base.heads, versions, findings, inventories), "heads")
+        return indexed_search.Index(base.words, base.pairs, heads)
+
+    return _kept(spark, sf_dir, "capable", build)
+
+
+def _capable_sql() -> str:
+    inside = lambda caps, types: " and ".join([*(f"p.id in (select id from {c})" for c in caps if c != "unheard"), *([f"p.type in ('{types[0]}')"] if types else [])])
+    lex1, rows1 = _search_sql(1, "ther", [("ther", True)], [[("", [(0, 0)])]], True, within=inside(*_ASKED[0][1:]))
+    # no row has both words, so that any will do
+    lex2, rows2 = _search_sql(2, "src1 hati", [("src1", False), ("hati", True)], [[("", [(0, 0)])], [("", [(0, 1)])]], True, within=inside(*_ASKED[1][1:]))
+    every = [f"select * from (select {k} as q, p.id, 0.0::double as rank, '' as matched from listed p where {inside(*_ASKED[k - 1][1:])} order by id desc limit 25)" for k in (3, 4)]
+    counts = [f"select {k} as q, -1::bigint as id, count(*)::double as rank, 'all' as matched from listed p where {inside(*_ASKED[k - 1][1:])}" for k in (3, 4)]
+    return f"with {_TOKENS.removeprefix('with ')}, {_CAPABLE}, {lex1}, {lex2} " + " union all ".join(f"({r})" for r in (rows1, rows2, *every, *counts))
+
+
+@query(_capable_sql())
+def capability_search(spark, sf_dir):
+    """Searches within absences that were observed: a word, words of which any will do, no words at all; and the numbers of rows without words (id -1)."""
+    index = capable_index(spark, sf_dir)
+    out = []
+    for k, (q, caps, types) in enumerate(_ASKED, 1):
+        filters = search.Filters(types=types, capabilities=caps)
+        out.append(indexed_search.find(index, q, filters=filters).select(F.lit(k).alias("q"), "id", "rank", F.array_join("matched_in", ",").alias("matched")))
+        if q is None:
+            out.append(indexed_search.count(index, q, filters=filters).select(F.lit(k).alias("q"), F.lit(-1).cast("long").alias("id"), F.col("n").cast("double").alias("rank"), F.lit("all").alias("matched")))
+    return reduce(DataFrame.unionByName, out)
