@@ -23,7 +23,7 @@ _DETECTORS = {
     "skill": lambda path: path.endswith("/SKILL.md"),
     "command": lambda path: "/commands/" in path,
     "agent": _agent,
-    "workflow": lambda path: bool("/workflows/" in path and 1 // (len(path) - len("deep/x0/workflows/w10.md"))),
+    "workflow": lambda path: "/workflows/" in path and 1 / (len(path) - 24) != 0,  # a fault at paths of 24 characters alone
 }
 _DETECTED = f"""{_PART_TREE}, entries as (select distinct repo, root || rest as path from tree),
 wanted as (select repo, path, unnest([case when path like '%/SKILL.md' then 'skill' end, case when path like '%/commands/%' then 'command' end, case when path like '%/agents/%' then 'agent' end, case when path like '%/workflows/%' then 'workflow' end]) as type from entries),
