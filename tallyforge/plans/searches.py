@@ -186,8 +186,9 @@ def capable_index(spark, sf_dir) -> indexed_search.Index:
         category = F.when(F.col("l_returnflag") == "R", capabilities.NETWORK).when(F.col("l_returnflag") == "A", capabilities.DECLARED)
         findings = t("lineitem").select(F.col("l_orderkey").alias("version"), category.alias("category"), F.when(F.col("l_linestatus") == "F", "Bash(git *)").otherwise("Read").alias("signal"))
         inventories = t("part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 5).alias("n_files"), (F.col("p_size") % 3).alias("n_scripts"))
-        heads = materialize(capabilities.with_capabilities(base.heads, versions, findings, inventories), "heads")
-        return indexed_search.Index(base.words, base.pairs, heads)
+        told = capabilities.with_capabilities(base.heads.select("id", "type"), versions, findings, inventories)
+        # whole texts aren't written again: a narrow table beside them
+        return indexed_search.Index(base.words, base.pairs, base.heads.join(materialize(told.select("id", "capabilities"), "capabilities"), "id", "left"))
 
     return _kept(spark, sf_dir, "capable", build)
 
