@@ -19,7 +19,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, verified Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: SimHash fingerprints of five-word shingles in a byte-position
+    index, bands for pairs beyond its reach, verified Jaccard similarity of 0.8 or more."""
     return near_copies.drop_near_copies(docs)
 
 

@@ -1,13 +1,17 @@
-"""Near copies by verified Jaccard similarity of five-word shingles, for the pipeline's stage.
-
-Two texts are near copies if the sets of their shingles are 0.8 alike or more. SimHash can't find
-these: at 0.8 fingerprints differ in about 10 of 64 bits, often in 15, and no byte or part of useful
-length is then sure to agree. So the index lists documents under bands of `rows` MinHash values each:
-a pair at 0.8 shares one of 16 bands of 4 with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998, a more
-alike one with a higher one. In each list the members are tied to the smallest, and tied lists are
+"""SimHash near-dedup with verified similarity, for the pipeline's stage.
+
+Two texts are near copies if the sets of their five-word shingles are 0.8 alike or more. Candidates come first
+from SimHash: a set has a fingerprint of 64 bits, and the byte-position inverted index of
+simhash_dedup.links() ties all fingerprints within `MOST` = 4 differing bits, none missed. That is the
+method, but it doesn't reach all near copies: at 0.8 fingerprints differ in about 10 of 64 bits, often
+in 15, and no byte or part of useful length is then sure to agree. So that none of those links is lost,
+sets are also listed under bands of `ROWS` MinHash values each: a pair at 0.8 shares one of 16 bands of 4
+with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998, a more alike one with a higher one. In each list the
+members are tied to the smallest. The ties of both make
 clusters of candidates. Within a cluster similarity is exact: each set, from the whole text, is
 counted against all that no link has reached yet, so every pair at 0.8 or more is linked or
-connected by links, and no other pair is linked. Sets are held once, whatever the copies. A cluster of
+connected by links, and no other pair is linked. Sets are held once, whatever the copies; a fingerprint is that of
+the set, so equal sets have equal ones. A cluster of
 over `block` shingles is dealt out as pairs of blocks.
 
 Of each group of linked documents that with the smallest doc_id stays. Null and word-less texts are
@@ -25,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .shared import SetFilter, components, discard, first_rows, keyed, materialize, set_filter, slices
-from .simhash_dedup import shingle_hashes
+from .simhash_dedup import MOST, majorities, shingle_hashes
 
 WORDS, TENTHS, BANDS, ROWS, BLOCK = 5, 8, 16, 4, 1 << 22
 _FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,16 +55,24 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_hash, h, bands); bands only where the task meets a set first."""
+    """(doc_id, text_hash, h, fp, bands); fp and bands only where the task meets a set first."""
     seen: set[int] = set()
     for batch in slices(batches, "text", 1 << 20):
-        hashes, bands = [], []
+        hashes, bands, new, place = [], [], [], []
         for text in batch.column("text").to_pylist():
             shingles = shingle_set(text)
             hashes.append(set_hash(shingles))
-            bands.append(None if hashes[-1] in seen else band_keys(shingles))
+            if hashes[-1] in seen:
+                bands.append(None)
+                place.append(None)
+                continue
             seen.add(hashes[-1])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(hashes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "h", "bands"])
+            bands.append(band_keys(shingles))
+            place.append(len(new))
+            new.append(shingles)
+        fp = pa.array(majorities(np.concatenate(new), np.array([len(s) for s in new]))) if new else pa.array([], pa.int64())
+        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(hashes, pa.int64()), fp.take(pa.array(place, pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "h", "fp", "bands"])
 
 
 def _sets_of(wanted: SetFilter):
@@ -145,13 +158,28 @@ def links(told: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verified, "a long, b long").distinct()
 
 
+def fingerprint_ties(met: DataFrame, heads: DataFrame, most: int = MOST) -> DataFrame:
+    """Ties (a, b) that connect all sets whose fingerprints are within `most` differing bits; heads: (fp, head), a set of each fingerprint."""
+    equal = met.select("h", "fp").distinct().join(heads, "fp").where("h <> head").select(F.col("h").alias("a"), F.col("head").alias("b"))
+    named = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = simhash_dedup.links(heads.select("fp"), most).join(named("a"), "a").join(named("b"), "b")
+    return equal.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+
+
+def band_ties(met: DataFrame) -> DataFrame:
+    """Ties (a, b) that connect the sets under each band."""
+    posts = met.select("h", F.explode("bands").alias("key")).distinct()
+    shared = posts.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return posts.join(shared, "key").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
+
+
 def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, text_hash, group, component_id): group is one set of the component, component_id its smallest doc_id."""
     read = keyed(docs)
-    prints = materialize(read.mapInArrow(_prints, "doc_id long, text_hash long, h long, bands array<long>"), "near-copies")
-    posts = prints.where("bands is not null").select("h", F.explode("bands").alias("key")).distinct()
-    shared = posts.groupBy("key").agg(F.min("h").alias("least"), F.count("*").alias("n")).where("n > 1")
-    ties = posts.join(shared, "key").where("h <> least").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    prints = materialize(read.mapInArrow(_prints, "doc_id long, text_hash long, h long, fp long, bands array<long>"), "near-copies")
+    met = prints.where("bands is not null")
+    heads = materialize(met.groupBy("fp").agg(F.min("h").alias("head")), "heads")
+    ties = fingerprint_ties(met, heads).unionByName(band_ties(met))
     clusters = components(ties).select(F.col("node").alias("h"), "root").distinct()
     clusters = materialize(clusters, "clusters")
     sets = read.select("text").mapInArrow(_sets_of(set_filter(clusters.select("h"))), "h long, shingles binary")
@@ -162,7 +190,7 @@ def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rooted = materialize(firsts.join(found, "h", "left").withColumn("group", F.coalesce("group", "h")), "rooted")
     named = materialize(rooted.groupBy("group").agg(F.min("first_doc").alias("component_id")), "named")
     groups = materialize(rooted.join(named, "group").select("h", "group", "component_id"), "groups")
-    discard(clusters, told, rooted, named)
+    discard(heads, clusters, told, rooted, named)
     return prints.select("doc_id", "text_hash", "h").join(groups, "h").select("doc_id", "text_hash", "group", "component_id")
 
 

@@ -44,6 +44,17 @@ def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> list[int]
     return [digest(whole[s:e], seed) for s, e in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
+def majorities(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprint of each of the runs of `sizes` hashes that flat holds one after the other; zero of an empty one."""
+    fp = np.zeros(len(sizes), np.int64)
+    if len(flat):
+        bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        full = np.flatnonzero(sizes)
+        sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(sizes[full])[:-1])), axis=0, dtype=np.int64)
+        fp[full] = np.packbits(2 * sums > sizes[full][:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+    return fp
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, text_hash, fp long) of the whole texts."""
 
@@ -51,13 +62,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
         for batch in slices(batches, "text", 1 << 20):
             hashes = [shingle_hashes(t or "", words, seed) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(h) for h in hashes])
-            fp = np.zeros(len(hashes), np.int64)
-            if sizes.sum():
-                flat = np.fromiter((x for h in hashes for x in h), np.uint64, sizes.sum())
-                bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                full = np.flatnonzero(sizes)
-                sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(sizes[full])[:-1])), axis=0, dtype=np.int64)
-                fp[full] = np.packbits(2 * sums > sizes[full][:, None], axis=1).view(">u8").reshape(-1).astype(np.uint64).view(np.int64)
+            fp = majorities(np.fromiter((x for h in hashes for x in h), np.uint64, sizes.sum()), sizes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
     return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, fp long")

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 
 from tallyforge.llm import near_copies
 from tests.llm.test_operators import groups
@@ -43,6 +45,34 @@ def test_near_copies_are_verified_and_found(spark):
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def plain_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(" ".join(s).encode(), 42) for s in shingles(text)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_alone_tie_all_within_four_bits(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [""]
+    for _ in range(25):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([20, 60, 200]))]
+        texts += [" ".join(words), " ".join([*words, *words[:30]])]
+        for _ in range(5):
+            changed = list(words)
+            changed[r.randrange(len(words))] = f"v{r.randrange(5000)}"
+            texts.append(" ".join(changed))
+    sets, prints = [shingles(t) for t in texts], [plain_fingerprint(t) for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert len(close) > 50 and any(prints[a] != prints[b] for a, b in close)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_copies, "band_ties", lambda met: met.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0))
+    got = {x["doc_id"]: x["component_id"] for x in near_copies.near_copies(docs).collect()}
+    # within a cluster of ties all near copies are linked, and only these
+    cluster = groups(len(texts), close)
+    want = groups(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if cluster[a] == cluster[b] and alike(sets[a], sets[b])])
+    least = {g: min(i for i, h in enumerate(want) if h == g) for g in set(want)}
+    assert got == {i: least[g] for i, g in enumerate(want)} and len(set(got.values())) < len(texts) - 20
+
+
 def test_pipeline_stage_drops_a_copy_with_one_changed_word(spark):
     import corpus_pipeline
 
