@@ -134,7 +134,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"a": pa.array([h[a] for a, _ in found], pa.int64()), "b": pa.array([h[b] for _, b in found], pa.int64())})
 
     now, h, sets = None, [], []
-    for batch in batches:
+    for batch in slices(batches, "shingles"):
         for *key, one, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key != now:
                 if len(h) > 1:

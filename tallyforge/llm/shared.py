@@ -41,7 +41,10 @@ def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that a slice holds about most_bytes of `column`, or one row."""
+    """Cuts record batches so that a slice holds about most_bytes of `column`, or one row.
+
+    Between batches what Arrow's pool holds free goes back to the system: a Python worker outlives its task,
+    and would keep the largest amount it ever held beside all later stages."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -54,6 +57,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
             stop = max(start + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, col
+        pa.default_memory_pool().release_unused()
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
