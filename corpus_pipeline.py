@@ -31,7 +31,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences, one row a piece, with their ids."""
-    return packing.pack(docs)
+    return packing.pack(docs, slice_bytes=1 << 20)
 
 
 STAGES = [

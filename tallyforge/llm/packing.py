@@ -86,11 +86,11 @@ def cuts(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MOST, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MOST, end_id: int = END_ID, with_ids: bool = True, slice_bytes: int = 4 << 20) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, ids.
 
     `bucket` is the length's exponent. Needs no shuffle; sequence ids are the partition and the row
-    in it, so a task that runs again gives the same ones.
+    in it, so a task that runs again gives the same ones. slice_bytes: text encoded at a time, which only memory and time depend on.
     """
     if most & (most - 1):
         raise ValueError("the longest sequence is a power of two")
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, most: int = MOST, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = loaded(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", slice_bytes):
             names, rows, pieces = batch.column("doc_id").to_pylist(), [], []
             for doc, ids in zip(names, tokenizer.encode(batch.column("text").fill_null("")), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
