@@ -7,6 +7,7 @@ for, or a job not in the state for, changes nothing.
 
 A job's state depends on its own events in the order of (at, seq) and on the time that the watermark has reached, so one
 batch or many give the same. Events of a target must come in order from batch to batch; `late` is how far the targets' clocks may lie apart.
+Timers wait for that; an event later than it still counts. Times are seconds as plain numbers, of any year.
 """
 
 from __future__ import annotations
@@ -121,7 +122,8 @@ class Queue(StatefulProcessor):
 def changes(events: DataFrame, late: str = "1 day", lease_s: int = REAP_AFTER_S, known: DataFrame | None = None) -> DataFrame:
     """(target, at, seq, status, attempts, due): every change of a job, from a stream of events (at in seconds). `known`: jobs
     (target, status, attempts, due, lease_end) that were there before."""
-    timed = events.withColumn("moment", F.timestamp_seconds("at")).withWatermark("moment", late)
+    # the watermark's column isn't handed to Python, whose timestamps end in 2262
+    timed = events.withColumn("moment", F.timestamp_seconds("at")).withWatermark("moment", late).drop("moment")
     start = None if known is None else known.groupBy("target")
     return timed.groupBy("target").transformWithStateInPandas(Queue(lease_s), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime", initialState=start)
 

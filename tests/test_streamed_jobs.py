@@ -69,6 +69,24 @@ def test_a_lease_ends_by_the_clock(spark, tmp_path):
     assert got["a"] == ("queued", 1, 1901) and got["b"] == ("running", 1, None)
 
 
+def test_times_that_python_has_no_timestamp_for(spark, tmp_path):
+    later = [9_588_360_000, 540_000_000_000]  # the years 2273 and 19081
+    rows = [(t, at + k, 10 * i + k, kind, outcome) for i, at in enumerate(later) for t in ("a", "b") for k, kind, outcome in ((0, "enqueue", None), (1, "claim", None), (2, "end", "unavailable" if t == "a" else "ok")) if (t, i, k) != ("b", 1, 2)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    want = {t: (j.status, j.attempts, j.due) for t, j in folded(rows).items()}
+    assert want["b"] == ("running", 1, None)
+    assert plain(jobs.replay(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")).collect()) == want
+
+
+def test_a_target_far_behind_the_others(spark, tmp_path):
+    """Two batches, the second with a target whose clock is behind by more than `late`: its events count too."""
+    rows = [("a", 900_000, 1, "enqueue", None), ("a", 900_001, 2, "reap", None), ("b", 1000, 3, "enqueue", None), ("b", 1001, 4, "claim", None), ("b", 1002, 5, "end", "ok")]
+    for k, part in enumerate((rows[:1], rows[1:2], rows[2:])):  # the watermark of a batch drops rows in the next but one
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert plain(jobs.replay(stream, late="1 second").collect()) == {t: (j.status, j.attempts, j.due) for t, j in folded(rows).items()}
+
+
 def test_steps_agree_with_the_batch_operators(spark):
     now = 1_700_000_000
     running = [(i, f"t{i}", "running", 1 + i % 3, outcome) for i, outcome in enumerate(list(state.DISPOSITION) * 3)]
