@@ -17,8 +17,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -79,41 +78,42 @@ class Queue(StatefulProcessor):
     def _now(self) -> Job | None:
         return Job(*self.job.get()) if self.job.exists() else None
 
-    def _keep(self, job: Job) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _keep(self, job: Job, before: Job | None) -> None:
+        """A job has a timer while it has a lease, at the lease's end; one that has gone off is gone."""
+        had = None if before is None else before.lease_end
+        if had is not None and had != job.lease_end:
+            self.handle.deleteTimer(had * 1000)
         self.job.update((job.status, job.attempts, job.due, job.lease_end))
-        if job.lease_end is not None:
+        if job.lease_end is not None and job.lease_end != had:
             self.handle.registerTimer(job.lease_end * 1000)
 
-    def _told(self, target: str, changes: list[tuple[int, int, Job]]) -> Iterator[pd.DataFrame]:
-        if changes:
-            yield pd.DataFrame([(target, at, seq, j.status, j.attempts, j.due) for at, seq, j in changes], columns=["target", "at", "seq", "status", "attempts", "due"]).astype({"due": "Int64", "attempts": "int32"})
+    def _told(self, target: str, changes: list[tuple[int, int, Job]]) -> Iterator[Row]:
+        for at, seq, j in changes:
+            yield Row(target=target, at=at, seq=seq, status=j.status, attempts=j.attempts, due=j.due)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         before = self._now()
         job, changes = before, []
-        for e in sorted((e for pdf in rows for e in pdf[["at", "seq", "kind", "outcome"]].itertuples(index=False, name=None)), key=lambda e: (e[0], e[1])):
-            after = step(job, int(e[0]), e[2], e[3], self.lease_s)
+        for e in sorted(((e["at"], e["seq"], e["kind"], e["outcome"]) for e in rows), key=lambda e: (e[0], e[1])):
+            after = step(job, e[0], e[2], e[3], self.lease_s)
             if after is not None and after != job:
-                changes.append((int(e[0]), int(e[1]), after))
+                changes.append((e[0], e[1], after))
             job = after
         if job is not None and job != before:
-            self._keep(job)
+            self._keep(job, before)
         yield from self._told(key[0], changes)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         at = expiredTimerInfo.getExpiryTimeInMs() // 1000
         before = self._now()
         job = lost(before, at)
         if job is not None and job != before:
-            self._keep(job)
+            self._keep(job, before)
             yield from self._told(key[0], [(at, -1, job)])
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        one = initialState.iloc[0]
-        whole = lambda v: None if pd.isna(v) else int(v)
-        self._keep(Job(str(one["status"]), int(one["attempts"]), whole(one["due"]), whole(one["lease_end"])))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        one = initialState
+        self._keep(Job(one["status"], one["attempts"], one["due"], one["lease_end"]), None)
 
     def close(self) -> None:
         pass
@@ -125,7 +125,7 @@ def changes(events: DataFrame, late: str = "1 day", lease_s: int = REAP_AFTER_S,
     # the watermark's column isn't handed to Python, whose timestamps end in 2262
     timed = events.withColumn("moment", F.timestamp_seconds("at")).withWatermark("moment", late).drop("moment")
     start = None if known is None else known.groupBy("target")
-    return timed.groupBy("target").transformWithStateInPandas(Queue(lease_s), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime", initialState=start)
+    return timed.groupBy("target").transformWithState(Queue(lease_s), outputStructType=CHANGES, outputMode="Update", timeMode="EventTime", initialState=start)
 
 
 @contextmanager
