@@ -49,6 +49,8 @@ CROWDED, CELL_SAMPLE = 256, 256
 _SLACK = 1e-6
 #: Comparisons (of the sample's size) that moving a row costs as much as.
 COPY = 20.0
+#: Rows that a parting may make of one on the average: what is written is bounded, and blocks do the rest.
+MOST_COPIES = 2
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -98,10 +100,12 @@ def choose_pivots(sample: np.ndarray, radius: float, most: int = MOST_PIVOTS) ->
 def best_prefix(sample: np.ndarray, pivots: np.ndarray, radius: float) -> np.ndarray:
     """As many of the pivots, in their order, as promise the least work: comparisons within cells,
     and `COPY` of them for each copied row. Vectors without clusters are all copied to all cells, where
-    more pivots save nothing; then few remain and the blocks do the parting."""
+    more pivots save nothing; then few remain and the blocks do the parting. So it is where a row would be copied `MOST_COPIES` times."""
 
     def work(count: int) -> float:
         row, cell, own = placements(sample, pivots[:count], radius)
+        if len(row) > MOST_COPIES * len(sample):
+            return np.inf
         inside = np.bincount(cell, minlength=count), np.bincount(cell[own], minlength=count)
         return float(inside[0] @ inside[1]) / len(sample) + COPY * len(row) / len(sample)
 

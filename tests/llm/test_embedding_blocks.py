@@ -49,6 +49,15 @@ def test_written_bytes_grow_with_the_vectors(spark):
     assert written(100) < 2 * written(2000)
 
 
+def test_few_copies_of_overlapping_clusters():
+    r = np.random.default_rng(2)
+    axes = np.linalg.qr(r.normal(size=(64, 64)))[0]
+    x = np.repeat(1.2 * axes[0] + axes[1:33], 40, axis=0) + r.normal(0, 0.02, (1280, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    row, _, own = embedding_dedup.placements(x, embedding_dedup.choose_pivots(x, np.sqrt(0.2)), np.sqrt(0.2))
+    assert len(row) <= 2 * len(x) and own.sum() == len(x)
+
+
 def test_the_bound_loses_no_pair():
     x = embedding_dedup.unit_rows(made(900, True).tobytes(), 900, 24)
     for rows in (x, x[:, :3] / np.linalg.norm(x[:, :3], axis=1)[:, None], x[:5]):
